@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("reads", "scalars", "sources", "vectors", "edits", "streams")
+_MODULES = ("reads",)
 
 
 @dataclass(frozen=True)

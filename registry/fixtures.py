@@ -74,7 +74,7 @@ def faces(spark: SparkSession, sf: str, planted: bool = True) -> DataFrame:
 
 
 def persons(spark: SparkSession, sf: str) -> DataFrame:
-    """Labels 7..9 are unnamed suggestions; 90 has no face; 91 and 92 share a name with P1."""
+    """Labels 7..9 are unnamed suggestions; person 90 has no face."""
     labels = table(spark, sf, "embeddings").select("label").distinct()
     known = labels.selectExpr(
         "label AS person_id",
