@@ -17,9 +17,9 @@ PHOTOS_DDL = (
     "photo_id bigint, path string, folder string, modified_at bigint, "
     "taken_at bigint, stage int, pending_xmp_write boolean"
 )
-PERSONS_DDL = "person_id int, name string, representative_face_id bigint"
+PERSONS_DDL = "person_id bigint, name string, representative_face_id bigint"
 FACES_DDL = (
-    "face_id bigint, photo_id bigint, person_id int, name string, "
+    "face_id bigint, photo_id bigint, person_id bigint, name string, "
     f"region {REGION_TYPE}, embedding array<double>, ignored boolean, "
     "quality_score double, embedding_failed boolean"
 )

@@ -48,7 +48,7 @@ def photos(spark: SparkSession, sf: str) -> DataFrame:
 _FACE_COLUMNS = [
     "vec_id AS face_id",
     "(vec_id % 250)*2 AS photo_id",
-    "CASE WHEN vec_id % 5 = 0 OR vec_id % 23 = 0 THEN NULL ELSE label END AS person_id",
+    "CASE WHEN vec_id % 5 = 0 OR vec_id % 23 = 0 THEN NULL ELSE CAST(label AS BIGINT) END AS person_id",
     """CASE WHEN vec_id % 5 <> 0 AND vec_id % 23 <> 0 AND label < 7 AND vec_id % 3 = 0
          THEN concat('P', label) END AS name""",
     """named_struct('x', 0.1D + (vec_id % 8)/10.0D, 'y', 0.15D + (vec_id % 7)/10.0D,
@@ -77,12 +77,12 @@ def persons(spark: SparkSession, sf: str) -> DataFrame:
     """Labels 7..9 are unnamed suggestions; person 90 has no face."""
     labels = table(spark, sf, "embeddings").select("label").distinct()
     known = labels.selectExpr(
-        "label AS person_id",
+        "CAST(label AS BIGINT) AS person_id",
         "CASE WHEN label < 7 THEN concat('P', label) END AS name",
         "CAST(NULL AS BIGINT) AS representative_face_id",
     )
     empty = labels.filter("label = 0").selectExpr(
-        "90 AS person_id", "'Empty' AS name", "CAST(NULL AS BIGINT) AS representative_face_id"
+        "CAST(90 AS BIGINT) AS person_id", "'Empty' AS name", "CAST(NULL AS BIGINT) AS representative_face_id"
     )
     return known.unionByName(empty)
 
@@ -120,7 +120,7 @@ _CTES = {
     FROM events""",
     "faces": """
     SELECT vec_id AS face_id, (vec_id % 250)*2 AS photo_id,
-      CASE WHEN vec_id % 5 = 0 OR vec_id % 23 = 0 THEN NULL ELSE label END AS person_id,
+      CASE WHEN vec_id % 5 = 0 OR vec_id % 23 = 0 THEN NULL ELSE CAST(label AS BIGINT) END AS person_id,
       CASE WHEN vec_id % 5 <> 0 AND vec_id % 23 <> 0 AND label < 7 AND vec_id % 3 = 0
         THEN 'P' || CAST(label AS VARCHAR) END AS name,
       CAST(0.1 AS DOUBLE) + CAST(vec_id % 8 AS DOUBLE)/10 AS x,
@@ -136,9 +136,9 @@ _CTES = {
       vec_id % 74 = 0 AS embedding_failed
     FROM embeddings""",
     "persons": """
-    SELECT DISTINCT label AS person_id, CASE WHEN label < 7 THEN 'P' || CAST(label AS VARCHAR) END AS name
+    SELECT DISTINCT CAST(label AS BIGINT) AS person_id, CASE WHEN label < 7 THEN 'P' || CAST(label AS VARCHAR) END AS name
     FROM embeddings
-    UNION ALL SELECT DISTINCT 90 AS person_id, 'Empty' AS name FROM embeddings WHERE label = 0""",
+    UNION ALL SELECT DISTINCT CAST(90 AS BIGINT) AS person_id, 'Empty' AS name FROM embeddings WHERE label = 0""",
     "visible": f"""
     SELECT f.*, ph.taken_at, ph.folder FROM faces f JOIN photos ph USING (photo_id)
     WHERE ph.folder IN {FOLDERS_SQL}""",
