@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("reads", "scalars", "vectors")
+_MODULES = ("reads", "scalars", "vectors", "edits")
 
 
 @dataclass(frozen=True)
