@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("reads", "scalars", "vectors", "edits")
+_MODULES = ("reads", "scalars", "sources", "vectors", "edits", "streams")
 
 
 @dataclass(frozen=True)
@@ -26,8 +26,14 @@ def register(name: str, sql: str | None = None):
     def wrap(fn):
         if name in _ENTRIES:
             raise ValueError(f"query {name} is registered twice")
-        _ENTRIES[name] = Entry(fn, sql)
-        return fn
+
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            # Dates are read in the session zone; the SQL side knows only UTC.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return fn(spark, sf)
+
+        _ENTRIES[name] = Entry(run, sql)
+        return run
 
     return wrap
 
