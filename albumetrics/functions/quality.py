@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NEUTRAL = 0.5
 
@@ -52,7 +53,7 @@ def _sharpness(data: bytes, height: int, width: int, channels: int) -> float:
     return float(1 - np.exp(-np.mean(laplacian**2) / 200.0))
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def sharpness_score(
     data: pa.Array, height: pa.Array, width: pa.Array, channels: pa.Array
 ) -> pa.Array:

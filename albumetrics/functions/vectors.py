@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TINY_NORM = 1e-10
 TINY_WEIGHT = 1e-6
@@ -39,7 +40,7 @@ def distance_matrix(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def cosine_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     """Row-wise cosine distance in Arrow batches; a null vector gives null."""
     valid = np.asarray(a.is_valid()) & np.asarray(b.is_valid())
@@ -54,7 +55,7 @@ def cosine_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, mask=~valid)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def vector_to_bytes(vectors: pa.Array) -> pa.Array:
     """Vectors as little-endian float32 bytes."""
     return pa.array(
@@ -63,7 +64,7 @@ def vector_to_bytes(vectors: pa.Array) -> pa.Array:
     )
 
 
-@F.arrow_udf("array<double>")
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
 def bytes_to_vector(blobs: pa.Array) -> pa.Array:
     return pa.array(
         [

@@ -24,7 +24,7 @@ def read_media_files(spark: SparkSession, root: str) -> DataFrame:
     relative = F.substring(tail, F.lit(len(plain) + 2), F.length(tail))
     return files.select(
         "path",
-        F.regexp_replace(relative, "/?[^/]*$", "/").alias("rel_path"),
+        F.regexp_extract(relative, "^(.*/)?[^/]*$", 1).alias("rel_path"),
         F.lit("image/jpeg").alias("mime_type"),
         F.unix_millis("modificationTime").alias("modified_at"),
     )

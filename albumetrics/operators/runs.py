@@ -11,10 +11,10 @@ from albumetrics.operators.sequences import (
     BLOCK,
     carry_forward,
     previous_row,
-    running_max_before,
     running_sum,
     smooth,
 )
+from albumetrics.sources.workspace import materialize
 
 # Fixed values.
 WARMUP = 8
@@ -94,8 +94,9 @@ def remaining_time(
     without the pauses since the last of them, and not within the warm-up.
     ``paused_ms`` is what was paused before the event.
     """
-    summed = running_sum(progress, "run", "ts_ms", F.greatest("paused_ms", F.lit(0)), "_paused", block)
-    topped = running_max_before(summed, "run", "ts_ms", "done", "_top", block)
+    paused = F.greatest("paused_ms", F.lit(0))
+    topped = running_sum(progress, "run", "ts_ms", paused, "_paused", block, top=("done", "_top"))
+    topped = materialize(topped, "progress")
     advances = topped.filter(F.col("_top").isNull() | (F.col("done") > F.col("_top")))
     steps = previous_row(advances, "run", "ts_ms", ["done", "ts_ms", "_paused", "_top"], block)
     # What was paused before a run's first event counts for its first step.
@@ -104,6 +105,7 @@ def remaining_time(
     measured = steps.select(
         "run", "ts_ms", "done", working.alias("_working"), (working / (F.col("done") - F.col("prev_done"))).alias("_per_item")
     ).filter((F.col("_working") > 0) & (F.col("done") > warmup))
+    measured = materialize(measured, "measured")
     smoothed = smooth(measured.select("run", "ts_ms", "_per_item"), "run", "ts_ms", "_per_item", "_ema", alpha, block)
     joined = progress.join(smoothed.select("run", "ts_ms", "_ema"), ["run", "ts_ms"], "left")
     known = carry_forward(joined, "run", "ts_ms", "_ema", "per_item_ms", block)

@@ -1,7 +1,9 @@
 """Ordered per-key computations that never hold a whole key in one task.
 
 A key's rows are cut into blocks of its order column. Work inside a block is a
-small window; what passes from block to block is one row per block.
+small window; what passes from block to block is one row per block. The input is
+read twice, once for the blocks and once for the rows, so a costly input should
+be written first.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from albumetrics.sources.workspace import materialize
+
 BLOCK = 65_536
 
 
@@ -29,26 +33,30 @@ def carry_forward(df: DataFrame, key: str, order: str, value: str, out: str, blo
     return cut.join(handed, [key, "_block"]).withColumn(out, filled).drop("_block", "_in")
 
 
-def running_max_before(df: DataFrame, key: str, order: str, value: str, out: str, block: int = BLOCK) -> DataFrame:
-    """The greatest value among the rows before each row."""
-    cut = _blocked(df, order, block)
-    tops = cut.groupBy(key, "_block").agg(F.max(value).alias("_top"))
-    earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    handed = tops.select(key, "_block", F.max("_top").over(earlier).alias("_in"))
-    inside = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    top = F.greatest(F.max(value).over(inside), F.col("_in"))
-    return cut.join(handed, [key, "_block"]).withColumn(out, top).drop("_block", "_in")
-
+def running_sum(
+    df: DataFrame, key: str, order: str, value: Column, out: str, block: int = BLOCK, top: tuple[str, str] | None = None
+) -> DataFrame:
+    """Sum of the value up to and including each row.
 
-def running_sum(df: DataFrame, key: str, order: str, value: Column, out: str, block: int = BLOCK) -> DataFrame:
-    """Sum of the value up to and including each row."""
+    ``top=(column, name)`` adds, in the same pass, the greatest value of a
+    column among the rows before each row.
+    """
+    column, name = top or (order, "_unused")
     cut = _blocked(df, order, block).withColumn("_x", value)
-    sums = cut.groupBy(key, "_block").agg(F.sum("_x").alias("_s"))
+    ends = cut.groupBy(key, "_block").agg(F.sum("_x").alias("_s"), F.max(column).alias("_top"))
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    handed = sums.select(key, "_block", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_in"))
-    inside = Window.partitionBy(key, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    total = F.col("_in") + F.coalesce(F.sum("_x").over(inside), F.lit(0))
-    return cut.join(handed, [key, "_block"]).withColumn(out, total).drop("_block", "_in", "_x")
+    handed = ends.select(
+        key, "_block", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_in"), F.max("_top").over(earlier).alias("_top_in")
+    )
+    inside = Window.partitionBy(key, "_block").orderBy(order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("_in") + F.coalesce(F.sum("_x").over(upto), F.lit(0))
+    greatest = F.greatest(F.max(column).over(before), F.col("_top_in"))
+    joined = cut.join(handed, [key, "_block"]).withColumn(out, total)
+    if top:
+        joined = joined.withColumn(name, greatest)
+    return joined.drop("_block", "_in", "_x", "_top_in")
 
 
 def previous_row(df: DataFrame, key: str, order: str, columns: list[str], block: int = BLOCK) -> DataFrame:
@@ -67,27 +75,28 @@ def previous_row(df: DataFrame, key: str, order: str, columns: list[str], block:
 def smooth(df: DataFrame, key: str, order: str, value: str, out: str, alpha: float, block: int = BLOCK) -> DataFrame:
     """Exponential moving average; a key's first value starts it.
 
-    A block turns the average it is handed into ``a * handed + b``, so the
-    blocks of a key are chained by those two numbers alone.
+    A run of consecutive rows turns the average it is handed into
+    ``a * handed + b``, so the runs of a key are chained by those two numbers.
     """
-    cut = _blocked(df.select(key, order, F.col(value).cast("double").alias("_v")), order, block)
+    slim = df.select(key, order, F.col(value).cast("double").alias("_v"))
+    numbered = running_sum(slim, key, order, F.lit(1), "_rank", block)
+    cut = numbered.select(key, order, "_v", F.expr(f"(_rank - 1) div {BLOCK}").alias("_block"))
     key_type = df.schema[key].dataType.simpleString()
     order_type = df.schema[order].dataType.simpleString()
 
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        kept = (1 - alpha) ** np.arange(1, len(pdf) + 1)
-        total, own = 0.0, np.empty(len(pdf))
-        for i, v in enumerate(pdf["_v"].to_numpy()):
-            total = alpha * v + (1 - alpha) * total
-            own[i] = total
-        return pd.DataFrame(
-            {key: pdf[key], order: pdf[order], "_block": pdf["_block"], "_a": kept, "_b": own, "_first": pdf["_v"].iloc[0]}
-        )
-
-    parts = cut.groupBy(key, "_block").applyInPandas(
-        inside, f"{key} {key_type}, {order} {order_type}, _block bigint, _a double, _b double, _first double"
-    )
+    cut = materialize(cut, "smooth")
+
+    def levels(values: np.ndarray, level: float) -> np.ndarray:
+        out = np.empty(len(values))
+        for i, v in enumerate(values):
+            level = alpha * v + (1 - alpha) * level
+            out[i] = level
+        return out
+
+    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
+        values = pdf.sort_values(order, kind="stable")["_v"].to_numpy()
+        row = {key: pdf[key].iloc[0], "_block": pdf["_block"].iloc[0], "_first": values[0]}
+        return pd.DataFrame([{**row, "_a": (1 - alpha) ** len(values), "_b": levels(values, 0.0)[-1]}])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_block")
@@ -98,11 +107,16 @@ def smooth(df: DataFrame, key: str, order: str, value: str, out: str, alpha: flo
             level = a * level + b
         return pd.DataFrame({key: pdf[key], "_block": pdf["_block"], "_in": handed})
 
-    ends = parts.groupBy(key, "_block").agg(
-        F.max_by("_a", order).alias("_a"), F.max_by("_b", order).alias("_b"), F.min_by("_first", order).alias("_first")
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, kind="stable")
+        values = levels(pdf["_v"].to_numpy(), float(pdf["_in"].iloc[0]))
+        return pd.DataFrame({key: pdf[key], order: pdf[order], out: values})
+
+    ends = cut.groupBy(key, "_block").applyInPandas(
+        summary, f"{key} {key_type}, _block bigint, _first double, _a double, _b double"
     )
     handed = ends.groupBy(key).applyInPandas(chain, f"{key} {key_type}, _block bigint, _in double")
-    levels = parts.join(handed, [key, "_block"]).select(
-        key, order, (F.col("_a") * F.col("_in") + F.col("_b")).alias(out)
+    smoothed = cut.join(handed, [key, "_block"]).groupBy(key, "_block").applyInPandas(
+        inside, f"{key} {key_type}, {order} {order_type}, {out} double"
     )
-    return df.join(levels, [key, order], "left")
+    return df.join(smoothed, [key, order], "left")

@@ -87,8 +87,10 @@ def strongest_edges(edges: DataFrame, top_k: int = TOP_K) -> DataFrame:
 
 def symmetrise(edges: DataFrame) -> DataFrame:
     """Add each missing back edge, which may take a node above the cap."""
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    return edges.unionByName(back).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    forth = F.struct("src", "dst")
+    back = F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    both = edges.select(F.explode(F.array(forth, back)).alias("_e"), "weight").select("_e.src", "_e.dst", "weight")
+    return both.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
 def signatures(vectors: DataFrame, bits: int = LSH_BITS, tables: int = LSH_TABLES, seed: int = LSH_SEED) -> DataFrame:

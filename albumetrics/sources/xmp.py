@@ -7,6 +7,7 @@ import xml.etree.ElementTree as ET
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Public namespaces and markers of the packet format.
 NS = {
@@ -23,7 +24,12 @@ PACKET_HEADER = b"http://ns.adobe.com/xap/1.0/\x00"
 BOM = b"\xef\xbb\xbf"
 TAG_PREFIX = "People/"
 
-REGION_LIST = "array<struct<name:string,x:double,y:double,w:double,h:double>>"
+REGION_LIST = T.ArrayType(
+    T.StructType([T.StructField("name", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("x", "y", "w", "h")]])
+)
+TAG_LISTS = T.StructType(
+    [T.StructField(c, T.ArrayType(T.StringType())) for c in ("subject", "tags", "persons", "hierarchy")]
+)
 _REGION_ARROW = pa.list_(
     pa.struct([("name", pa.string()), *[(c, pa.float64()) for c in ("x", "y", "w", "h")]])
 )
@@ -110,7 +116,7 @@ def regions_of(packets: pa.Array) -> pa.Array:
     return pa.array([parse_regions(p) for p in packets.to_pylist()], _REGION_ARROW)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def packet_of(contents: pa.Array) -> pa.Array:
     return pa.array([locate_packet(c) for c in contents.to_pylist()], pa.string())
 
@@ -210,18 +216,18 @@ def rewrite_packet(packet: str | None, regions: list[dict] | None, clear: bool =
     return ET.tostring(root, encoding="unicode")
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def written_packet(packets: pa.Array, regions: pa.Array) -> pa.Array:
     pairs = zip(packets.to_pylist(), regions.to_pylist(), strict=True)
     return pa.array([rewrite_packet(p, r) for p, r in pairs], pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def cleared_packet(packets: pa.Array) -> pa.Array:
     return pa.array([rewrite_packet(p, None, clear=True) for p in packets.to_pylist()], pa.string())
 
 
-@F.arrow_udf("struct<subject:array<string>,tags:array<string>,persons:array<string>,hierarchy:array<string>>")
+@F.arrow_udf(TAG_LISTS)
 def tag_lists(packets: pa.Array) -> pa.Array:
     """The four lists as a packet holds them."""
     names = {

@@ -289,7 +289,7 @@ def run_events(spark, sf):
 
 @register(
     "a16_pause_accounting",
-    f"""WITH e AS (SELECT user_id AS run, epoch_ms(ts) AS ts_ms, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    f"""WITH e AS (SELECT user_id AS run, epoch_us(ts) // 1000 AS ts_ms, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events),
     k AS (SELECT run, ts_ms, {_RUN_KIND} AS kind FROM e),
     s AS (SELECT *, lead(ts_ms) OVER (PARTITION BY run ORDER BY ts_ms) - ts_ms AS span FROM k),
     t AS (SELECT run, max(ts_ms) FILTER (kind = 'finish') - min(ts_ms) FILTER (kind = 'start') AS total_ms,
@@ -310,7 +310,7 @@ def progress_events(spark, sf):
 
 @register(
     "t06_remaining_time",
-    """WITH p AS (SELECT user_id AS run, epoch_ms(ts) AS ts_ms, event_id - event_id % 3 AS done, CASE WHEN event_type = 'view' THEN 60000 ELSE 0 END AS paused_ms FROM events),
+    """WITH p AS (SELECT user_id AS run, epoch_us(ts) // 1000 AS ts_ms, event_id - event_id % 3 AS done, CASE WHEN event_type = 'view' THEN 60000 ELSE 0 END AS paused_ms FROM events),
     c AS (SELECT *, sum(paused_ms) OVER w AS paused, max(done) OVER (PARTITION BY run ORDER BY ts_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
       FROM p WINDOW w AS (PARTITION BY run ORDER BY ts_ms)),
     a AS (SELECT *, lag(ts_ms) OVER w AS pt, lag(done) OVER w AS pd, lag(CASE WHEN top IS NULL THEN 0 ELSE paused END) OVER w AS pp FROM c WHERE top IS NULL OR done > top
