@@ -35,20 +35,18 @@ def jpegs(catalogue: DataFrame) -> DataFrame:
 
 
 def scan(
-    catalogue: DataFrame, folders: list[str], since_ms: int | None = None
+    catalogue: DataFrame, folders: list[str], since_ms: int | None = None, ordered: bool = True
 ) -> DataFrame:
-    """JPEG entries inside the whitelist, under their whitelist root, newest first.
+    """JPEG entries inside the whitelist, under their whitelist root, newest first if ``ordered``.
 
     ``since_ms`` keeps only entries modified after the stored high-water mark.
     """
     rows = jpegs(catalogue)
     if since_ms is not None:
         rows = rows.filter(F.col("modified_at") > since_ms)
-    return (
-        rows.withColumn("folder", whitelist_root(trim_slashes(F.col("rel_path")), folders))
-        .filter(F.col("folder").isNotNull())
-        .orderBy(F.desc("modified_at"), "path")
-    )
+    rooted = rows.withColumn("folder", whitelist_root(trim_slashes(F.col("rel_path")), folders))
+    kept = rooted.filter(F.col("folder").isNotNull())
+    return kept.orderBy(F.desc("modified_at"), "path") if ordered else kept
 
 
 def folder_listing(catalogue: DataFrame) -> DataFrame:
@@ -108,7 +106,7 @@ def ingest(
     check_deletions: bool = True,
 ) -> Library:
     """Apply one scan to the library: register, refresh and, if asked, delete photos."""
-    entries = scan(catalogue, folders, since_ms)
+    entries = scan(catalogue, folders, since_ms, ordered=False)
     if "taken_at" not in entries.columns:
         entries = entries.withColumn("taken_at", F.lit(None).cast("bigint"))
     changes = reconcile(entries, library.photos).filter(F.col("action").isin("NEW", "MODIFIED"))

@@ -189,10 +189,10 @@ def orphan_artefacts(files: DataFrame, faces: DataFrame, column: str = "file_nam
 
 def suggestion_face_counts(persons: DataFrame, faces: DataFrame) -> DataFrame:
     return (
-        faces.select("person_id")
-        .join(suggestions(persons).select("person_id"), "person_id")
+        faces.filter("person_id IS NOT NULL")
         .groupBy("person_id")
         .agg(F.count(F.lit(1)).alias("face_count"))
+        .join(suggestions(persons).select("person_id"), "person_id")
         .orderBy(F.desc("face_count"), "person_id")
     )
 

@@ -17,6 +17,9 @@ LSH_BITS = 10
 LSH_TABLES = 8
 LSH_SEED = 42
 
+# Most cells of a distance matrix held at a time.
+STRIPE_CELLS = 8_000_000
+
 EDGE_SCHEMA = "src bigint, dst bigint, weight double"
 
 
@@ -59,20 +62,33 @@ def _strongest(src: np.ndarray, dst: np.ndarray, distance: np.ndarray, mask: np.
 
 
 def _edge_tile(threshold: float, time_weight: float, top_k: int, bucketed: bool):
-    def tile(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+    def near(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         distance = _distances(left, right, threshold, time_weight)
         mask = distance < threshold
         if bucketed:
             mask &= _untested(left, right)
-        a, b = _ids(left), _ids(right)
-        if same:
-            np.fill_diagonal(mask, False)
-            parts = [_strongest(a, b, distance, mask, top_k)]
+        return distance, mask
+
+    def one_way(left: pa.Table, right: pa.Table, same: bool) -> list:
+        """Edges from each left row; the matrix is made a stripe of rows at a time."""
+        parts, step = [], max(1, STRIPE_CELLS // max(1, right.num_rows))
+        for at in range(0, left.num_rows, step):
+            stripe = left.slice(at, step)
+            distance, mask = near(stripe, right)
+            if same:
+                mask[np.arange(stripe.num_rows), at + np.arange(stripe.num_rows)] = False
+            parts.append(_strongest(_ids(stripe), _ids(right), distance, mask, top_k))
+        return parts
+
+    def tile(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        if same or left.num_rows * right.num_rows > STRIPE_CELLS:
+            parts = one_way(left, right, same)
+            if not same:
+                parts += one_way(right, left, same)
         else:
-            parts = [
-                _strongest(a, b, distance, mask, top_k),
-                _strongest(b, a, distance.T, mask.T, top_k),
-            ]
+            distance, mask = near(left, right)
+            a, b = _ids(left), _ids(right)
+            parts = [_strongest(a, b, distance, mask, top_k), _strongest(b, a, distance.T, mask.T, top_k)]
         src, dst, weight = (np.concatenate(c) for c in zip(*parts, strict=True))
         return pa.table({"src": src, "dst": dst, "weight": weight})
 

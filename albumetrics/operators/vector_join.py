@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from albumetrics.functions.vectors import matrix
 
-CHUNK_ROWS = 2048
+CHUNK_ROWS = 4096
 MAX_PIVOTS = 2048
 ROWS_PER_PIVOT = 4096
 # Slack on the geometric bounds, against rounding.

@@ -65,8 +65,13 @@ def upsert(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
 
 
 def insert_ignore(base: DataFrame, patch: DataFrame, key: str) -> DataFrame:
-    """Insert-or-ignore: a row whose key is already known is dropped."""
-    fresh = patch.join(base.select(key), key, "left_anti")
+    """Insert-or-ignore: a row whose key is already known is dropped.
+
+    The known keys are narrowed down by the patch first, so that both joins can
+    broadcast a small side.
+    """
+    known = base.select(key).join(patch.select(key), key, "left_semi")
+    fresh = patch.join(known, key, "left_anti")
     return base.unionByName(fresh.select(*base.columns))
 
 

@@ -24,14 +24,20 @@ class ChangeLog:
             rows = rows.withColumn("deleted", F.lit(False))
         rows.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """The table after all batches, or after those before batch ``before``."""
+    def read(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        """The table after all batches, or after those before batch ``before``.
+
+        ``only`` names the keys that are asked for: a batch looks up its own keys
+        and leaves the rest of the table unread by the aggregation.
+        """
         names = self._columns()
         if not any(n.startswith("batch=") for n in child_names(self.spark, self.root)):
             return self.spark.createDataFrame([], self.ddl)
         rows = self.spark.read.schema(f"{self.ddl}, deleted boolean, batch bigint").parquet(self.root)
         if before is not None:
             rows = rows.filter(F.col("batch") < before)
+        if only is not None:
+            rows = rows.join(only.select(self.key), self.key, "left_semi")
         latest = rows.groupBy(self.key).agg(
             F.max_by(F.struct("deleted", *[n for n in names if n != self.key]), "batch").alias("_r")
         )

@@ -42,8 +42,10 @@ class MediaIngest:
         return marks.agg(F.max("mark")).first()[0]
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
-        known = self.photos.read(before=batch_id)
-        entries = catalog.scan(batch, self.folders, self.mark(before=batch_id))
+        entries = catalog.scan(batch, self.folders, self.mark(before=batch_id), ordered=False)
+        # Photos of this table are named after their path.
+        asked = entries.select(catalog.path_id(F.col("path")).alias("photo_id"))
+        known = self.photos.read(before=batch_id, only=asked)
         actions = catalog.reconcile(entries, known).filter(F.col("action").isin("NEW", "MODIFIED"))
         rows = actions.select(
             F.coalesce("photo_id", catalog.path_id(F.col("path"))).alias("photo_id"), "path", "folder", "modified_at",
@@ -69,7 +71,7 @@ class StagePipeline:
         self.photos = ChangeLog(spark, f"{root.rstrip('/')}/staged", "photo_id bigint, stage int", "photo_id")
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
-        known = self.photos.read(before=batch_id).select("photo_id", F.col("stage").alias("_known"))
+        known = self.photos.read(before=batch_id, only=batch).select("photo_id", F.col("stage").alias("_known"))
         joined = batch.select("photo_id", "stage", "has_regions", "detected").join(known, "photo_id", "left")
         now = F.coalesce("_known", "stage")
         triaged = F.when(now == STAGE_NEW, F.when(F.col("has_regions"), STAGE_DONE).otherwise(STAGE_NEEDS_DETECTION)).otherwise(now)

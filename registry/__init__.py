@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from albumetrics.session import configure
+
 _MODULES = ("reads", "scalars", "sources", "vectors", "edits", "streams")
 
 
@@ -28,9 +30,8 @@ def register(name: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
 
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            # Dates are read in the session zone; the SQL side knows only UTC.
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return fn(spark, sf)
+            # The SQL side knows dates only in UTC, which these settings fix too.
+            return fn(configure(spark), sf)
 
         _ENTRIES[name] = Entry(run, sql)
         return run

@@ -160,7 +160,7 @@ def _(spark, sf):
     sql("SELECT folder, count(*) AS n, count(DISTINCT rel_path) AS paths FROM scan GROUP BY folder", "catalogue", extra=SCAN_SQL),
 )
 def _(spark, sf):
-    rows = catalog.scan(fx.catalogue(spark, sf), FOLDERS)
+    rows = catalog.scan(fx.catalogue(spark, sf), FOLDERS, ordered=False)
     return rows.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("rel_path").alias("paths"))
 
 
@@ -350,7 +350,7 @@ def known_photos(spark, sf):
     ),
 )
 def _(spark, sf):
-    entries = catalog.scan(fx.catalogue(spark, sf), FOLDERS)
+    entries = catalog.scan(fx.catalogue(spark, sf), FOLDERS, ordered=False)
     return catalog.reconcile(entries, known_photos(spark, sf)).select("path", "action", "folder")
 
 
