@@ -6,13 +6,33 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from albumetrics.llm import bpe_stream, token_planes
-from albumetrics.llm.common import table
+from albumetrics.llm import bpe_stream, language_spans, token_planes, toxicity
+from albumetrics.llm.common import held_out, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def toxicity_scorer(spark: SparkSession, sf_dir: str) -> toxicity.Scorer:
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.learn(table(spark, sf_dir, "documents"), labels, ~held_out(F.col("doc_id")))
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> language_spans.LanguageModel:
+    return language_spans.learn(table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id")))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.score(table(spark, sf_dir, "documents"), toxicity_scorer(spark, sf_dir))
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_spans.predict(table(spark, sf_dir, "documents"), language_model(spark, sf_dir))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_planes.write(table(spark, sf_dir, "documents"), WORD_BPE)
     return token_planes.read_digests(spark, manifest)
@@ -23,8 +43,10 @@ def op7_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_toxicity": op2_toxicity,
     "op6_token_planes": op6_token_planes,
     "op7_bpe_stream": op7_bpe_stream,
+    "op10_language_spans": op10_language_spans,
 }
 
 SQL: dict[str, str] = {}
