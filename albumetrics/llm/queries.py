@@ -8,10 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumetrics.llm import bpe_stream, language_spans, token_planes, toxicity
+from albumetrics.llm import bpe_stream, chat_format, language_spans, license_scan, token_planes, toxicity
 from albumetrics.llm.common import held_out, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", control), (-7, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.format_conversations(turns.unionByName(extra), BYTE_BPE), BYTE_BPE)
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
 def toxicity_scorer(spark: SparkSession, sf_dir: str) -> toxicity.Scorer:
@@ -43,10 +56,12 @@ def op7_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
+    "op4_license_scan": op4_license_scan,
     "op6_token_planes": op6_token_planes,
     "op7_bpe_stream": op7_bpe_stream,
     "op10_language_spans": op10_language_spans,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op4_license_scan": license_scan.oracle()}
