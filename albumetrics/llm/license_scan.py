@@ -12,7 +12,7 @@ All steps are column functions over single rows; there is no shuffle, and the re
 template that match: the best coefficient, the first line of the best run (the earliest, then the shortest, on a tie),
 its number of lines, and how many runs matched.
 
-Defined cases: null or empty texts, and empty tables, give no rows; repeated rows give repeated results; lines without
+Defined cases: null or empty texts, and empty tables, give no rows; rows of one id count as one document; lines without
 words count as lines of no words, and a run starts and ends with a line that has one.
 """
 
@@ -82,6 +82,9 @@ TEMPLATES = {
     ],
 }
 
+# Words of the templates that most English texts hold; they only steer which key words are chosen.
+FREQUENT = set("a and are at be by for in is it may not of on or that the this to under use was with you".split())
+
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -100,12 +103,12 @@ def size_bounds(m: int, least: float) -> tuple[int, int]:
 
 
 def key_words(words: list[str], least: float) -> list[str]:
-    """Words that lie in more of the bigrams than a match may lack; long words first, as they are rare elsewhere."""
+    """Words that lie in more of the bigrams than a match may lack; those that are rare elsewhere come first."""
     grams = set(zip(words, words[1:]))
     lack = len(grams) - size_bounds(len(grams), least)[0]
     chosen: list[str] = []
     covered: set = set()
-    for word in sorted(set(words), key=lambda w: (-len(w), w)):
+    for word in sorted(set(words), key=lambda w: (w in FREQUENT, -len(w), w)):
         if len(covered) > lack:
             break
         chosen.append(word)
