@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumetrics.llm import bpe_stream, chat_format, language_spans, license_scan, token_planes, toxicity
+from albumetrics.llm import bpe_stream, chat_format, edit_matching, language_spans, license_scan, token_planes, toxicity
 from albumetrics.llm.common import held_out, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +46,10 @@ def op10_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op5_edit_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_matching.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_planes.write(table(spark, sf_dir, "documents"), WORD_BPE)
     return token_planes.read_digests(spark, manifest)
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
     "op4_license_scan": op4_license_scan,
+    "op5_edit_matching": op5_edit_matching,
     "op6_token_planes": op6_token_planes,
     "op7_bpe_stream": op7_bpe_stream,
     "op10_language_spans": op10_language_spans,

@@ -8,18 +8,36 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from albumetrics.llm import bpe_stream
+from albumetrics.llm import bpe_stream, edit_matching, language_spans, toxicity
 from albumetrics.llm.common import table
-from albumetrics.llm.queries import WORD_BPE
+from albumetrics.llm.queries import WORD_BPE, language_model, toxicity_scorer
 from albumetrics.sources.workspace import materialize
 
 
+def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which one known language covers at least half of the letters; the others go."""
+    return language_spans.keep_identified(docs, language_model(spark, sf_dir))
+
+
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not predicted toxic."""
+    return toxicity.keep_clean(docs, toxicity_scorer(spark, sf_dir))
+
+
+def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within its error budget."""
+    return edit_matching.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its number of tokens, the digest of its ids and that of the text they decode to."""
     return bpe_stream.digests(docs, WORD_BPE)
 
 
 STAGES = [
+    ("language_spans", keep_identified),
+    ("toxicity", keep_clean),
+    ("edit_matching", keep_uncontaminated),
     ("bpe_stream", encode_and_decode),
 ]
 
