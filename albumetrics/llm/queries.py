@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumetrics.llm import bpe_stream, chat_format, edit_matching, language_spans, license_scan, token_planes, toxicity
+from albumetrics.llm import bpe_stream, chat_format, edit_matching, graph_search, language_spans, license_scan, token_planes, toxicity
 from albumetrics.llm.common import held_out, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,11 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.format_conversations(turns.unionByName(extra), BYTE_BPE), BYTE_BPE)
 
 
+def op3_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graph_search.nearest(graph_search.build(vectors), vectors.filter(F.col("vec_id") % 20 == 0))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ def op7_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
+    "op3_graph_search": op3_graph_search,
     "op4_license_scan": op4_license_scan,
     "op5_edit_matching": op5_edit_matching,
     "op6_token_planes": op6_token_planes,
