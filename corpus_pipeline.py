@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from albumetrics.llm import bpe_stream, edit_matching, language_spans, toxicity
+from albumetrics.llm import bpe_stream, edit_matching, language_spans, toxicity, weighted_minhash
 from albumetrics.llm.common import table
 from albumetrics.llm.queries import WORD_BPE, language_model, toxicity_scorer
 from albumetrics.sources.workspace import materialize
@@ -24,6 +24,11 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity_scorer(spark, sf_dir))
 
 
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of exact and near copies."""
+    return weighted_minhash.keep_one(docs)
+
+
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item within its error budget."""
     return edit_matching.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
@@ -37,6 +42,7 @@ def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 STAGES = [
     ("language_spans", keep_identified),
     ("toxicity", keep_clean),
+    ("weighted_minhash", keep_one_of_each_group),
     ("edit_matching", keep_uncontaminated),
     ("bpe_stream", encode_and_decode),
 ]
