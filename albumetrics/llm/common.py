@@ -35,13 +35,46 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % HELD_OUT_FOLDS == 0
 
 
-def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
-    """At most about ``rows`` rows, chosen by a hash of ``key`` so that a rerun takes the same ones."""
-    total = df.count()
-    if total <= rows:
-        return df
-    share = rows / total
-    return df.filter(F.pmod(F.xxhash64(key.cast("string"), F.lit(11)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+def draw(key: Column, seed: int) -> Column:
+    """A number from 0 to 1 that depends on the key alone, so that a rerun draws the same rows."""
+    return F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def class_draw(labels: DataFrame, id_col: str, label_col: str, name: str, usable: Column | None, rows: int,
+               seed: int) -> DataFrame | None:
+    """At most about ``rows`` ids of each label 0 and 1, as (id, ``name``); None unless both labels occur.
+
+    An id with several labels has the largest.
+    """
+    marks = labels.select(F.col(id_col), F.col(label_col).cast("int").alias(name))
+    marks = marks.filter((F.lit(True) if usable is None else usable) & F.col(name).isin(0, 1) & F.col(id_col).isNotNull())
+    marks = marks.groupBy(id_col).agg(F.max(name).alias(name))
+    sizes = {r[name]: r["n"] for r in marks.groupBy(name).agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
+        return None
+    share = F.when(F.col(name) == 1, F.lit(min(1.0, rows / sizes[1]))).otherwise(min(1.0, rows / sizes[0]))
+    return marks.filter(draw(F.col(id_col), seed) < share)
+
+
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def fit_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Newton steps for a ridge-penalised logistic regression; the first column is the constant and has no penalty."""
+    beta = np.zeros(x.shape[1])
+    penalty = np.full(x.shape[1], ridge)
+    penalty[0] = 1e-6
+    for _ in range(rounds):
+        p = logistic(x @ beta)
+        slope = x.T @ (weights * (p - y)) + penalty * beta
+        curve = (x * (weights * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        step = np.linalg.solve(curve, slope)
+        step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
+        beta -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    return beta
 
 
 def slices(ids: list, texts: list, chars: int = 1 << 20) -> Iterator[tuple[list, list[str]]]:

@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from albumetrics.llm import bpe_stream, chat_format, edit_matching, graph_search, language_spans, license_scan, token_planes, toxicity, weighted_minhash
+from albumetrics.llm import (
+    bpe_stream,
+    chat_format,
+    cotraining,
+    edit_matching,
+    graph_search,
+    language_spans,
+    license_scan,
+    token_planes,
+    toxicity,
+    weighted_minhash,
+)
 from albumetrics.llm.common import held_out, table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +57,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op8_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = cotraining.learn(docs, table(spark, sf_dir, "labels"), ~held_out(F.col("doc_id")))
+    return cotraining.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op9_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = weighted_minhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", F.expr("class_id <=> doc_id").alias("keep"))
@@ -77,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_edit_matching": op5_edit_matching,
     "op6_token_planes": op6_token_planes,
     "op7_bpe_stream": op7_bpe_stream,
+    "op8_cotraining": op8_cotraining,
     "op9_weighted_minhash": op9_weighted_minhash,
     "op10_language_spans": op10_language_spans,
 }

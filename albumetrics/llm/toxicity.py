@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from albumetrics.llm.bpe_stream import char_class
-from albumetrics.llm.common import Memo, by_slices, prepare, slices
+from albumetrics.llm.common import Memo, by_slices, class_draw, fit_logistic, logistic, prepare, slices
 
 #: Labelled documents of each class to learn from.
 TRAIN_DOCS = 8000
@@ -195,27 +195,6 @@ class Scorer:
         return logistic(np.column_stack([np.ones(len(x)), x]) @ self.coefficients)
 
 
-def logistic(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, weights: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Newton steps for a ridge-penalised logistic regression; the first column is the constant and has no penalty."""
-    beta = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
-    penalty[0] = 1e-6
-    for _ in range(rounds):
-        p = logistic(x @ beta)
-        slope = x.T @ (weights * (p - y)) + penalty * beta
-        curve = (x * (weights * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
-        step = np.linalg.solve(curve, slope)
-        step *= min(1.0, 5.0 / max(np.abs(step).max(), 1e-12))
-        beta -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    return beta
-
-
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each class per word."""
     for batch in batches:
@@ -252,15 +231,9 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
           text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> Scorer:
     """Learn lexicon and weights from the labels for which ``usable`` (a condition on ``id_col``) holds."""
     spark = prepare(docs.sparkSession)
-    marks = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("toxic"))
-    marks = marks.filter((F.lit(True) if usable is None else usable) & F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull())
-    marks = marks.groupBy(id_col).agg(F.max("toxic").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(sizes) < 2:
+    chosen = class_draw(labels, id_col, label_col, "toxic", usable, train_docs, seed=2)
+    if chosen is None:
         return Scorer(Lexicon({}), np.array([-4.0] + [0.0] * FEATURES))
-    share = F.when(F.col("toxic") == 1, F.lit(min(1.0, train_docs / sizes[1]))).otherwise(min(1.0, train_docs / sizes[0]))
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(2)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = marks.filter(draw < share)
     # The chosen labels are bounded by ``train_docs`` per class, so they fit a broadcast.
     texts = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
     # Copies of one text would lend its rare words false support.
