@@ -13,7 +13,11 @@
    Buckets of more than ``BLOCK`` members are dealt to blocks by hash; then the trees' most connected members meet again,
    in pairs of blocks where they are still too many.
 4. Each proposed pair is verified on the whole texts: weighted Jaccard similarity of at least ``LEAST``. Connected
-   components of the verified links (large star, small star) are the groups; a group is named by its least id.
+   components of the verified links (large star, small star) are groups so far.
+5. What the proposals left out is settled exactly: documents that proposals connect, but whose verification left more
+   than one group, meet in pairs of blocks of ``BRIDGE_BLOCK``, each with its text once per pair of blocks. There every
+   unsure or likely link between different groups is verified. Components of all links are the groups; a group is named
+   by its least id.
 
 Defined cases: documents without words (null, empty, signs only) are each a group of their own, as are rows with a null
 id (named null); rows of one id count as one document, with its least text; ties go to the smaller id; empty tables give
@@ -47,6 +51,9 @@ SKETCH_BLOCK = 1 << 13
 DRAWS = 1 << 14
 BLOCK = 1024
 SURE, LIKELY, UNSURE = 0.92, 0.85, 0.66
+#: Unsure links between two trees that are verified first; the others are left to ``bridges``.
+FIRST = 4
+BRIDGE_BLOCK = 256
 
 _L1, _LN = (char_class("L", 0x100) + char_class("N", 0x100)), (char_class("L") + char_class("N"))
 _NARROW, _WIDE = re.compile(f"[{_L1}]+"), re.compile(f"[{_LN}]+")
@@ -282,7 +289,7 @@ def propose(drawn: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
     between: dict[tuple[int, int], int] = {}
     for x, y in zip(a[likely:].tolist(), b[likely:].tolist()):
         trees = (min(roots[x], roots[y]), max(roots[x], roots[y]))
-        if trees[0] != trees[1] and between.get(trees, 0) < 4:
+        if trees[0] != trees[1] and between.get(trees, 0) < FIRST:
             between[trees] = between.get(trees, 0) + 1
             pairs.add((x, y))
     links = (equal >= LIKELY * drawn.shape[1]).sum(axis=1)
@@ -387,17 +394,82 @@ def _verify(weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_pylist(out, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())]))
 
 
-def verified_links(docs: DataFrame, pairs: DataFrame, weights: Weights) -> DataFrame:
-    """``a``, ``b``, ``similarity`` of the pairs that reach ``LEAST``. ``docs``: doc_id, text."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(weights)
+def pair_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``doc_id``, ``text`` of the documents in ``pairs``."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(docs.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "minhash-texts")
+    return docs.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
+def verified_links(texts: DataFrame, pairs: DataFrame, weights: Weights) -> DataFrame:
+    """``a``, ``b``, ``similarity`` of the pairs that reach ``LEAST``. ``texts``: doc_id, text; one row per document."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
     both = pairs.join(texts.withColumnsRenamed({"doc_id": "a", "text": "text_a"}), "a").join(
         texts.withColumnsRenamed({"doc_id": "b", "text": "text_b"}), "b")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(partial(_verify, shared), "a long, b long, similarity double")
 
 
+def _bridge_block(scale: Weights, rows: list[tuple]) -> Iterator[dict]:
+    """Links between different groups among the (id, group, own block, samples, text) of two blocks, or of one."""
+    drawn = np.stack([np.frombuffer(r[3], "<u2") for r in rows])
+    equal = np.zeros((len(rows), len(rows)), np.uint8)
+    for column in drawn.T:
+        equal += column[:, None] == column[None, :]
+    group, own = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    meet = np.triu(equal >= UNSURE * SAMPLES, 1) & (group[:, None] != group[None, :])
+    if own.min() != own.max():
+        meet &= own[:, None] != own[None, :]
+    a, b = np.nonzero(meet)
+    order = np.argsort(-equal[a, b].astype(int), kind="stable")
+    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    names = {g: k for k, g in enumerate(dict.fromkeys(r[1] for r in rows))}
+    parent = list(range(len(names)))
+    for x, y in zip(a[order].tolist(), b[order].tolist()):
+        u, v = (_root(parent, names[rows[k][1]]) for k in (x, y))
+        if u == v:
+            continue
+        for k in (x, y):
+            if k not in sets:
+                _, hashes, often = shingles([plain_words(rows[k][4])])
+                sets[k] = (hashes, scale.of(hashes, often))
+        found = similarity(sets[x], sets[y])
+        if found >= LEAST:
+            parent[max(u, v)] = min(u, v)
+            yield {"a": min(rows[x][0], rows[y][0]), "b": max(rows[x][0], rows[y][0]), "similarity": found}
+
+
+def _bridge(weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    key = None
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())])
+    for batch in batches:
+        for whole, block, *row in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            if (whole, block) != key and held:
+                yield pa.RecordBatch.from_pylist(list(_bridge_block(weights.value, held)), schema)
+                held = []
+            key = (whole, block)
+            held.append(tuple(row))
+    if held:
+        yield pa.RecordBatch.from_pylist(list(_bridge_block(weights.value, held)), schema)
+
+
+def bridges(texts: DataFrame, pairs: DataFrame, roots: DataFrame, drawn: DataFrame, weights: Weights,
+            block: int = BRIDGE_BLOCK) -> DataFrame:
+    """Verified links between documents that ``pairs`` connect and ``roots`` (doc_id, root) leave in different groups."""
+    shared = texts.sparkSession.sparkContext.broadcast(weights)
+    members = components(pairs).withColumnRenamed("root", "whole").join(roots, "doc_id", "left")
+    members = materialize(members.select("whole", "doc_id", F.coalesce("root", "doc_id").alias("root")), "minhash-wholes")
+    mixed = members.groupBy("whole").agg(
+        F.ceil(F.count("*") / block).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")
+    ).filter("low <> high").select("whole", "n")
+    rows = members.join(mixed, "whole").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.col("n")))
+    rows = rows.join(drawn, "doc_id").join(texts, "doc_id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    rows = rows.withColumn("block", F.least("own", "other") * F.col("n") + F.greatest("own", "other"))
+    dealt = rows.repartition("whole", "block").sortWithinPartitions("whole", "block", "doc_id")
+    return dealt.select("whole", "block", "doc_id", "root", "own", "drawn", "text").mapInArrow(
+        partial(_bridge, shared), "a long, b long, similarity double")
+
+
 def components(links: DataFrame) -> DataFrame:
     """``doc_id``, ``root``: every linked id with the least id of its component (large star and small star in turn)."""
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "minhash-edges")
@@ -415,7 +487,8 @@ def components(links: DataFrame) -> DataFrame:
         if seen == mark:
             break
         mark = seen
-    return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "doc_id")
+    roots = edges.select(F.col("v").alias("u"), "v").distinct()
+    return edges.unionByName(roots).groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "doc_id")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -430,7 +503,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
         F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "drawn"), "doc_id").alias("x")
     ).select("same", "doc_id", "x.bands", "x.drawn"), "minhash-classes")
     pairs = materialize(candidate_pairs(classes, block), "minhash-pairs")
-    roots = components(verified_links(named, pairs, weights))
+    texts = materialize(pair_texts(named, pairs), "minhash-texts")
+    links = materialize(verified_links(texts, pairs, weights), "minhash-links")
+    first = materialize(components(links), "minhash-roots")
+    more = bridges(texts, pairs, first, classes.select("doc_id", "drawn"), weights)
+    roots = components(links.unionByName(more))
     named_classes = classes.select("same", F.col("doc_id").alias("rep")).join(
         roots.withColumnRenamed("doc_id", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("class_id"))
     found = signed.select("doc_id", "same").join(named_classes, "same").select("doc_id", "class_id")
