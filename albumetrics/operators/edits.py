@@ -529,7 +529,9 @@ def store_detections(library: Library, detections: DataFrame, attempted: DataFra
     photos = _change(library.photos, attempted, "photo_id", stage=F.lit(STAGE_DONE))
     filled = fill_taken_at(F.col("taken_at"), F.col("modified_at"), fill_dates)
     photos = _change(photos, detections, "photo_id", taken_at=filled)
-    return Library(photos, library.persons, library.faces.unionByName(made))
+    # Ids come from photo and position, so storing the same boxes again replaces them.
+    kept = library.faces.join(made.select("face_id"), "face_id", "left_anti").select(*library.faces.columns)
+    return Library(photos, library.persons, kept.unionByName(made))
 
 
 def rotate_photos(library: Library, turns: DataFrame) -> tuple[Library, DataFrame]:

@@ -60,16 +60,19 @@ def split_faces(faces: DataFrame, person_id) -> DataFrame:
 
 
 def search_names(persons: DataFrame, query: str) -> DataFrame:
-    """Case-insensitive contains search; ``offer_create`` when no name equals the query."""
-    wanted = query.strip().lower()
+    """Case-insensitive contains search.
+
+    When no name equals the query (and it is not blank), one more row without an id holds the query as its name and
+    ``offer_create``; so the offer is there without any hit.
+    """
+    asked = query.strip()
     named = named_persons(persons)
-    exact = (
-        named.agg(F.coalesce(F.bool_or(F.lower("name") == wanted), F.lit(False)).alias("_exact"))
-        .select((~F.col("_exact") & F.lit(wanted != "")).alias("offer_create"), F.lit(1).alias("_k"))
-    )
-    hits = named.filter(F.contains(F.lower("name"), F.lit(wanted))).withColumn("_k", F.lit(1))
-    # The right side is one row by construction.
-    return hits.join(F.broadcast(exact), "_k").drop("_k")
+    hits = named.filter(F.contains(F.lower("name"), F.lit(asked.lower()))).withColumn("offer_create", F.lit(False))
+    equal = F.coalesce(F.bool_or(F.lower("name") == asked.lower()), F.lit(False))
+    offer = named.agg(equal.alias("_equal")).filter(~F.col("_equal") & F.lit(asked != ""))
+    values = {"name": F.lit(asked), "offer_create": F.lit(True)}
+    types = {f.name: f.dataType for f in hits.schema.fields}
+    return hits.unionByName(offer.select(*[values.get(c, F.lit(None)).cast(types[c]).alias(c) for c in hits.columns]))
 
 
 # --- joins ---------------------------------------------------------------------

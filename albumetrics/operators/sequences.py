@@ -80,18 +80,15 @@ def smooth(df: DataFrame, key: str, order: str, value: str, out: str, alpha: flo
     """
     slim = df.select(key, order, F.col(value).cast("double").alias("_v"))
     numbered = running_sum(slim, key, order, F.lit(1), "_rank", block)
-    cut = numbered.select(key, order, "_v", F.expr(f"(_rank - 1) div {BLOCK}").alias("_block"))
+    cut = numbered.select(key, order, "_v", F.expr(f"(_rank - 1) div {int(block)}").alias("_block"))
     key_type = df.schema[key].dataType.simpleString()
     order_type = df.schema[order].dataType.simpleString()
 
     cut = materialize(cut, "smooth")
 
     def levels(values: np.ndarray, level: float) -> np.ndarray:
-        out = np.empty(len(values))
-        for i, v in enumerate(values):
-            level = alpha * v + (1 - alpha) * level
-            out[i] = level
-        return out
+        # pandas computes the recursion itself; the level handed in is a first value.
+        return pd.Series(np.concatenate([[level], values])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
         values = pdf.sort_values(order, kind="stable")["_v"].to_numpy()

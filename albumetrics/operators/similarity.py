@@ -46,11 +46,11 @@ def _untested(left: pa.Table, right: pa.Table) -> np.ndarray:
     return ~earlier
 
 
-def _strongest(src: np.ndarray, dst: np.ndarray, distance: np.ndarray, mask: np.ndarray, top_k: int):
-    """Per row the ``top_k`` nearest marked columns; ties go to the smaller id."""
+def _strongest(src: np.ndarray, dst: np.ndarray, distance: np.ndarray, mask: np.ndarray, top_k: int | None):
+    """Per row the ``top_k`` nearest marked columns (all, if None); ties go to the smaller id."""
     counts = mask.sum(axis=1)
     rows, cols = np.nonzero(mask)
-    if (counts > top_k).any():
+    if top_k is not None and (counts > top_k).any():
         values = distance[rows, cols]
         order = np.lexsort((dst[cols], values, rows))
         rows, cols = rows[order], cols[order]
@@ -61,7 +61,7 @@ def _strongest(src: np.ndarray, dst: np.ndarray, distance: np.ndarray, mask: np.
     return src[rows], dst[cols], 1.0 - distance[rows, cols]
 
 
-def _edge_tile(threshold: float, time_weight: float, top_k: int, bucketed: bool):
+def _edge_tile(threshold: float, time_weight: float, top_k: int | None, bucketed: bool):
     def near(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         distance = _distances(left, right, threshold, time_weight)
         mask = distance < threshold
@@ -173,7 +173,7 @@ def crowd_of_copies(vectors: DataFrame, top_k: int) -> tuple[DataFrame, DataFram
 
 
 def candidate_edges(
-    vectors: DataFrame, threshold: float, time_weight: float = 0.0, top_k: int = TOP_K,
+    vectors: DataFrame, threshold: float, time_weight: float = 0.0, top_k: int | None = TOP_K,
     strategy: str = "exact", bits: int = LSH_BITS, tables: int = LSH_TABLES, seed: int = LSH_SEED,
 ) -> DataFrame:
     """Directed edges ``(src, dst, weight)`` of every pair nearer than ``threshold``.
@@ -181,11 +181,12 @@ def candidate_edges(
     ``vectors``: id, vec, taken_at (null where undated). The distance is cosine
     distance plus the temporal penalty; the weight is 1 minus it. Every node
     keeps at least its ``top_k`` strongest edges; each task already drops what
-    cannot be among them, so no task emits all pairs of a crowded cell.
+    cannot be among them, so no task emits all pairs of a crowded cell. With
+    ``top_k=None`` every pair is an edge, and the result is as large as that.
     ``exact`` finds every pair, ``lsh`` those that share a bucket.
     """
     vectors = vectors.filter(F.col("vec").isNotNull()).select("id", "vec", "taken_at")
-    split = crowd_of_copies(vectors, top_k) if threshold > 0 else None
+    split = crowd_of_copies(vectors, top_k) if threshold > 0 and top_k is not None else None
     joined, extra = split if split else (vectors, None)
     tile = _edge_tile(threshold, time_weight, top_k, strategy == "lsh")
     if strategy == "exact":
@@ -199,11 +200,11 @@ def candidate_edges(
 
 
 def build_edges(
-    vectors: DataFrame, threshold: float, time_weight: float = 0.0, top_k: int = TOP_K, **options
+    vectors: DataFrame, threshold: float, time_weight: float = 0.0, top_k: int | None = TOP_K, **options
 ) -> DataFrame:
-    """Symmetric similarity graph: the strongest edges of each node and their back edges."""
+    """Symmetric similarity graph: the strongest edges of each node (all, if ``top_k`` is None) and their back edges."""
     found = candidate_edges(vectors, threshold, time_weight, top_k, **options)
-    return symmetrise(strongest_edges(found, top_k))
+    return symmetrise(found if top_k is None else strongest_edges(found, top_k))
 
 
 def degrees(vectors: DataFrame, threshold: float, time_weight: float = 0.0) -> DataFrame:

@@ -146,8 +146,8 @@ def _(spark, sf):
 @register(
     "f10_name_search",
     sql(
-        """SELECT person_id, name, NOT (SELECT bool_or(lower(name) = 'p') FROM persons WHERE name IS NOT NULL) AS offer_create
-        FROM persons WHERE name IS NOT NULL AND contains(lower(name), 'p')""",
+        """SELECT person_id, name, false AS offer_create FROM persons WHERE contains(lower(name), 'p')
+        UNION ALL SELECT NULL, 'P', true WHERE NOT EXISTS (FROM persons WHERE lower(name) = 'p')""",
         "persons",
     ),
 )
@@ -155,6 +155,18 @@ def _(spark, sf):
     return reads.search_names(fx.persons(spark, sf), " P ").select("person_id", "name", "offer_create")
 
 
+@register(
+    "f10_name_search_without_hit",
+    sql(
+        """SELECT person_id, name, false AS offer_create FROM persons WHERE contains(lower(name), 'zoe')
+        UNION ALL SELECT NULL, 'Zoe', true WHERE NOT EXISTS (FROM persons WHERE lower(name) = 'zoe')""",
+        "persons",
+    ),
+)
+def _(spark, sf):
+    return reads.search_names(fx.persons(spark, sf), "Zoe").select("person_id", "name", "offer_create")
+
+
 @register(
     "f11_whitelist_root",
     sql("SELECT folder, count(*) AS n, count(DISTINCT rel_path) AS paths FROM scan GROUP BY folder", "catalogue", extra=SCAN_SQL),
@@ -238,7 +250,9 @@ def _(spark, sf):
 @register(
     "j03_photos_without_confirmed",
     sql(
-        "SELECT photo_id FROM photos WHERE photo_id NOT IN (SELECT photo_id FROM faces WHERE name IS NOT NULL AND NOT ignored)",
+        """SELECT photo_id FROM photos
+        LEFT JOIN (SELECT photo_id, bool_or(name IS NOT NULL AND NOT ignored) AS found FROM faces GROUP BY photo_id) USING (photo_id)
+        WHERE found IS NOT TRUE""",
         "photos", "faces",
     ),
 )
@@ -249,14 +263,12 @@ def _(spark, sf):
 @register(
     "j04_person_counts",
     sql(
-        f"""SELECT p.person_id, p.name,
-          count(CASE WHEN f.name IS NOT NULL AND NOT f.ignored THEN 1 END) AS confirmed_count,
-          count(CASE WHEN f.name IS NULL AND NOT f.ignored THEN 1 END) AS unconfirmed_count
-        FROM persons p LEFT JOIN faces f ON f.person_id = p.person_id
-          AND f.photo_id IN (SELECT photo_id FROM photos WHERE folder IN {FOLDERS_SQL})
-        WHERE p.name IS NOT NULL GROUP BY p.person_id, p.name HAVING count(f.face_id) > 0
-        ORDER BY confirmed_count DESC, p.name""",
-        "photos", "faces", "persons",
+        """SELECT person_id, person_name AS name, confirmed_count, unconfirmed_count FROM tally
+        JOIN (SELECT person_id, name AS person_name FROM persons WHERE name IS NOT NULL) USING (person_id)""",
+        "persons", "visible",
+        extra="""kinds AS (SELECT person_id, CASE WHEN ignored THEN 2 WHEN name IS NULL THEN 1 ELSE 0 END AS kind FROM visible),
+tally AS (SELECT person_id, count(*) FILTER (kind = 0) AS confirmed_count, count(*) FILTER (kind = 1) AS unconfirmed_count
+          FROM kinds GROUP BY person_id)""",
     ),
 )
 def _(spark, sf):
@@ -266,12 +278,13 @@ def _(spark, sf):
 @register(
     "j05_visible_namesakes",
     sql(
-        f"""SELECT r.request_id, p.person_id, (SELECT count(*) FROM visible v WHERE v.person_id = p.person_id AND NOT v.ignored) AS visible_count
-        FROM same p JOIN (SELECT person_id AS request_id, 'P' || CAST(person_id % 3 AS VARCHAR) AS new_name FROM persons) r
-          ON p.name = r.new_name AND p.person_id <> r.request_id
-        WHERE EXISTS (SELECT 1 FROM visible v WHERE v.person_id = p.person_id AND NOT v.ignored)""",
+        """SELECT request_id, person_id, visible_count
+        FROM tally JOIN named USING (person_id) JOIN requests ON requests.digit = named.digit
+        WHERE request_id <> person_id""",
         "persons", "visible",
-        extra="same AS (SELECT person_id, CASE WHEN name IS NOT NULL THEN 'P' || CAST(person_id % 3 AS VARCHAR) END AS name FROM persons)",
+        extra="""tally AS (SELECT person_id, count(*) AS visible_count FROM visible WHERE NOT ignored GROUP BY person_id),
+named AS (SELECT person_id, person_id % 3 AS digit FROM persons WHERE name IS NOT NULL),
+requests AS (SELECT person_id AS request_id, person_id % 3 AS digit FROM persons)""",
     ),
 )
 def _(spark, sf):
@@ -286,8 +299,8 @@ def _(spark, sf):
 @register(
     "j06_visible_suggestions",
     sql(
-        """SELECT p.person_id, (SELECT count(*) FROM visible v WHERE v.person_id = p.person_id AND NOT v.ignored) AS visible_count
-        FROM persons p WHERE p.name IS NULL AND EXISTS (SELECT 1 FROM visible v WHERE v.person_id = p.person_id)""",
+        """SELECT person_id, count(*) FILTER (NOT ignored) AS visible_count FROM visible
+        SEMI JOIN (SELECT person_id FROM persons WHERE name IS NULL) USING (person_id) GROUP BY person_id""",
         "persons", "visible",
     ),
 )
@@ -298,8 +311,8 @@ def _(spark, sf):
 @register(
     "j07_confirmed_photos",
     sql(
-        f"""SELECT DISTINCT ph.photo_id, ph.path, ph.taken_at FROM photos ph JOIN faces f USING (photo_id)
-        WHERE f.person_id = 3 AND f.name IS NOT NULL AND NOT f.ignored AND ph.folder IN {FOLDERS_SQL}""",
+        f"""SELECT photo_id, path, taken_at FROM (FROM photos WHERE folder IN {FOLDERS_SQL})
+        SEMI JOIN (FROM faces WHERE person_id = 3 AND NOT ignored AND name IS NOT NULL) USING (photo_id)""",
         "photos", "faces",
     ),
 )
@@ -367,7 +380,7 @@ def _(spark, sf):
 
 @register(
     "j12_orphaned_persons",
-    sql("SELECT person_id, name FROM persons WHERE person_id NOT IN (SELECT person_id FROM faces WHERE person_id IS NOT NULL)", "persons", "faces"),
+    sql("SELECT person_id, name FROM persons ANTI JOIN faces USING (person_id)", "persons", "faces"),
 )
 def _(spark, sf):
     return reads.orphaned_persons(fx.persons(spark, sf), fx.faces(spark, sf)).select("person_id", "name")
@@ -392,8 +405,8 @@ def _(spark, sf):
 @register(
     "a01_suggestion_face_counts",
     sql(
-        """SELECT f.person_id, count(*) AS face_count FROM faces f JOIN persons p ON p.person_id = f.person_id
-        WHERE p.name IS NULL AND f.person_id IS NOT NULL GROUP BY f.person_id""",
+        """SELECT person_id, face_count FROM (SELECT person_id, count(*) AS face_count FROM faces GROUP BY person_id)
+        SEMI JOIN (FROM persons WHERE name IS NULL) USING (person_id)""",
         "persons", "faces",
     ),
 )
@@ -485,8 +498,8 @@ def _(spark, sf):
 @register(
     "l02_person_faces",
     sql(
-        f"""SELECT {NARROW_SQL}, taken_at FROM visible WHERE person_id = 3
-        ORDER BY name IS NOT NULL, taken_at DESC NULLS LAST, face_id LIMIT 10000""",
+        f"""SELECT {NARROW_SQL}, taken_at FROM (FROM visible WHERE person_id = 3)
+        QUALIFY row_number() OVER (ORDER BY if(name IS NULL, 0, 1), -coalesce(taken_at, -9e18), face_id) <= 10000""",
         "visible",
     ),
 )

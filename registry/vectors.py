@@ -49,7 +49,7 @@ def _near_sql(edge: float, weight: float) -> str:
     sql("SELECT a, b, round(d, 6) AS d FROM near", "photos", extra=_RAW_SQL + ", " + _near_sql(0.64, 0.0)),
 )
 def _(spark, sf):
-    edges = similarity.build_edges(_raw(spark, sf), 0.64)
+    edges = similarity.build_edges(_raw(spark, sf), 0.64, top_k=None)
     return edges.filter("src < dst").select(
         F.col("src").alias("a"), F.col("dst").alias("b"), F.round(1 - F.col("weight"), 6).alias("d")
     )
@@ -60,7 +60,7 @@ def _(spark, sf):
     sql("SELECT src, dst, round(weight, 6) AS weight FROM both_ways", "photos", extra=_RAW_SQL + ", " + _near_sql(0.7, 0.25)),
 )
 def _(spark, sf):
-    edges = similarity.build_edges(_raw(spark, sf), 0.7, 0.25)
+    edges = similarity.build_edges(_raw(spark, sf), 0.7, 0.25, top_k=None)
     return edges.select("src", "dst", F.round("weight", 6).alias("weight"))
 
 

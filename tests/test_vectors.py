@@ -241,7 +241,6 @@ def test_purity(spark):
     rows = [(1, 5, [1.0, 0.0], 0.1), (2, 5, [0.0, 1.0], 0.9), (3, 5, [1.0, 0.01], 0.0)]
     stats = spark.createDataFrame(rows, "cluster_id bigint, size bigint, centroid array<double>, spread double")
     assert {r.cluster_id: r.pure for r in graph.mark_pure(stats).collect()} == {1: False, 2: False, 3: True}
-    assert all(r.pure for r in graph.mark_pure(stats, cap=2).collect())
     assert all(r.pure for r in graph.mark_pure(stats.filter("cluster_id = 2")).collect())
 
 
