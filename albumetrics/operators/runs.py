@@ -51,17 +51,23 @@ def over_limit(config: GateConfig, blocked: bool) -> Column:
     return low | hot | (F.col("thermal") >= THERMAL_SEVERE)
 
 
-def gate_states(telemetry: DataFrame, config: GateConfig | None = None, block: int = BLOCK) -> DataFrame:
+def gate_states(
+    telemetry: DataFrame, config: GateConfig | None = None, block: int = BLOCK, start: DataFrame | None = None
+) -> DataFrame:
     """Telemetry ``(device, seq, battery_pct, temp_c, thermal)`` with ``blocked`` per reading.
 
     A reading past a pause limit blocks, one inside the resume limits clears;
     any other leaves the state alone, so the state is the last that decided.
+    ``start`` (device, blocked) is the state before the first reading.
     """
     config = config or GateConfig()
     decision = F.when(over_limit(config, False), True).when(~over_limit(config, True), False)
     marked = telemetry.withColumn("_decision", decision)
     filled = carry_forward(marked, "device", "seq", "_decision", "blocked", block)
-    return filled.withColumn("blocked", F.coalesce("blocked", F.lit(False))).drop("_decision")
+    if start is None:
+        return filled.withColumn("blocked", F.coalesce("blocked", F.lit(False))).drop("_decision")
+    begun = filled.join(start.select("device", F.col("blocked").alias("_start")), "device", "left")
+    return begun.withColumn("blocked", F.coalesce("blocked", "_start", F.lit(False))).drop("_decision", "_start")
 
 
 def pause_accounting(events: DataFrame, block: int = HOUR_MS) -> DataFrame:

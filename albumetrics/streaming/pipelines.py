@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from albumetrics.operators import catalog, matching
 from albumetrics.schema import PHOTOS_DDL, STAGE_DONE, STAGE_NEEDS_DETECTION, STAGE_NEW
-from albumetrics.sources.workspace import child_names
+from albumetrics.sources.workspace import child_names, materialize
 from albumetrics.streaming.changes import ChangeLog
 
 
@@ -24,8 +24,10 @@ def start_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], c
 class MediaIngest:
     """Catalogue entries to photo rows, with a high-water mark per batch.
 
-    The mark moves only to the newest modification time that a batch has fully
-    handled. ``force`` starts over, whatever the mark says.
+    A stream brings each entry once, in any order, and its checkpoint says what
+    is new, so its batches are not sifted by the mark. The mark, the newest
+    modification time handled, serves ``rescan`` of a whole catalogue. ``force``
+    starts over, whatever the mark says.
     """
 
     def __init__(self, spark: SparkSession, root: str, folders: list[str], force: bool = False):
@@ -42,7 +44,28 @@ class MediaIngest:
         return marks.agg(F.max("mark")).first()[0]
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
-        entries = catalog.scan(batch, self.folders, self.mark(before=batch_id), ordered=False)
+        self._store(batch, catalog.scan(batch, self.folders, ordered=False), batch_id)
+
+    def rescan(self, catalogue: DataFrame, batch_id: int) -> DataFrame:
+        """Read a whole catalogue as batch ``batch_id``; returns the ids of photos whose faces no longer hold.
+
+        Entries up to the mark are left out, unless forced or while no photo is
+        stored. A forced rescan also takes out the photos that the catalogue no
+        longer has. The faces of those, and of modified photos, are to be dropped.
+        """
+        known = self.photos.read(before=batch_id)
+        since = None if self.force or known.isEmpty() else self.mark(before=batch_id)
+        actions = catalog.reconcile(catalog.scan(catalogue, self.folders, since, ordered=False), known)
+        stale = actions.filter("action = 'MODIFIED'").select("photo_id")
+        gone = None
+        if self.force:
+            gone = catalog.missing_paths(known, catalogue).select("photo_id")
+            stale = stale.unionByName(gone)
+        stale = materialize(stale, "stale")
+        self._store(catalogue, catalog.scan(catalogue, self.folders, since, ordered=False), batch_id, gone)
+        return stale
+
+    def _store(self, batch: DataFrame, entries: DataFrame, batch_id: int, gone: DataFrame | None = None) -> None:
         # Photos of this table are named after their path.
         asked = entries.select(catalog.path_id(F.col("path")).alias("photo_id"))
         known = self.photos.read(before=batch_id, only=asked)
@@ -51,6 +74,10 @@ class MediaIngest:
             F.coalesce("photo_id", catalog.path_id(F.col("path"))).alias("photo_id"), "path", "folder", "modified_at",
             "taken_at", F.lit(STAGE_NEW).alias("stage"), F.lit(False).alias("pending_xmp_write"),
         )
+        rows = rows.withColumn("deleted", F.lit(False))
+        if gone is not None:
+            out = self.photos.read(before=batch_id).join(gone, "photo_id", "left_semi").withColumn("deleted", F.lit(True))
+            rows = rows.unionByName(out.select(rows.columns))
         self.photos.write(batch_id, rows)
         handled = catalog.jpegs(batch).agg(F.max("modified_at").alias("mark"))
         handled.write.mode("overwrite").parquet(f"{self.root}/marks/batch={batch_id}")

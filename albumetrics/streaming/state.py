@@ -1,98 +1,76 @@
-"""Per-key state over streams: device alarms and remaining time."""
+"""Per-key results over streams: device alarms and remaining time, batch by batch.
 
-from __future__ import annotations
+A batch goes through the same block functions as a whole table, so its rows are ordered across everything that arrives
+together and no key is held in one task. Each batch writes folders of its own; replaying it changes nothing.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import functions as F
 
-from albumetrics.operators.runs import ALPHA, THERMAL_SEVERE, WARMUP, GateConfig
+from albumetrics.operators.runs import ALPHA, HOUR_MS, WARMUP, GateConfig, gate_states, remaining_time
+from albumetrics.operators.sequences import BLOCK
+from albumetrics.sources.workspace import child_names, materialize
+from albumetrics.streaming.changes import ChangeLog
+from albumetrics.streaming.pipelines import start_batches
 
 
-def use_state_store(spark: SparkSession) -> None:
-    """Per-key state needs the RocksDB state store; set it before a query starts."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
+class GateStream:
+    """Alarm state per reading ``(device, seq, battery_pct, temp_c, thermal)``.
 
+    Readings count in the order of arrival, and by ``seq`` within a batch. Between batches one row per device is carried.
+    """
 
-class _Gate(StatefulProcessor):
-    def __init__(self, config: GateConfig):
-        self.config = config
+    ddl = "device bigint, seq bigint, blocked boolean"
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.blocked = handle.getValueState("blocked", "blocked boolean")
+    def __init__(self, spark: SparkSession, root: str, config: GateConfig | None = None, block: int = BLOCK):
+        self.spark, self.root, self.config, self.block = spark, root.rstrip("/"), config or GateConfig(), block
+        self.carried = ChangeLog(spark, f"{self.root}/carried", "device bigint, blocked boolean", "device")
 
-    def _bad(self, row, blocked: bool) -> bool:
-        battery, temp = self.config.limits(blocked)
-        return bool(0 <= row.battery_pct < battery or (row.temp_c > 0 and row.temp_c > temp) or row.thermal >= THERMAL_SEVERE)
+    def handle(self, batch: DataFrame, batch_id: int) -> None:
+        start = self.carried.read(before=batch_id, only=batch)
+        states = gate_states(batch, self.config, self.block, start).select("device", "seq", "blocked")
+        path = f"{self.root}/states/batch={batch_id}"
+        states.write.mode("overwrite").parquet(path)
+        written = self.spark.read.schema(self.ddl).parquet(path)
+        self.carried.write(batch_id, written.groupBy("device").agg(F.max_by("blocked", "seq").alias("blocked")))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        blocked = bool(self.blocked.get()[0]) if self.blocked.exists() else False
-        for frame in rows:
-            states = []
-            for row in frame.sort_values("seq").itertuples():
-                blocked = self._bad(row, blocked)
-                states.append((key[0], row.seq, blocked))
-            yield pd.DataFrame(states, columns=["device", "seq", "blocked"])
-        self.blocked.update((blocked,))
+    def run(self, stream: DataFrame, checkpoint: str) -> None:
+        start_batches(stream, self.handle, checkpoint).awaitTermination()
 
-    def close(self) -> None:
-        pass
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.ddl}, batch bigint").parquet(f"{self.root}/states").drop("batch")
 
 
-def gate_stream(telemetry: DataFrame, config: GateConfig | None = None) -> DataFrame:
-    """Alarm state per reading of a stream ``(device, seq, battery_pct, temp_c, thermal)``.
+class RemainingStream:
+    """Remaining time per progress event ``(run, ts_ms, done, total, paused_ms)``, from what is known at its batch.
 
-    Readings of a device count in the order of arrival, and by ``seq`` within
-    what arrives together.
+    Events are kept; a batch reads back those of its own runs only, so an event that arrives late takes its place.
     """
-    return telemetry.groupBy("device").transformWithStateInPandas(
-        statefulProcessor=_Gate(config or GateConfig()), outputStructType="device bigint, seq bigint, blocked boolean",
-        outputMode="Append", timeMode="None",
-    )
-
-
-class _Remaining(StatefulProcessor):
-    _schema = "last_done bigint, last_ms bigint, paused bigint, ema double"
-
-    def __init__(self, warmup: int, alpha: float):
-        self.warmup, self.alpha = warmup, alpha
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.progress = handle.getValueState("progress", self._schema)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last_done, last_ms, paused, ema = self.progress.get() if self.progress.exists() else (None, None, 0, None)
-        for frame in rows:
-            out = []
-            for row in frame.sort_values("ts_ms").itertuples():
-                paused += max(0, int(row.paused_ms))
-                if last_ms is None:
-                    last_done, last_ms = int(row.done), int(row.ts_ms)
-                elif row.done > last_done:
-                    items, working = int(row.done) - last_done, int(row.ts_ms) - last_ms - paused
-                    last_done, last_ms, paused = int(row.done), int(row.ts_ms), 0
-                    if working > 0 and row.done > self.warmup:
-                        step = working / items
-                        ema = step if ema is None else self.alpha * step + (1 - self.alpha) * ema
-                left = None if ema is None or row.done >= row.total else int((row.total - row.done) * ema)
-                out.append((key[0], int(row.ts_ms), left))
-            frame_out = pd.DataFrame(out, columns=["run", "ts_ms", "remaining_ms"])
-            frame_out["remaining_ms"] = frame_out["remaining_ms"].astype("Int64")
-            yield frame_out
-        self.progress.update((last_done, last_ms, paused, ema))
-
-    def close(self) -> None:
-        pass
-
-
-def remaining_stream(progress: DataFrame, warmup: int = WARMUP, alpha: float = ALPHA) -> DataFrame:
-    """Remaining time per progress event of a stream ``(run, ts_ms, done, total, paused_ms)``."""
-    return progress.groupBy("run").transformWithStateInPandas(
-        statefulProcessor=_Remaining(warmup, alpha), outputStructType="run bigint, ts_ms bigint, remaining_ms bigint",
-        outputMode="Append", timeMode="None",
-    )
+
+    events = "run bigint, ts_ms bigint, done bigint, total bigint, paused_ms bigint"
+    ddl = "run bigint, ts_ms bigint, per_item_ms double, remaining_ms bigint"
+
+    def __init__(self, spark: SparkSession, root: str, warmup: int = WARMUP, alpha: float = ALPHA, block: int = HOUR_MS):
+        self.spark, self.root, self.warmup, self.alpha, self.block = spark, root.rstrip("/"), warmup, alpha, block
+
+    def handle(self, batch: DataFrame, batch_id: int) -> None:
+        names = ("run", "ts_ms", "done", "total", "paused_ms")
+        arrived = materialize(batch.select(*[F.col(c).cast("bigint").alias(c) for c in names]), "arrived")
+        history = arrived
+        if any(n.startswith("batch=") for n in child_names(self.spark, f"{self.root}/events")):
+            kept = self.spark.read.schema(f"{self.events}, batch bigint").parquet(f"{self.root}/events")
+            earlier = kept.filter(F.col("batch") < batch_id).join(arrived.select("run").distinct(), "run", "left_semi")
+            history = arrived.unionByName(earlier.select(*names))
+        known = remaining_time(materialize(history, "history"), self.warmup, self.alpha, self.block)
+        new = known.join(arrived.select("run", "ts_ms").distinct(), ["run", "ts_ms"], "left_semi")
+        new.select("run", "ts_ms", "per_item_ms", "remaining_ms").write.mode("overwrite").parquet(
+            f"{self.root}/remaining/batch={batch_id}")
+        arrived.write.mode("overwrite").parquet(f"{self.root}/events/batch={batch_id}")
+
+    def run(self, stream: DataFrame, checkpoint: str) -> None:
+        start_batches(stream, self.handle, checkpoint).awaitTermination()
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(f"{self.ddl}, batch bigint").parquet(f"{self.root}/remaining").drop("batch")

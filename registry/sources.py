@@ -308,17 +308,17 @@ def progress_events(spark, sf):
     )
 
 
-@register(
-    "t06_remaining_time",
-    """WITH p AS (SELECT user_id AS run, epoch_us(ts) // 1000 AS ts_ms, event_id - event_id % 3 AS done, CASE WHEN event_type = 'view' THEN 60000 ELSE 0 END AS paused_ms FROM events),
+REMAINING_SQL = """WITH p AS (SELECT user_id AS run, epoch_us(ts) // 1000 AS ts_ms, event_id - event_id % 3 AS done, CASE WHEN event_type = 'view' THEN 60000 ELSE 0 END AS paused_ms FROM events),
     c AS (SELECT *, sum(paused_ms) OVER w AS paused, max(done) OVER (PARTITION BY run ORDER BY ts_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top
       FROM p WINDOW w AS (PARTITION BY run ORDER BY ts_ms)),
     a AS (SELECT *, lag(ts_ms) OVER w AS pt, lag(done) OVER w AS pd, lag(CASE WHEN top IS NULL THEN 0 ELSE paused END) OVER w AS pp FROM c WHERE top IS NULL OR done > top
       WINDOW w AS (PARTITION BY run ORDER BY ts_ms)),
     m AS (SELECT run, ts_ms, CAST(ts_ms - pt - (paused - pp) AS DOUBLE) / (done - pd) AS x FROM a WHERE ts_ms - pt - (paused - pp) > 0 AND done > 8),
     l AS (SELECT c.run, c.ts_ms, c.done, (SELECT list(x ORDER BY m.ts_ms) FROM m WHERE m.run = c.run AND m.ts_ms <= c.ts_ms) AS xs FROM c)
-    SELECT run, ts_ms, round(CASE WHEN len(xs) > 0 THEN list_reduce(xs, lambda s, x: 0.15 * x + 0.85 * s) END, 3) AS per_item_ms FROM l""",
-)
+    SELECT run, ts_ms, round(CASE WHEN len(xs) > 0 THEN list_reduce(xs, lambda s, x: 0.15 * x + 0.85 * s) END, 3) AS per_item_ms FROM l"""
+
+
+@register("t06_remaining_time", REMAINING_SQL)
 def _(spark, sf):
     left = runs.remaining_time(progress_events(spark, sf))
     return left.select("run", "ts_ms", F.round("per_item_ms", 3).alias("per_item_ms"))

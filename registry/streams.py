@@ -11,6 +11,7 @@ from registry import fixtures as fx
 from registry import register
 from registry.fixtures import FOLDERS, sql
 from registry.reads import SCAN_SQL
+from registry.sources import REMAINING_SQL
 from registry.vectors import _MATCH_VIEWS, _raw_extra, _BAND, _BEST_SQL, _HEAVY, _LABEL_SQL
 
 
@@ -50,6 +51,35 @@ def _(spark, sf):
     return forced.photos.read().select("path", "folder", "modified_at", "stage")
 
 
+@register(
+    "t01_ingest_unordered",
+    sql("SELECT path, folder, modified_at, taken_at, CAST(0 AS INTEGER) AS stage FROM scan", "catalogue", extra=SCAN_SQL),
+)
+def _(spark, sf):
+    """Three batches whose times overlap: nothing is lost, whatever came before."""
+    ingest = pipelines.MediaIngest(spark, new_path(spark, "unordered"), FOLDERS)
+    catalogue = fx.catalogue(spark, sf)
+    for batch_id, part in enumerate((2, 0, 1)):
+        ingest.handle(catalogue.filter(F.pmod(F.col("modified_at") / 1000, F.lit(3)).cast("int") == part), batch_id)
+    return ingest.photos.read().select("path", "folder", "modified_at", "taken_at", "stage")
+
+
+@register(
+    "t05_resync_with_deletions",
+    sql(
+        """SELECT path, folder, modified_at, CAST(0 AS INTEGER) AS stage FROM scan WHERE NOT path LIKE '%7.jpg'""",
+        "catalogue", extra=SCAN_SQL,
+    ),
+)
+def _(spark, sf):
+    """A forced rescan of a catalogue that has lost files takes their photos out."""
+    ingest = pipelines.MediaIngest(spark, new_path(spark, "deletions"), FOLDERS, force=True)
+    catalogue = fx.catalogue(spark, sf)
+    ingest.handle(catalogue, 0)
+    ingest.rescan(catalogue.filter("NOT path LIKE '%7.jpg'"), 1)
+    return ingest.photos.read().select("path", "folder", "modified_at", "stage")
+
+
 @register(
     "t02_stages",
     sql(
@@ -100,16 +130,6 @@ def _(spark, sf):
     return spark.read.schema("person_id bigint, state string, n bigint").parquet(f"{root}/counts")
 
 
-def _collect(stream, root, schema):
-    """Run a stateful stream to its end into a table."""
-    state.use_state_store(stream.sparkSession)
-    (
-        stream.writeStream.outputMode("append").format("parquet").option("path", f"{root}/out")
-        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    )
-    return stream.sparkSession.read.schema(schema).parquet(f"{root}/out")
-
-
 @register(
     "t07_gate_stream",
     """WITH d AS (SELECT user_id AS device, event_id AS seq, (event_id * 7) % 50 + 10 AS b, 20 + value % 24 AS t, CASE WHEN event_id % 97 = 0 THEN 3 ELSE 0 END AS th FROM events),
@@ -121,13 +141,17 @@ def _(spark, sf):
         "user_id AS device", "event_id AS seq", "CAST((event_id * 7) % 50 + 10 AS INT) AS battery_pct",
         "CAST(20 + value % 24 AS DOUBLE) AS temp_c", "CASE WHEN event_id % 97 = 0 THEN 3 ELSE 0 END AS thermal",
     )
-    return _collect(state.gate_stream(stream), new_path(spark, "gate"), "device bigint, seq bigint, blocked boolean")
+    gate = state.GateStream(spark, new_path(spark, "gate"), block=500)
+    gate.run(stream, f"{gate.root}/checkpoint")
+    return gate.read()
 
 
-@register("t06_remaining_stream")
+@register("t06_remaining_stream", REMAINING_SQL)
 def _(spark, sf):
     stream = _stream(spark, sf, "events").selectExpr(
         "user_id AS run", "timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts) AS ts_ms", "event_id - event_id % 3 AS done", "2000000 AS total",
         "CASE WHEN event_type = 'view' THEN 60000 ELSE 0 END AS paused_ms",
     )
-    return _collect(state.remaining_stream(stream), new_path(spark, "remaining"), "run bigint, ts_ms bigint, remaining_ms bigint")
+    remaining = state.RemainingStream(spark, new_path(spark, "remaining"))
+    remaining.run(stream, f"{remaining.root}/checkpoint")
+    return remaining.read().select("run", "ts_ms", F.round("per_item_ms", 3).alias("per_item_ms"))
