@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,21 +59,28 @@ def cosine_distance(a: pa.Array, b: pa.Array) -> pa.Array:
 @F.arrow_udf(T.BinaryType())
 def vector_to_bytes(vectors: pa.Array) -> pa.Array:
     """Vectors as little-endian float32 bytes."""
-    return pa.array(
-        [None if v is None else np.asarray(v, "<f4").tobytes() for v in vectors.to_pylist()],
-        pa.binary(),
-    )
+    present = np.asarray(vectors.is_valid())
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype("<f4")
+    sizes = np.where(present, vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+    return _joined(values.tobytes(), sizes * 4, present)
+
+
+def _joined(data: bytes, sizes: np.ndarray, present: np.ndarray) -> pa.Array:
+    """One binary array over one buffer, cut by the sizes."""
+    edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    valid = pa.py_buffer(np.packbits(present, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [valid, pa.py_buffer(edges.tobytes()), pa.py_buffer(data)])
 
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def bytes_to_vector(blobs: pa.Array) -> pa.Array:
-    return pa.array(
-        [
-            None if b is None else np.frombuffer(b, "<f4", count=len(b) // 4).astype(np.float64)
-            for b in blobs.to_pylist()
-        ],
-        pa.list_(pa.float64()),
-    )
+    present = np.asarray(blobs.is_valid())
+    sizes = np.where(present, pc.binary_length(blobs).fill_null(0).to_numpy(zero_copy_only=False), 0) // 4
+    # Bytes that make no whole number at the end of a blob are left out.
+    data = b"".join(b[:len(b) // 4 * 4] for b in blobs.drop_null().to_pylist())
+    edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    values = pa.array(np.frombuffer(data, "<f4").astype(np.float64))
+    return pa.ListArray.from_arrays(pa.array(edges), values, mask=pa.array(~present))
 
 
 def _partial_sums(key_type: pa.DataType):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from albumetrics.functions.dates import month_key
@@ -316,7 +316,13 @@ def month_headers(photos: DataFrame) -> DataFrame:
 
 
 def month_list(photos: DataFrame) -> DataFrame:
-    """Photos with a flag on the first of each month of the date-descending list."""
+    """Photos with a flag on the first of each month of the date-descending list.
+
+    The first of a month is a least value, which tasks find before the shuffle; no month is sorted.
+    """
     keyed = photos.withColumn("month_key", month_key(F.col("taken_at")))
-    first = Window.partitionBy("month_key").orderBy(F.desc_nulls_last("taken_at"), "photo_id")
-    return keyed.withColumn("starts_month", F.row_number().over(first) == 1)
+    place = F.struct(F.coalesce(-F.col("taken_at"), F.lit((1 << 63) - 1)).alias("at"), "photo_id")
+    firsts = keyed.groupBy("month_key").agg(F.min(place).alias("_first"))
+    firsts = firsts.select(F.col("month_key").alias("_month"), F.col("_first.photo_id").alias("_id"))
+    joined = keyed.join(firsts, F.col("month_key").eqNullSafe(F.col("_month")))
+    return joined.withColumn("starts_month", F.col("photo_id") == F.col("_id")).drop("_month", "_id")

@@ -11,13 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def work_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where nothing names one (a local test session) is a folder made here.
+    Only where nothing names one in a local session, as in tests, is a folder made here; on a cluster that is an error,
+    since its executors share no local folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not configured and not context.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir names no shared folder")
     if not configured:
         configured = tempfile.mkdtemp(prefix="spark-albumetrics-")
         context.setCheckpointDir(configured)
