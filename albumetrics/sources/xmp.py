@@ -247,18 +247,23 @@ def tag_lists(packets: pa.Array) -> pa.Array:
     return pa.array([lists(p) for p in packets.to_pylist()], kind)
 
 
+# A face takes at least this much of a segment: its element with four numbers.
+FACES_PER_PACKET = 65_502 // 100
+
+
 def write_packets(
     photos: DataFrame, faces: DataFrame, packets: DataFrame | None = None, include_unnamed: bool = True
 ) -> DataFrame:
     """New packet per photo holding all its faces: ``(photo_id, packet)``.
 
-    A packet must fit one file segment of 64 KB, so the faces gathered per
-    photo are bounded by the format. ``packets`` are the present ones, whose
+    A packet must fit one file segment of 64 KB. Photos with more faces than
+    can fit are counted before any are gathered and keep their present packet;
+    ``overfull_photos`` lists them. ``packets`` are the present ones, whose
     other properties are kept.
     """
-    kept = faces.filter("region IS NOT NULL")
-    if not include_unnamed:
-        kept = kept.filter("name IS NOT NULL AND NOT ignored")
+    kept = _written_faces(faces, include_unnamed)
+    overfull = _overfull(kept)
+    kept = kept.join(overfull.select("photo_id"), "photo_id", "left_anti")
     fields = [F.col("name"), *[F.col(f"region.{c}").alias(c) for c in ("x", "y", "w", "h")]]
     gathered = kept.groupBy("photo_id").agg(
         F.array_sort(F.collect_list(F.struct("face_id", F.struct(*fields).alias("r")))).alias("_l")
@@ -269,7 +274,24 @@ def write_packets(
         joined = joined.withColumn("packet", F.lit(None).cast("string"))
     else:
         joined = joined.join(packets.select("photo_id", "packet"), "photo_id", "left")
-    return joined.select("photo_id", written_packet("packet", "_regions").alias("packet"))
+    marked = joined.join(overfull.select("photo_id", F.lit(True).alias("_full")), "photo_id", "left")
+    fresh = written_packet("packet", "_regions")
+    return marked.select("photo_id", F.when(F.col("_full"), F.col("packet")).otherwise(fresh).alias("packet"))
+
+
+def _written_faces(faces: DataFrame, include_unnamed: bool) -> DataFrame:
+    kept = faces.filter("region IS NOT NULL")
+    return kept if include_unnamed else kept.filter("name IS NOT NULL AND NOT ignored")
+
+
+def _overfull(kept: DataFrame) -> DataFrame:
+    counted = kept.groupBy("photo_id").agg(F.count(F.lit(1)).alias("n_faces"))
+    return counted.filter(F.col("n_faces") > FACES_PER_PACKET)
+
+
+def overfull_photos(faces: DataFrame, include_unnamed: bool = True) -> DataFrame:
+    """Photos whose faces cannot fit a packet: ``(photo_id, n_faces)``."""
+    return _overfull(_written_faces(faces, include_unnamed))
 
 
 def clear_packets(packets: DataFrame) -> DataFrame:
