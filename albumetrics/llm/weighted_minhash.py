@@ -33,7 +33,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from albumetrics.llm.bpe_stream import char_class
@@ -54,6 +54,8 @@ SURE, LIKELY, UNSURE = 0.92, 0.85, 0.66
 #: Unsure links between two trees that are verified first; the others are left to ``bridges``.
 FIRST = 4
 BRIDGE_BLOCK = 256
+#: Ids are sifted by this many marks before texts are joined by id.
+MARKS = 1 << 20
 
 _L1, _LN = (char_class("L", 0x100) + char_class("N", 0x100)), (char_class("L") + char_class("N"))
 _NARROW, _WIDE = re.compile(f"[{_L1}]+"), re.compile(f"[{_LN}]+")
@@ -347,7 +349,7 @@ def candidate_pairs(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = classes.select("doc_id", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     live = materialize(rows.join(sizes, "key"), "minhash-buckets")
-    drawn = classes.select("doc_id", "drawn")
+    drawn = materialize(classes.select("doc_id", "drawn").join(live.select("doc_id").distinct(), "doc_id"), "minhash-drawn")
     members = live.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / block)).cast("long"))
     pairs = _pairs_of(members.filter(F.col("n") <= block).join(drawn, "doc_id"), False)
     split = materialize(_pairs_of(members.filter(F.col("n") > block).join(drawn, "doc_id"), True), "minhash-split")
@@ -394,10 +396,20 @@ def _verify(weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_pylist(out, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())]))
 
 
+def _mark(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("long"), F.lit(3)), F.lit(MARKS))
+
+
+def _marks(ids: DataFrame, column: str) -> DataFrame:
+    """Marks of the ids: at most ``MARKS`` rows, so a broadcast. Texts without a mark need not travel to a join by id."""
+    return F.broadcast(ids.select(_mark(column).alias("mark")).distinct())
+
+
 def pair_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` of the documents in ``pairs``."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    return docs.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    near = docs.join(_marks(named, "doc_id"), _mark("doc_id") == F.col("mark"), "left_semi")
+    return near.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
 def verified_links(texts: DataFrame, pairs: DataFrame, weights: Weights) -> DataFrame:
@@ -506,7 +518,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
     texts = materialize(pair_texts(named, pairs), "minhash-texts")
     links = materialize(verified_links(texts, pairs, weights), "minhash-links")
     first = materialize(components(links), "minhash-roots")
-    more = bridges(texts, pairs, first, classes.select("doc_id", "drawn"), weights)
+    drawn = classes.select("doc_id", "drawn").join(texts.select("doc_id"), "doc_id", "left_semi")
+    more = bridges(texts, pairs, first, drawn, weights)
     roots = components(links.unionByName(more))
     named_classes = classes.select("same", F.col("doc_id").alias("rep")).join(
         roots.withColumnRenamed("doc_id", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("class_id"))
@@ -519,5 +532,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bloc
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id names its group (and those with a null id); all columns stay."""
     found = groups(docs, id_col, text_col)
-    copies = found.filter("class_id <> doc_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(copies, id_col, "left_anti").select(docs.columns)
+    copies = materialize(found.filter("class_id <> doc_id").select(F.col("doc_id").alias(id_col)), "minhash-copies")
+    marks = _marks(copies, id_col)
+    sure = docs.join(marks, _mark(id_col) == F.col("mark"), "left_anti")
+    rest = docs.join(marks, _mark(id_col) == F.col("mark"), "left_semi").join(copies, id_col, "left_anti")
+    return sure.unionByName(rest.select(docs.columns))
