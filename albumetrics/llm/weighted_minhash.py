@@ -10,8 +10,8 @@
 3. Documents that agree in all samples of a band share a bucket. Within a bucket similarities are estimated from the
    share of equal samples. A bucket gives a spanning forest of likely links (and a second, edge-disjoint one where the
    first is unsure) plus the strongest unsure links between its trees: about as many pairs as members, never all pairs.
-   Buckets of more than ``BLOCK`` members are dealt to blocks by hash; then the trees' most connected members meet again,
-   in pairs of blocks where they are still too many.
+   Buckets of more than ``BLOCK`` members are dealt to blocks by hash. Every two blocks meet with all their members; such
+   a meeting adds links across the two blocks only where trees of their own links do not connect them already.
 4. Each proposed pair is verified on the whole texts: weighted Jaccard similarity of at least ``LEAST``. Connected
    components of the verified links (large star, small star) are groups so far.
 5. What the proposals left out is settled exactly: documents that proposals connect, but whose verification left more
@@ -256,113 +256,100 @@ def _root(parent: list[int], x: int) -> int:
     return x
 
 
-def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[list[int], list[int]]:
-    """Positions of edges (strongest first) that join two trees, and the trees' roots."""
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of edges (in their order) that join two trees, and the trees' roots."""
     parent, taken = list(range(n)), []
-    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        x, y = _root(parent, x), _root(parent, y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            taken.append(k)
-            if len(taken) == n - 1:
-                break
-    return taken, [_root(parent, x) for x in range(n)]
-
-
-def propose(drawn: np.ndarray) -> tuple[list[tuple[int, int]], list[int]]:
-    """Pairs of members to verify, and the most connected member of each tree of likely links."""
+    roots = np.arange(n)
+    first, step = 0, 4096
+    while first < len(a) and len(taken) < n - 1:
+        # Edges within a tree are passed over, more of them at once as trees grow.
+        open_ = first + np.flatnonzero(roots[a[first:first + step]] != roots[b[first:first + step]])
+        for k, x, y in zip(open_.tolist(), a[open_].tolist(), b[open_].tolist()):
+            x, y = _root(parent, x), _root(parent, y)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                taken.append(k)
+        roots = np.array([_root(parent, x) for x in range(n)])
+        first, step = first + step, step * 2
+    return np.array(taken, np.int64), roots
+
+
+def propose(drawn: np.ndarray, own: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of members to verify. ``own``: the members' blocks; where they are two, only pairs across them."""
     n = len(drawn)
     equal = np.zeros((n, n), np.uint8)
     for column in drawn.T:
         equal += column[:, None] == column[None, :]
-    share = equal / np.float32(drawn.shape[1])
     a, b = np.nonzero(np.triu(equal >= UNSURE * drawn.shape[1], 1))
-    order = np.argsort(-share[a, b], kind="stable")
-    a, b = a[order], b[order]
-    strength = share[a, b]
+    strength = equal[a, b] / np.float32(drawn.shape[1])
+    across = np.ones(len(a), bool) if own is None or own.min() == own.max() else own[a] != own[b]
+    # Likely links first; among them, those within a block, whose own proposals hold them already.
     likely = int((strength >= LIKELY).sum())
+    order = np.lexsort((-strength, across & (strength >= LIKELY), strength < LIKELY))
+    a, b, strength, across = a[order], b[order], strength[order], across[order]
     taken, roots = _forest(a[:likely], b[:likely], n)
-    pairs = {(int(a[k]), int(b[k])) for k in taken}
+    chosen = taken.tolist()
     # Where the forest rests on weaker links, a second one without its edges.
-    if any(strength[k] < SURE for k in taken):
+    if (strength[taken] < SURE).any():
         rest = np.setdiff1d(np.arange(likely), taken)
         again, _ = _forest(a[rest], b[rest], n)
-        pairs |= {(int(a[rest[k]]), int(b[rest[k]])) for k in again if strength[rest[k]] < SURE}
+        chosen += [int(rest[k]) for k in again if strength[rest[k]] < SURE]
     between: dict[tuple[int, int], int] = {}
-    for x, y in zip(a[likely:].tolist(), b[likely:].tolist()):
-        trees = (min(roots[x], roots[y]), max(roots[x], roots[y]))
-        if trees[0] != trees[1] and between.get(trees, 0) < FIRST:
+    for k in (likely + np.flatnonzero(across[likely:] & (roots[a[likely:]] != roots[b[likely:]]))).tolist():
+        u, v = int(roots[a[k]]), int(roots[b[k]])
+        trees = (min(u, v), max(u, v))
+        if between.get(trees, 0) < FIRST:
             between[trees] = between.get(trees, 0) + 1
-            pairs.add((x, y))
-    links = (equal >= LIKELY * drawn.shape[1]).sum(axis=1)
-    leaders: dict[int, int] = {}
-    for x in range(n):
-        if roots[x] not in leaders or links[x] > links[leaders[roots[x]]]:
-            leaders[roots[x]] = x
-    return sorted(pairs), sorted(leaders.values())
+            chosen.append(k)
+    return sorted({(int(a[k]), int(b[k])) for k in chosen if across[k]})
 
 
-_PAIRS_DDL = "key long, a long, b long"
-
-
-def _bucket_pairs(lead: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by bucket and block in; pairs out, and leaders (``b`` null) of buckets that were split."""
-    held: list[tuple[tuple, int, bytes]] = []
-    out: list[tuple] = []
+def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by bucket and block in; pairs out."""
+    held: list[tuple[int, int, bytes]] = []
+    key = None
+    out: list[tuple[int, int]] = []
 
     def close() -> None:
-        members = {doc: drawn for _, doc, drawn in held}
-        if len(members) > 1 or lead:
+        members = {doc: (own, drawn) for doc, own, drawn in held}
+        if len(members) > 1:
             ids = sorted(members)
-            pairs, leaders = propose(np.stack([np.frombuffer(members[i], "<u2") for i in ids]))
-            key = held[0][0][0]
-            out.extend((key, ids[x], ids[y]) for x, y in pairs)
-            if lead:
-                out.extend((key, ids[x], None) for x in leaders)
+            pairs = propose(np.stack([np.frombuffer(members[i][1], "<u2") for i in ids]),
+                            np.array([members[i][0] for i in ids]))
+            out.extend((ids[x], ids[y]) for x, y in pairs)
         held.clear()
 
     def rows() -> pa.RecordBatch:
-        columns = zip(*out) if out else ((), (), ())
-        batch = pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("key", "a", "b"), columns)})
+        columns = zip(*out) if out else ((), ())
+        batch = pa.RecordBatch.from_pydict({n: pa.array(c, pa.int64()) for n, c in zip(("a", "b"), columns)})
         out.clear()
         return batch
 
     for batch in batches:
-        for key, block, doc, drawn in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            if held and held[0][0] != (key, block):
+        for bucket, block, *row in zip(*(batch.column(k).to_pylist() for k in range(5))):
+            if (bucket, block) != key:
                 close()
-            held.append(((key, block), doc, drawn))
+            key = (bucket, block)
+            held.append(tuple(row))
         yield rows()
-    if held:
-        close()
+    close()
     yield rows()
 
 
-def _pairs_of(members: DataFrame, lead: bool) -> DataFrame:
-    """``members``: key, block, doc_id, drawn."""
-    dealt = members.repartition("key", "block").sortWithinPartitions("key", "block")
-    return dealt.select("key", "block", "doc_id", "drawn").mapInArrow(partial(_bucket_pairs, lead), _PAIRS_DDL)
-
-
 def candidate_pairs(classes: DataFrame, block: int = BLOCK) -> DataFrame:
     """Distinct pairs ``a`` < ``b`` to verify. ``classes``: doc_id, bands, drawn; one row per different text."""
     rows = classes.select("doc_id", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     live = materialize(rows.join(sizes, "key"), "minhash-buckets")
     drawn = materialize(classes.select("doc_id", "drawn").join(live.select("doc_id").distinct(), "doc_id"), "minhash-drawn")
-    members = live.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / block)).cast("long"))
-    pairs = _pairs_of(members.filter(F.col("n") <= block).join(drawn, "doc_id"), False)
-    split = materialize(_pairs_of(members.filter(F.col("n") > block).join(drawn, "doc_id"), True), "minhash-split")
-    leaders = split.filter("b is null").select("key", F.col("a").alias("doc_id"))
-    counts = leaders.groupBy("key").agg(F.ceil(F.count("*") / (block // 2)).alias("n"))
-    met = leaders.join(counts, "key").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("n")))
-    # Every two blocks meet in one group, which holds both.
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)))))
-    met = met.filter((F.col("own") != F.col("other")) | (F.col("n") == 1))
+    members = live.withColumn("n", F.ceil(F.col("n") / block).cast("long")).join(drawn, "doc_id")
+    members = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")))
+    # Every two blocks of a bucket meet in one group, which holds all members of both.
+    met = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     met = met.withColumn("block", F.least("own", "other") * F.col("n") + F.greatest("own", "other"))
-    again = _pairs_of(met.select("key", "block", "doc_id").join(drawn, "doc_id"), False)
-    every = pairs.unionByName(split.filter("b is not null")).unionByName(again)
-    return every.select("a", "b").distinct()
+    dealt = met.repartition("key", "block").sortWithinPartitions("key", "block")
+    pairs = dealt.select("key", "block", "doc_id", "own", "drawn").mapInArrow(_bucket_pairs, "a long, b long")
+    return pairs.distinct()
 
 
 # --- verification and groups ----------------------------------------------------------------------------------------

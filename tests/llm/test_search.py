@@ -234,6 +234,31 @@ def test_groups_equal_brute_force(spark, block):
     assert wrong == 0 if block > 4 else wrong <= 3
 
 
+def test_blocks_of_a_bucket_meet_with_all_members(spark):
+    # A chain of drifting copies; its ends' neighbours are likely links, but the middles of its halves are far apart.
+    halves = {0: [], 1: []}
+    for r in spark.range(200).selectExpr("id", "pmod(xxhash64(id), 2) AS own").collect():
+        halves[r.own].append(r.id)
+    ids = halves[0][:4] + halves[1][:4]
+    rows = [(i, [7], np.where(np.arange(80) < 10 * k, 2, 1).astype("<u2").tobytes()) for k, i in enumerate(ids)]
+    classes = spark.createDataFrame(rows, "doc_id long, bands array<long>, drawn binary")
+    for block in (weighted_minhash.BLOCK, 4):
+        roots = weighted_minhash.components(weighted_minhash.candidate_pairs(classes, block)).collect()
+        assert {r.doc_id: r.root for r in roots} == {i: min(ids) for i in ids}
+
+
+def test_small_blocks_lose_no_link(spark):
+    docs = near_copies()
+    for start in range(4):
+        words = prose(900 + start, 300).split()
+        for k in range(25):
+            words[10 * k:10 * k + 3] = ["drift", str(start), str(k)]
+            docs[1000 + 100 * start + k] = " ".join(words)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.class_id for r in weighted_minhash.groups(df, block=4).collect()}
+    assert got == brute_groups(docs, weights=weighted_minhash.learn_weights(df))
+
+
 def test_groups_of_the_tables(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     weights = weighted_minhash.learn_weights(spark.read.parquet(f"{SMALL}/documents.parquet"))
