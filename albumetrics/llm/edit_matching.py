@@ -1,17 +1,19 @@
 """Benchmark decontamination: pigeonhole edit matching.
 
 Texts are normalised (lower case, every run of other than letters and digits becomes one space). A test item of ``n``
-characters has an error budget ``k``: at most ``ERROR_RATE * n``, and so small that ``k + 1`` pieces of at least
-``LEAST_PIECE`` characters fit. If a document holds the item with at most ``k`` edits, one of the ``k + 1`` pieces is
-unharmed. An Aho-Corasick automaton over all pieces finds their exact hits in one pass over the whole text; each hit
-names a window that the item would fill, and windows of an item that overlap are joined. Myers' bit-parallel algorithm
-then gives the least edit distance between the item and any part of the window.
+characters has an error budget ``k`` of ``ERROR_RATE * n``, rounded down. If a document holds the item with at most ``k``
+edits, one of ``k + 1`` pieces of the item is unharmed. An Aho-Corasick automaton over all pieces finds their exact hits
+in one pass over the whole text. Pieces form pairs (three where one is left over); some pair has one edit at most, so a
+hit beside which neither half of its partner stands is passed over. Each other hit names a window that the item would
+fill, and windows of an item that overlap are joined. An edit harms at most ``GRAM`` of the item's grams of ``GRAM`` characters, so a window that holds too few of them
+is passed over. For the others Myers' bit-parallel algorithm gives the least edit distance between the item and any part
+of the window.
 
 The items are split by size into blocks (``BLOCK_CHARS``); each is a broadcast of bounded size and one pass over the
 documents, so a benchmark of any size is searched with bounded memory.
 
 Defined cases: null and empty texts hold no item; items without letters or digits are passed over; items shorter than
-``LEAST_PIECE`` have no budget and must occur whole, at borders of words; equal items are all reported; rows of equal
+``LEAST_PIECE`` (16) have no budget and must occur whole, at borders of words; equal items are all reported; rows of equal
 document id are searched separately; empty tables give no rows.
 """
 
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from albumetrics.llm.common import prepare
 
 ERROR_RATE = 0.1
+#: Shorter items have no budget.
 LEAST_PIECE = 16
+GRAM = 4
 BLOCK_CHARS = 4 << 20
 
 _BREAK = re.compile(r"[\W_]+")
@@ -39,7 +43,7 @@ def normalise(text: str | None) -> str:
 
 
 def budget(n: int, rate: float = ERROR_RATE, piece: int = LEAST_PIECE) -> int:
-    return max(0, min(int(rate * n), n // piece - 1))
+    return min(int(rate * n), n - 1) if n >= piece else 0
 
 
 def pieces(item: str, k: int) -> list[tuple[int, str]]:
@@ -49,6 +53,29 @@ def pieces(item: str, k: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(edges, edges[1:])]
 
 
+def partners(parts: list[tuple[int, str]]) -> list[list[tuple[str, int, int]]]:
+    """Per piece what may stand near an unharmed one: (text, first place from the piece's start, further places); [] is anything.
+
+    Of ``k + 1`` pieces with ``k`` edits some pair has one edit at most, or three pieces at the end have two: then two of
+    them that are neighbours have one at most, or both edits lie in the middle one. A piece with one edit keeps its half
+    on the near side in place, or the other half moved by one place at most.
+    """
+    texts = [part for _, part in parts]
+    out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    last = len(texts) - 3 if len(texts) % 2 else len(texts)
+    for j in range(len(texts) - 1):
+        if j % 2 and j <= last:
+            continue
+        left, right = texts[j], texts[j + 1]
+        half = len(right) // 2
+        out[j] += [(right[:half], len(left), 0), (right[half:], len(left) + half - 1, 2)]
+        half = len(left) // 2
+        out[j + 1] += [(left[half:], half - len(left), 0), (left[:half], -len(left) - 1, 2)]
+    if last >= 0 and last < len(texts):
+        out[last].append((texts[-1], len(texts[-3]) + len(texts[-2]) - 2, 4))
+    return out
+
+
 def edit_distance_within(item: str, text: str) -> tuple[int, int]:
     """Least distance between ``item`` and a part of ``text``, and where the first such part ends.
 
@@ -79,13 +106,18 @@ def edit_distance_within(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def grams(text: str) -> list[str]:
+    return list(map("".join, zip(*(text[j:] for j in range(GRAM)))))
+
+
 class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float = ERROR_RATE, piece: int = LEAST_PIECE):
         import ahocorasick
 
         self._items: list[tuple[str, int, list[int]]] = []
+        self._grams: list[list[str]] = []
         known: dict[str, int] = {}
-        places: dict[str, list[tuple[int, int]]] = {}
+        places: dict[str, list[tuple[int, int, list[tuple[str, int, int]]]]] = {}
         for item_id, text in items:
             text = normalise(text)
             if not text:
@@ -96,8 +128,10 @@ class Matcher:
             known[text] = number = len(self._items)
             k = budget(len(text), rate, piece)
             self._items.append((text, k, [item_id]))
-            for start, part in pieces(text, k):
-                places.setdefault(part, []).append((number, start))
+            self._grams.append(grams(text))
+            parts = pieces(text, k)
+            for (start, part), near in zip(parts, partners(parts)):
+                places.setdefault(part, []).append((number, start, near))
         self._automaton = ahocorasick.Automaton()
         for part, where in places.items():
             self._automaton.add_word(part, (len(part), where))
@@ -113,7 +147,14 @@ class Matcher:
         windows: dict[int, list[tuple[int, int]]] = {}
         for end, (size, where) in self._automaton.iter(text):
             begin = end + 1 - size
-            for number, start in where:
+            for number, start, near in where:
+                for part, at, more in near:
+                    at += begin
+                    if text.find(part, max(0, at), max(0, at + more + len(part))) >= 0:
+                        break
+                else:
+                    if near:
+                        continue
                 item, k, _ = self._items[number]
                 low = max(0, begin - start - k)
                 high = min(len(text), begin - start + len(item) + k)
@@ -132,6 +173,8 @@ class Matcher:
                     at = text.find(item, low, high)
                     whole = at >= 0 and (len(item) >= LEAST_PIECE or f" {item} " in f" {text} ")
                     distance = 0 if whole else None
+                elif not self._near(number, text[low:high]):
+                    distance = None
                 else:
                     distance = edit_distance_within(item, text[low:high])[0]
                 if distance is not None and distance <= k and (least is None or distance < least):
@@ -143,6 +186,12 @@ class Matcher:
         return sorted(found)
 
 
+    def _near(self, number: int, window: str) -> bool:
+        """Whether the window holds as many of the item's grams as an occurrence within the budget leaves."""
+        own, k = self._grams[number], self._items[number][1]
+        return sum(map(set(grams(window)).__contains__, own)) >= len(own) - GRAM * k
+
+
 def _matcher(block) -> Matcher:
     if block.id not in _MATCHERS:
         _MATCHERS.clear()

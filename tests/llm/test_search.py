@@ -164,6 +164,26 @@ def test_items_equal_brute_force(spark, odd, none):
     assert edit_matching.drop_contaminated(odd, benchmark).columns == odd.columns
 
 
+def test_items_are_found_up_to_the_stated_rate():
+    chance, items = random.Random(8), {k: edit_matching.normalise(prose(700 + k, 4 + k)) for k in range(24)}
+    matcher = edit_matching.Matcher(list(items.items()))
+    edits = Counter()
+    for trial in range(96):
+        item_id = trial % len(items)
+        item = list(items[item_id])
+        # Edits at even distances leave the shortest unharmed pieces.
+        n = int(0.1 * len(item)) + chance.randint(-1, 2)
+        for j in range(n):
+            item[len(item) * j // n] = chance.choice("abcxyz")
+        text = f"{prose(trial, 30)} {''.join(item)} {prose(trial + 7, 30)}"
+        whole = items[item_id]
+        d = least_distance(whole, text)
+        within = len(whole) >= edit_matching.LEAST_PIECE and d <= int(0.1 * len(whole))
+        assert dict(matcher.find(text)).get(item_id) == (d if within else None)
+        edits[within and d > len(whole) / 16] += 1
+    assert edits[True] > 20
+
+
 def brute_groups(docs, least=weighted_minhash.LEAST, weights=None):
     ids = list(docs)
     plain = [weighted_minhash.plain_words(docs[i] or "") for i in ids]
