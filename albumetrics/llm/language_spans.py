@@ -74,6 +74,7 @@ class WordGrams:
         self.lengths = np.array([len(w) for w in words], np.int64)
         first = np.flatnonzero(space)[:-1] + 1
         self.script = _SCRIPT_OF[np.searchsorted(_STARTS, points[first], side="right") - 1]
+        self._letters, self._word = points[~space], word[~space]
         owners, buckets = [], []
         inner = np.zeros(len(points), bool)
         code = np.zeros(len(points), np.uint32)
@@ -93,6 +94,13 @@ class WordGrams:
         self.bucket = np.concatenate(buckets)
 
 
+    def script_letters(self) -> np.ndarray:
+        """Letters of each script in each word [words, scripts]; a word may mix scripts."""
+        n = len(SCRIPT_NAMES)
+        script = _SCRIPT_OF[np.searchsorted(_STARTS, self._letters, side="right") - 1]
+        return np.bincount(self._word * n + script, minlength=len(self.lengths) * n).reshape(-1, n)
+
+
 class _Numbers(dict):
     """Numbers keys in order of first use."""
 
@@ -200,9 +208,9 @@ class Labeller:
     def __init__(self, model: LanguageModel):
         self.model = model
 
-    def paths(self, texts: list[str]) -> Iterator[tuple[int, int | np.ndarray, np.ndarray] | None]:
+    def paths(self, texts: list[str], split: tuple | None = None) -> Iterator[tuple[int, int | np.ndarray, np.ndarray] | None]:
         """Per text: the main language, one language or one per word, and word lengths; None without letters."""
-        words, places, borders = distinct_words(texts)
+        words, places, borders = split or distinct_words(texts)
         if not words or not self.model.languages:
             yield from (None for _ in texts)
             return
@@ -236,6 +244,21 @@ class Labeller:
                 shares.append(1.0 if isinstance(path, int) else float(own[path == lang].sum() / own.sum()))
         return names, shares
 
+    def coverage(self, texts: list[str]) -> list[float]:
+        """The largest share of a text's letters that lie in one language's words and in a script it was learned in."""
+        words, places, borders = split = distinct_words(texts)
+        known = WordGrams(words).script_letters() @ self.model.allowed.astype(np.int64) if words else None
+        out = []
+        for k, found in enumerate(self.paths(texts, split)):
+            if found is None:
+                out.append(0.0)
+                continue
+            _, path, own = found
+            at = places[borders[k]:borders[k + 1]]
+            covered = known[at, path].sum() if isinstance(path, int) else np.bincount(path, weights=known[at, path]).max()
+            out.append(float(covered / own.sum()))
+        return out
+
     def spans(self, texts: list[str]) -> list[list[dict]]:
         """Runs of one language as character ranges, from a first word's start to a last word's end."""
         out = []
@@ -317,13 +340,15 @@ def _keep_batch(model, least: float, batches: Iterator[pa.RecordBatch]) -> Itera
     for batch in batches:
         keep: list[bool] = []
         for _, texts in slices([None] * batch.num_rows, batch.column("text").to_pylist()):
-            names, shares = labeller.predict(texts)
-            keep += [name != NO_LANGUAGE and share >= least for name, share in zip(names, shares)]
+            keep += [share > 0 and share >= least for share in labeller.coverage(texts)]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose main language covers at least ``least`` of the letters; all columns stay."""
+    """The rows of ``docs`` in which one language covers at least ``least`` of the letters; all columns stay.
+
+    Letters of a script that the language was not learned in count as not covered.
+    """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     named = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs

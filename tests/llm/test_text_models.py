@@ -143,3 +143,16 @@ def test_without_labels(spark, odd):
     assert language_spans.predict(docs, language_spans.learn(docs)).first().lang_pred == "und"
     assert toxicity.score(docs, toxicity.learn(docs, labels)).first().predicted == 0
     assert cotraining.score(docs, cotraining.learn(docs, labels)).first().score == 0.5
+
+
+def test_unlearned_scripts_are_not_covered(spark):
+    learned = [(k, "the cat and the dog went out", "en") for k in range(9)] + [(20 + k, "der Hund und die Katze", "de") for k in range(9)]
+    model = language_spans.learn(spark.createDataFrame(learned, "doc_id long, text string, lang string"))
+    texts = {
+        1: "the dog and the cat", 2: "собака и кошка", 3: "猫和狗出去了", 4: "the dog and the cat собака", 5: "dog собака и кошка",
+        6: "x猫和狗出去了", 7: "", 8: None, 9: "12 !!", 10: "the собака",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r.doc_id for r in language_spans.keep_identified(df, model).collect()} == {1, 4}
+    nothing = language_spans.LanguageModel({})
+    assert language_spans.keep_identified(df, nothing).collect() == []
