@@ -8,7 +8,13 @@ template never become rows. It also needs all but ``m - m * t / (2 - t)`` of the
 has a few key words that lie in more bigrams than may be missing: a run without any of them cannot match, and documents
 that hold no template's key word are passed over by plain substring tests.
 
-All steps are column functions over single rows; there is no shuffle, and the result has a row for each document and
+Notices inside longer lines, and those wrapped over more lines, are found by windows of words over the whole text. A window
+that begins or ends with a bigram the template lacks is no better than without it, so windows run from one place of a
+template's bigrams to another, over at least as many of them as a match shares and at most as many words as the bounds
+allow (besides those that the template repeats). Windows count only where no run of lines matches the licence; the lines
+of a result are then those that the window touches.
+
+All steps are column functions over single rows; there is no shuffle before the last grouping, and the result has a row for each document and
 template that match: the best coefficient, the first line of the best run (the earliest, then the shortest, on a tie),
 its number of lines, and how many runs matched.
 
@@ -116,6 +122,39 @@ def key_words(words: list[str], least: float) -> list[str]:
     return chosen
 
 
+def longest_window(words: list[str], least: float) -> int:
+    """Bigrams, repeated ones too, in the longest window."""
+    m = len(bigrams(words))
+    return size_bounds(m, least)[1] + len(words) - 1 - m
+
+
+def window_hits(table: Column, least: float) -> Column:
+    """Matching windows as (line, n_lines, license, dice) from the columns ``grams`` and ``line_of`` (a word's line)."""
+    def windows(t: Column) -> Column:
+        first, at = F.element_at, t["at"]
+
+        def from_place(k: Column) -> Column:
+            ends = F.filter(F.sequence(k + t["low"] - 1, F.size(at)), lambda e: first(at, e) - first(at, k) < t["span"])
+            own = F.transform(ends, lambda e: F.struct(
+                first(at, k).alias("start"), first(at, e).alias("end"),
+                F.array_distinct(F.slice("grams", first(at, k), first(at, e) - first(at, k) + 1)).alias("own")))
+            return F.transform(own, lambda w: F.struct(
+                first("line_of", w["start"]).alias("line"),
+                (first("line_of", w["end"] + 1) - first("line_of", w["start"]) + 1).alias("n_lines"),
+                t["license"].alias("license"),
+                (F.lit(2.0) * F.size(F.array_intersect(w["own"], t["grams"])) / (F.size(w["own"]) + F.size(t["grams"])))
+                .alias("dice")))
+
+        starts = F.filter(F.sequence(F.lit(1), F.size(at) - t["low"] + 1),
+                          lambda k: first(at, k + t["low"] - 1) - first(at, k) < t["span"])
+        return F.filter(F.flatten(F.transform(starts, from_place)), lambda w: w["dice"] >= least)
+
+    placed = F.transform(table, lambda t: F.struct(
+        t["license"].alias("license"), t["low"].alias("low"), t["span"].alias("span"), t["grams"].alias("grams"),
+        F.transform(F.filter("spots", lambda x: F.array_contains(t["grams"], x["gram"])), lambda x: x["at"]).alias("at")))
+    return F.flatten(F.transform(F.filter(placed, lambda t: F.size(t["at"]) >= t["low"]), windows))
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST_DICE,
          max_lines: int = MAX_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``license``, ``dice``, ``line`` (from 1), ``n_lines``, ``n_runs``."""
@@ -132,7 +171,23 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     rows = rows.select("id", lines.alias("lines"))
     held = F.array(*map(F.lit, keys))
     rows = rows.select(
-        "id", "lines", F.transform("lines", F.size).alias("sizes"),
+        "id", "lines", F.flatten("lines").alias("words"),
+        F.flatten(F.transform("lines", lambda words, k: F.array_repeat(k + 1, F.size(words)))).alias("line_of"))
+    follow = F.greatest(F.size("words") - 1, F.lit(0))
+    rows = rows.select("id", "lines", "line_of", F.zip_with(
+        F.slice("words", F.lit(1), follow), F.slice("words", F.lit(2), follow), lambda a, b: F.concat_ws(" ", a, b)).alias("grams"))
+    wanted = sorted({g for _, grams in flat for g in grams})
+    rows = rows.select("id", "lines", "line_of", "grams", F.filter(
+        F.transform("grams", lambda g, k: F.struct((k + 1).alias("at"), g.alias("gram"))),
+        lambda x: x["gram"].isin(wanted)).alias("spots"))
+    spans = [longest_window(normalise(t), least) for texts in (templates or TEMPLATES).values() for t in texts]
+    table = F.array(*(
+        F.struct(F.lit(name).alias("license"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(span).alias("span"),
+                 F.array(*map(F.lit, grams)).alias("grams"))
+        for (name, grams), (low, high), span in zip(flat, bounds, spans)
+    ))
+    rows = rows.select(
+        "id", "lines", window_hits(table, least).alias("windows"), F.transform("lines", F.size).alias("sizes"),
         F.transform("lines", lambda words: F.arrays_overlap(words, held)).alias("keyed"))
 
     def runs_of(n: int) -> Column:
@@ -143,32 +198,36 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
             & (F.aggregate(F.slice("sizes", s, F.lit(n)), F.lit(0), lambda a, b: a + b) > fewest),
         )
         starts = F.when(F.size("sizes") >= n, starts).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda s: F.struct(s.alias("line"), F.lit(n).alias("n_lines")))
+        return F.transform(starts, lambda s: F.struct(
+            s.alias("line"), F.lit(n).alias("n_lines"), F.lit(None).cast("string").alias("license"),
+            F.lit(None).cast("double").alias("dice")))
 
-    runs = rows.select("id", "lines", F.explode(F.concat(*(runs_of(n) for n in range(1, max_lines + 1)))).alias("run"))
+    runs = rows.select("id", "lines", F.explode(F.concat(
+        *(runs_of(n) for n in range(1, max_lines + 1)), F.col("windows"))).alias("run"))
     words = F.flatten(F.slice("lines", F.col("run.line"), F.col("run.n_lines")))
     grams = F.array_distinct(F.zip_with(
         F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1),
         lambda a, b: F.concat_ws(" ", a, b),
     ))
-    runs = runs.select("id", "run.line", "run.n_lines", words.alias("words"))
-    runs = runs.select("id", "line", "n_lines", grams.alias("grams"))
-    table = F.array(*(
-        F.struct(F.lit(name).alias("license"), F.lit(low).alias("low"), F.lit(high).alias("high"),
-                 F.array(*map(F.lit, grams)).alias("grams"))
-        for (name, grams), (low, high) in zip(flat, bounds)
-    ))
+    window = F.when(F.col("run.license").isNotNull(), F.struct("run.license", "run.dice")).alias("window")
+    # A window is scored already; its words are not looked at again.
+    words = F.when(F.col("run.license").isNull(), words).otherwise(F.array(F.lit("")))
+    runs = runs.select("id", "run.line", "run.n_lines", window, words.alias("words"))
+    runs = runs.select("id", "line", "n_lines", "window", grams.alias("grams"))
     fitting = F.filter(table, lambda t: F.size("grams").between(t["low"], t["high"]))
     scored = F.transform(fitting, lambda t: F.struct(
         t["license"].alias("license"),
         (F.lit(2.0) * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (F.size("grams") + F.size(t["grams"])))
         .alias("dice"),
     ))
-    hits = runs.select("id", "line", "n_lines", F.explode(F.filter(scored, lambda s: s["dice"] >= least)).alias("hit"))
+    found = F.when(F.col("window").isNull(), F.filter(scored, lambda s: s["dice"] >= least)).otherwise(F.array("window"))
+    hits = runs.select("id", "line", "n_lines", F.col("window").isNull().alias("whole"), F.explode(found).alias("hit"))
     best = F.max_by(
         F.struct("line", "n_lines"), F.struct(F.col("hit.dice"), -F.col("line"), -F.col("n_lines")))
-    out = hits.groupBy("id", F.col("hit.license").alias("license")).agg(
+    out = hits.groupBy("id", F.col("hit.license").alias("license"), "whole").agg(
         F.max("hit.dice").alias("dice"), best.alias("best"), F.countDistinct("line", "n_lines").alias("n_runs"))
+    out = out.groupBy("id", "license").agg(F.max_by(F.struct("dice", "best", "n_runs"), "whole").alias("x"))
+    out = out.select("id", "license", "x.dice", "x.best", "x.n_runs")
     return out.select(
         F.col("id").alias(id_col), "license", "dice", F.col("best.line").cast("long").alias("line"),
         F.col("best.n_lines").cast("long").alias("n_lines"), "n_runs")

@@ -1,6 +1,7 @@
 """op3, op4, op5, op9 and the pipeline against brute force."""
 
 import random
+import textwrap
 from collections import Counter
 
 import duckdb
@@ -103,6 +104,36 @@ def test_licences_equal_brute_force(spark, odd, none):
     assert license_scan.scan(odd).collect() == [] and license_scan.scan(none).collect() == []
 
 
+def test_licences_inside_lines_and_over_many_lines(spark):
+    mit, bsd = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["BSD-3-Clause"]
+    texts = {
+        1: "Copyright 2024 Acme Corp. Released under the MIT License.",
+        2: prose(1, 9) + "\n" + textwrap.fill(mit[2], 60) + "\n" + prose(2, 9),
+        3: textwrap.fill(mit[2], 24),
+        4: " ".join([prose(3, 200), bsd[1], prose(4, 50), mit[0], prose(5, 60), mit[2].replace("copy, modify", "alter"), prose(6, 9)]),
+        5: prose(7, 30) + " released under no licence; the license of the software to the public " + prose(8, 30),
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = {}
+    for doc, text in texts.items():
+        words = license_scan.normalise(text)
+        grams = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        for name, forms in license_scan.TEMPLATES.items():
+            for form in map(license_scan.normalise, forms):
+                own = set(license_scan.bigrams(form))
+                for i in range(len(grams)):
+                    seen = set()
+                    for g in grams[i:i + license_scan.longest_window(form, license_scan.LEAST_DICE)]:
+                        seen.add(g)
+                        if (d := dice(seen, own)) >= license_scan.LEAST_DICE:
+                            want[doc, name] = max(d, want.get((doc, name), 0))
+    got = {(r.doc_id, r.license): r for r in license_scan.scan(df).collect()}
+    assert {k: r.dice for k, r in got.items()} == pytest.approx(want)
+    assert set(want) == {(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, "MIT"), (4, "BSD-3-Clause")}
+    assert (got[1, "MIT"].line, got[1, "MIT"].n_lines) == (1, 1)
+    assert (got[2, "MIT"].line, got[2, "MIT"].n_lines) == (2, len(textwrap.wrap(mit[2], 60)))
+
+
 def test_licence_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
