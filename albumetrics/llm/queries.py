@@ -16,11 +16,15 @@ from albumetrics.llm import (
     graph_search,
     language_spans,
     license_scan,
+    source_mixing,
+    structure_repair,
+    term_pipeline,
     token_planes,
     toxicity,
     weighted_minhash,
 )
 from albumetrics.llm.common import held_out, table
+from albumetrics.sources.workspace import Scratch
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -86,6 +90,24 @@ def op7_bpe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_stream.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op11_term_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "term-pipeline")
+    found = term_pipeline.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scratch)
+    return scratch.finish(found)
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "structure-repair")
+    turns = structure_repair.damage(table(spark, sf_dir, "conversations"))
+    return scratch.finish(structure_repair.report(turns, scratch))
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "source-mixing")
+    mixed = source_mixing.mix(table(spark, sf_dir, "documents"), scratch)
+    return scratch.finish(mixed.select("doc_id", "size", "source_size", "target", "taken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_toxicity": op2_toxicity,
@@ -97,6 +119,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cotraining": op8_cotraining,
     "op9_weighted_minhash": op9_weighted_minhash,
     "op10_language_spans": op10_language_spans,
+    "op11_term_pipeline": op11_term_pipeline,
+    "op12_structure_repair": op12_structure_repair,
+    "op13_source_mixing": op13_source_mixing,
 }
 
-SQL: dict[str, str] = {"op4_license_scan": license_scan.oracle()}
+SQL: dict[str, str] = {"op4_license_scan": license_scan.oracle(), "op11_term_pipeline": term_pipeline.oracle()}
