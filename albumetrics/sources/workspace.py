@@ -19,7 +19,7 @@ def work_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     context = spark.sparkContext
     configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not configured and not context.master.startswith("local["):
+    if not configured and context.master.split("[")[0] != "local":
         raise RuntimeError("spark.checkpoint.dir names no shared folder")
     if not configured:
         configured = tempfile.mkdtemp(prefix="spark-albumetrics-")
@@ -69,3 +69,27 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
     if not filesystem.exists(hadoop_path):
         return []
     return [status.getPath().getName() for status in filesystem.listStatus(hadoop_path)]
+
+
+class Scratch:
+    """Intermediate tables of one job in a folder of their own, dropped together once its result is written."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self._spark, self._label, self._count = spark, label, 0
+        self.root = new_path(spark, label)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once and read it back."""
+        path = f"{self.root}/{self._count}-{name}"
+        self._count += 1
+        df.write.mode("error").parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        drop_path(self._spark, self.root)
+
+    def finish(self, df: DataFrame) -> DataFrame:
+        """The result, written outside this folder, which then goes."""
+        out = materialize(df, f"{self._label}-result")
+        self.drop()
+        return out
