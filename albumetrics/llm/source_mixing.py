@@ -8,11 +8,13 @@ Probabilities are rounded in pairs. Of a pair one hands over mass (probability t
 is 0 or 1; which direction is drawn so that no probability changes on average. So the words taken from a source keep their
 sum at every step. What is left of a pair meets the next document.
 
-Documents of a source are split into classes of size by powers of two. Groups of about ``GROUP`` members of a class are
-folded, each leaving one residual, and residuals are grouped and folded again until a class has at most ``TOP`` of them: a
-tree whose leaves are dealt by hash, so that a source with a third of all rows is many tasks. At last the few residuals of
-all classes of a source are folded from the largest documents to the smallest, so that what is rounded without a partner is
-one small document and the words taken miss the target by less than its size.
+Documents of a source are split into classes of size by powers of eight, and the largest go first. Groups of about
+``GROUP`` members of a class are folded, each leaving one residual, and residuals are grouped and folded again until a source
+has at most ``TOP`` of them, which one last fold reduces to one: a tree whose leaves are dealt by hash, so that a source with
+a third of all rows is many tasks. The one document left over is rounded on its own, and what that adds or takes is shared
+by all smaller documents of the source, whose common probability moves a little (by nothing on average). So in the end the
+words taken miss the target by less than the size of one of the smallest documents, unless the smaller ones are too few to
+make up for a larger one.
 
 Draws are hashes of the documents and the level of the tree, so reruns agree. Equal rows (id, source, size) are counted
 first and told apart by their number.
@@ -131,49 +133,70 @@ def _folded(groups: DataFrame, level: int) -> DataFrame:
     start = F.struct(F.element_at("items", 1).alias("held"), F.expr(f"CAST(array() AS array<{_ITEM}>)").alias("settled"))
     rest = F.slice("items", F.lit(2), F.greatest(F.size("items") - 1, F.lit(0)))
     return groups.withColumn("items", ordered).select(
-        "source", "class", F.aggregate(rest, start.cast(_STATE), lambda s, i: _pivot(s, i, level).cast(_STATE)).alias("_s")
-    ).select("source", "class", "_s.held", "_s.settled")
-
-
-_FLAT = ["source", "class", "item"]
+        "source", F.aggregate(rest, start.cast(_STATE), lambda s, i: _pivot(s, i, level).cast(_STATE)).alias("_s")
+    ).select("source", "_s.held", "_s.settled")
 
 
 def _as_item() -> Column:
     return F.struct("doc_id", "copy", "size", "p").cast(_ITEM)
 
 
-def round_dependently(items: DataFrame, scratch: Scratch) -> DataFrame:
-    """(source, doc_id, copy, size, extra) with ``extra`` 0 or 1 from (source, doc_id, copy, size, p), all sizes above 0."""
-    left = items.select("source", F.floor(F.log2("size")).cast("int").alias("class"), _as_item().alias("item"))
-    left = scratch.table(left, "leaves")
+def _rounded_class(items: DataFrame, number: int, scratch: Scratch) -> DataFrame:
+    """The items of one class with ``p`` 0 or 1: a tree of folds per source, whose last residual is rounded alone."""
+    left = scratch.table(items.select("source", _as_item().alias("item")), f"class-{number}")
     settled, level = [], 0
     while True:
-        counts = left.groupBy("source", "class").agg(F.count("*").alias("_c"))
+        counts = left.groupBy("source").agg(F.count("*").alias("_c"))
         if (counts.agg(F.max("_c")).first()[0] or 0) <= TOP:
             break
-        wide = counts.filter(F.col("_c") > TOP).select(
-            F.col("source").alias("_source"), F.col("class").alias("_class"), F.ceil(F.col("_c") / GROUP).alias("_groups"))
-        dealt = left.join(wide, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")), "left")
+        wide = counts.filter(F.col("_c") > TOP).select(F.col("source").alias("_source"), F.ceil(F.col("_c") / GROUP).alias("_groups"))
+        dealt = left.join(wide, F.col("source").eqNullSafe(F.col("_source")), "left")
         place = F.pmod(F.xxhash64("item.doc_id", "item.copy", "item.size", F.lit(level), F.lit(SEED + 1)), F.col("_groups"))
         grouped = (
             dealt.filter("_groups IS NOT NULL").withColumn("_place", place)
-            .groupBy("source", "class", "_place").agg(F.collect_list("item").alias("items")))
-        folded = scratch.table(_folded(grouped, level), f"level-{level}")
+            .groupBy("source", "_place").agg(F.collect_list("item").alias("items")))
+        folded = scratch.table(_folded(grouped, level), f"class-{number}-level-{level}")
         settled.append(folded.select("source", F.explode("settled").alias("item")))
-        small = dealt.filter("_groups IS NULL").select(*_FLAT)
-        left = small.unionByName(folded.select("source", "class", F.col("held").alias("item")))
-        left = scratch.table(left, f"left-{level}")
+        small = dealt.filter("_groups IS NULL").select("source", "item")
+        left = small.unionByName(folded.select("source", F.col("held").alias("item")))
         level += 1
-    # At most TOP residuals of each class of a source, and a class per power of two.
-    last = left.groupBy("source").agg(F.collect_list("item").alias("items"), F.lit(0).alias("class"))
-    folded = _folded(last, -1)
-    alone = _draw(F.col("held"), F.col("held"), -2) < F.col("held.p")
-    final = folded.select("source", F.explode(F.concat(
-        "settled", F.array(_with_p(F.col("held"), F.when(alone, 1.0).otherwise(0.0)).cast(_ITEM)))).alias("item"))
+    # At most TOP residuals of a source.
+    folded = _folded(left.groupBy("source").agg(F.collect_list("item").alias("items")), -1)
+    alone = F.when(_draw(F.col("held"), F.col("held"), -2) < F.col("held.p"), 1.0).otherwise(0.0)
+    whole = F.concat("settled", F.array(_with_p(F.col("held"), alone).cast(_ITEM)))
+    out = folded.select("source", F.explode(whole).alias("item"))
     for part in settled:
-        final = final.unionByName(part)
-    return final.select(
-        "source", "item.doc_id", "item.copy", "item.size", F.when(F.col("item.p") > 0.5, 1).otherwise(0).cast("long").alias("extra"))
+        out = out.unionByName(part)
+    return scratch.table(out.select("source", "item.*"), f"class-{number}-rounded")
+
+
+def round_dependently(items: DataFrame, scratch: Scratch) -> DataFrame:
+    """(source, doc_id, copy, size, extra) with ``extra`` 0 or 1 from (source, doc_id, copy, size, p).
+
+    Sizes are above 0, and all documents of a source have one probability.
+    """
+    items = scratch.table(items.withColumn("class", F.floor(F.log2("size") / 3).cast("int")), "open")
+    state = scratch.table(
+        items.groupBy("source").agg(F.sum(F.col("p") * F.col("size")).alias("mass"), F.sum("size").alias("room")), "open-sources")
+    # A class per power of eight.
+    classes = sorted((r[0] for r in items.select("class").distinct().collect()), reverse=True)
+    done = None
+    for number in classes:
+        shared = state.select(F.col("source").alias("_source"), F.least(F.greatest(
+            F.col("mass") / F.col("room"), F.lit(0.0)), F.lit(1.0)).alias("p"))
+        members = items.filter(F.col("class") == number).drop("p")
+        members = members.join(shared, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+        rounded = _rounded_class(members, number, scratch)
+        spent = rounded.groupBy(F.col("source").alias("_source")).agg(
+            F.sum(F.col("p") * F.col("size")).alias("_mass"), F.sum("size").alias("_room"))
+        state = scratch.table(
+            state.join(spent, F.col("source").eqNullSafe(F.col("_source")), "left").select(
+                "source", (F.col("mass") - F.coalesce("_mass", F.lit(0.0))).alias("mass"),
+                (F.col("room") - F.coalesce("_room", F.lit(0))).alias("room")).filter("room > 0"), f"open-sources-{number}")
+        done = rounded if done is None else done.unionByName(rounded)
+    if done is None:
+        return items.select("source", "doc_id", "copy", "size", F.lit(0).cast("long").alias("extra"))
+    return done.select("source", "doc_id", "copy", "size", F.when(F.col("p") > 0.5, 1).otherwise(0).cast("long").alias("extra"))
 
 
 def mix(docs: DataFrame, scratch: Scratch) -> DataFrame:
