@@ -382,7 +382,7 @@ _TRUTH_SQL = """truth AS (SELECT f.face_id, e.label, f.embedding, min(f.face_id)
 def _clusters(spark, sf):
     nodes = materialize(_planted(spark, sf), "planted")
     edges = similarity.build_edges(nodes, PLANTED_EDGE)
-    return nodes, materialize(graph.propagate(edges, nodes), "clusters")
+    return nodes, graph.propagate(edges, nodes)
 
 
 def _stats(spark, sf):
