@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from albumetrics.functions.temporal import penalty_matrix
 from albumetrics.functions.vectors import distance_matrix, matrix
-from albumetrics.operators.vector_join import place_self, run_tiles
+from albumetrics.operators.vector_blocks import VectorBlocks, least_distance, most_distance, nearer_than
+from albumetrics.operators.vector_join import run_tiles
+from albumetrics.sources.workspace import Scratch
 
 # Fixed values.
 TOP_K = 256
@@ -172,9 +174,21 @@ def crowd_of_copies(vectors: DataFrame, top_k: int) -> tuple[DataFrame, DataFram
     return vectors.join(rest.select("id"), "id", "left_anti"), edges
 
 
+def _usable(vectors: DataFrame) -> DataFrame:
+    return vectors.filter(F.col("vec").isNotNull()).select("id", "vec", "taken_at")
+
+
+def _own_scratch(vectors: DataFrame, scratch: Scratch | None, work, label: str) -> DataFrame:
+    """``work(scratch)``; without a scratch folder of the caller the result is written and what it took is dropped."""
+    if scratch is not None:
+        return work(scratch)
+    own = Scratch(vectors.sparkSession, label)
+    return own.finish(work(own))
+
+
 def candidate_edges(
     vectors: DataFrame, threshold: float, time_weight: float = 0.0, top_k: int | None = TOP_K,
-    strategy: str = "exact", bits: int = LSH_BITS, tables: int = LSH_TABLES, seed: int = LSH_SEED,
+    strategy: str = "exact", bits: int = LSH_BITS, tables: int = LSH_TABLES, seed: int = LSH_SEED, scratch: Scratch | None = None,
 ) -> DataFrame:
     """Directed edges ``(src, dst, weight)`` of every pair nearer than ``threshold``.
 
@@ -185,34 +199,73 @@ def candidate_edges(
     ``top_k=None`` every pair is an edge, and the result is as large as that.
     ``exact`` finds every pair, ``lsh`` those that share a bucket.
     """
-    vectors = vectors.filter(F.col("vec").isNotNull()).select("id", "vec", "taken_at")
-    split = crowd_of_copies(vectors, top_k) if threshold > 0 and top_k is not None else None
-    joined, extra = split if split else (vectors, None)
-    tile = _edge_tile(threshold, time_weight, top_k, strategy == "lsh")
-    if strategy == "exact":
-        edges = run_tiles(place_self(joined, threshold), tile, EDGE_SCHEMA)
-    elif strategy == "lsh":
-        cells = bucketed(joined, bits, tables, seed)
-        edges = run_tiles(cells, tile, EDGE_SCHEMA, few_cells=(tables << bits) <= 100_000)
-    else:
+    if strategy not in ("exact", "lsh"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    return edges if extra is None else edges.unionByName(extra)
+    vectors = _usable(vectors)
+    tile = _edge_tile(threshold, time_weight, top_k, strategy == "lsh")
+
+    def work(scratch: Scratch) -> DataFrame:
+        split = crowd_of_copies(vectors, top_k) if threshold > 0 and top_k is not None else None
+        joined, extra = split if split else (vectors, None)
+        if strategy == "exact":
+            edges = VectorBlocks(joined, scratch).compare(tile, EDGE_SCHEMA, nearer_than(threshold))
+        else:
+            edges = run_tiles(bucketed(joined, bits, tables, seed), tile, EDGE_SCHEMA, few_cells=(tables << bits) <= 100_000)
+        return edges if extra is None else edges.unionByName(extra)
+
+    return _own_scratch(vectors, scratch, work, "edges")
+
+
+def near_pairs(vectors: DataFrame, threshold: float, time_weight: float = 0.0, scratch: Scratch | None = None) -> DataFrame:
+    """Every pair nearer than ``threshold`` once: ``(a, b, distance)`` with ``a < b``."""
+
+    def tile(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        parts, step = [], max(1, STRIPE_CELLS // max(1, right.num_rows))
+        theirs = _ids(right)
+        for at in range(0, left.num_rows, step):
+            stripe = left.slice(at, step)
+            distance = _distances(stripe, right, threshold, time_weight)
+            near = distance < threshold
+            mine = _ids(stripe)
+            if same:
+                near &= mine[:, None] < theirs[None, :]
+            rows, cols = np.nonzero(near)
+            a, b = mine[rows], theirs[cols]
+            parts.append((np.minimum(a, b), np.maximum(a, b), distance[rows, cols]))
+        a, b, distance = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pa.table({"a": a, "b": b, "distance": distance})
+
+    def work(scratch: Scratch) -> DataFrame:
+        return VectorBlocks(_usable(vectors), scratch).compare(tile, "a bigint, b bigint, distance double", nearer_than(threshold))
+
+    return _own_scratch(vectors, scratch, work, "pairs")
 
 
 def build_edges(
-    vectors: DataFrame, threshold: float, time_weight: float = 0.0, top_k: int | None = TOP_K, **options
+    vectors: DataFrame, threshold: float, time_weight: float = 0.0, top_k: int | None = TOP_K, strategy: str = "exact",
+    scratch: Scratch | None = None, **options
 ) -> DataFrame:
     """Symmetric similarity graph: the strongest edges of each node (all, if ``top_k`` is None) and their back edges."""
-    found = candidate_edges(vectors, threshold, time_weight, top_k, **options)
-    return symmetrise(found if top_k is None else strongest_edges(found, top_k))
+
+    def work(scratch: Scratch) -> DataFrame:
+        if top_k is None and strategy == "exact":
+            # A pair is found once and is an edge both ways.
+            forth, back = F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))
+            pairs = near_pairs(vectors, threshold, time_weight, scratch)
+            return pairs.select(F.explode(F.array(forth, back)).alias("_e"), (1 - F.col("distance")).alias("weight")).select(
+                "_e.src", "_e.dst", "weight")
+        found = candidate_edges(vectors, threshold, time_weight, top_k, strategy, scratch=scratch, **options)
+        return symmetrise(found if top_k is None else strongest_edges(found, top_k))
+
+    return _own_scratch(vectors, scratch, work, "edges")
 
 
-def degrees(vectors: DataFrame, threshold: float, time_weight: float = 0.0) -> DataFrame:
+def degrees(vectors: DataFrame, threshold: float, time_weight: float = 0.0, scratch: Scratch | None = None) -> DataFrame:
     """Number of neighbours under the threshold, uncapped: ``(id, copies, degree)``.
 
     One row per distinct vector and date; ``copies`` is how often it is stored.
     """
-    distinct = (
+    grouped = (
         vectors.filter(F.col("vec").isNotNull()).groupBy("vec", "taken_at")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
         .select("id", "vec", "taken_at", "copies")
@@ -231,11 +284,14 @@ def degrees(vectors: DataFrame, threshold: float, time_weight: float = 0.0) -> D
         hit = counts > 0
         return pa.table({"id": ids[hit], "degree": counts[hit].astype(np.int64)})
 
-    parts = run_tiles(place_self(distinct, threshold), tile, "id bigint, degree bigint")
-    total = parts.groupBy("id").agg(F.sum("degree").alias("degree"))
-    return distinct.select("id", "copies").join(total, "id", "left").select(
-        "id", "copies", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree")
-    )
+    def work(scratch: Scratch) -> DataFrame:
+        distinct = scratch.table(grouped, "distinct")
+        parts = VectorBlocks(distinct, scratch).compare(tile, "id bigint, degree bigint", nearer_than(threshold))
+        total = parts.groupBy("id").agg(F.sum("degree").alias("degree"))
+        return distinct.select("id", "copies").join(total, "id", "left").select(
+            "id", "copies", F.coalesce("degree", F.lit(0)).cast("bigint").alias("degree"))
+
+    return _own_scratch(vectors, scratch, work, "degrees")
 
 
 def graph_diagnostics(vectors: DataFrame, threshold: float, time_weight: float = 0.0) -> DataFrame:
@@ -281,51 +337,70 @@ def separation_report(vectors: DataFrame) -> DataFrame:
 
     Counts of same- and different-label pairs, the largest same-label and the
     smallest different-label distance, and whether the first is below the
-    second. Pairs are compared inside tasks; a task hands on one number.
+    second. Blocks hold one label each. What every block finds within itself
+    and what the manifest says of all pairs bounds both numbers; then only
+    pairs of blocks that could beat the bounds are read.
     """
     vectors = vectors.filter(F.col("vec").isNotNull())
     sizes = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    pairs = sizes.agg(
+    counts = sizes.agg(
         F.expr("CAST(sum(m * (m - 1) div 2) AS BIGINT)").alias("same_pairs"),
         F.expr("CAST(sum(m) * (sum(m) - 1) div 2 - sum(m * (m - 1) div 2) AS BIGINT)").alias("different_pairs"),
     )
     # Copies change no extreme except that two of one label are at distance 0.
     distinct = vectors.groupBy("vec", "label").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"))
-    distinct = distinct.select("id", "vec", "label", "copies")
+    scratch = Scratch(vectors.sparkSession, "separation")
+    blocks = VectorBlocks(scratch.table(distinct.select("id", "vec", "label", "copies"), "distinct"), scratch, mark="label")
 
-    def farthest(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+    def farthest(left: pa.Table, right: pa.Table, same: bool) -> float:
         distance = distance_matrix(matrix(left.column("vec")), matrix(right.column("vec")))
         if same:
-            lone = left.column("copies").to_numpy() < 2
-            distance[np.flatnonzero(lone), np.flatnonzero(lone)] = -1.0
-        top = float(distance.max())
-        return pa.table({"d": [top] if top >= -0.5 else pa.array([], pa.float64())})
+            lone = np.flatnonzero(left.column("copies").to_numpy() < 2)
+            distance[lone, lone] = -1.0
+        return float(distance.max())
 
-    def nearest(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
-        distance = distance_matrix(matrix(left.column("vec")), matrix(right.column("vec")))
-        mine, theirs = (np.asarray(t.column("label").to_pylist(), object) for t in (left, right))
-        distance[mine[:, None] == theirs[None, :]] = np.inf
-        low = float(distance.min())
-        return pa.table({"d": [low] if np.isfinite(low) else pa.array([], pa.float64())})
-
-    by_label = distinct.withColumn("_cell", F.xxhash64("label")).withColumn("_home", F.lit(True))
-    same = run_tiles(by_label, farthest, "d double", few_cells=False).agg(F.max("d").alias("max_same"))
-    different = nearest_different(distinct, nearest)
-    one = F.lit(1).alias("_k")
-    # Each side is one row by construction.
-    return (
-        pairs.select("*", one)
-        .join(F.broadcast(same.select("*", one)), "_k")
-        .join(F.broadcast(different.select("*", one)), "_k")
-        .drop("_k")
-        .withColumn("ok", F.col("max_same") < F.col("min_different"))
-    )
+    def nearest(left: pa.Table, right: pa.Table) -> float:
+        return float(distance_matrix(matrix(left.column("vec")), matrix(right.column("vec"))).min())
+
+    def row(kind: str, value: float | None) -> pa.Table:
+        return pa.table({"kind": [kind], "d": pa.array([value], pa.float64())})
 
+    def within(block: pa.Table, _name: str) -> pa.Table:
+        top = farthest(block, block, True)
+        return row("same", top if top >= -0.5 else None)
 
-def nearest_different(distinct: DataFrame, tile) -> DataFrame:
-    """Smallest distance across labels: a bound from the own cells, then the exact join under it."""
-    own_cells = place_self(distinct, 0.0).filter("_home")
-    bound = run_tiles(own_cells, tile, "d double").agg(F.min("d")).first()[0]
-    threshold = 2.0 if bound is None else float(bound)
-    exact = run_tiles(place_self(distinct, threshold), tile, "d double")
-    return exact.agg(F.min("d").alias("min_different"))
+    schema = "kind string, d double"
+    inner = scratch.table(blocks.each(within, schema), "inner").agg(F.max("d")).first()[0]
+    high = -np.inf if inner is None else inner
+
+    def one_label(left: pa.Table, right: pa.Table) -> np.ndarray:
+        mine, theirs = (np.array(t.column("mark").to_pylist(), object) for t in (left, right))
+        return mine[:, None] == theirs[None, :]
+
+    def may_part(left: pa.Table, right: pa.Table) -> np.ndarray:
+        others = np.array(left.column("block").to_pylist(), object)[:, None] != np.array(right.column("block").to_pylist(), object)[None, :]
+        return one_label(left, right) & others & (most_distance(left, right) > high)
+
+    # No vector is further from its block's own centre than the radius, so two blocks are at most this near apart.
+    def reachable(left: pa.Table, right: pa.Table) -> np.ndarray:
+        return np.where(one_label(left, right), np.inf, most_distance(left, right))
+
+    low = blocks.least(reachable)
+
+    def may_meet(left: pa.Table, right: pa.Table) -> np.ndarray:
+        return ~one_label(left, right) & (least_distance(left, right) <= low)
+
+    # Labels live in the files, too, so a pair knows which of the two questions it answers.
+    def label_of(table: pa.Table):
+        return table.column("label")[0].as_py()
+
+    def compare(left: pa.Table, right: pa.Table, _same: bool) -> pa.Table:
+        return row("same", farthest(left, right, False)) if label_of(left) == label_of(right) else row("different", nearest(left, right))
+
+    found = blocks.compare(compare, schema, lambda a, b: may_part(a, b) | may_meet(a, b))
+    both = found.agg(F.max(F.when(F.col("kind") == "same", F.col("d"))).alias("d"), F.min(F.when(F.col("kind") == "different", F.col("d"))).alias("min_different"))
+    largest = F.greatest("d", F.lit(inner).cast("double")).alias("max_same")
+    # Each side is one row by construction.
+    out = counts.join(F.broadcast(both.select(largest, "min_different")), F.lit(True)).withColumn(
+        "ok", F.col("max_same") < F.col("min_different"))
+    return scratch.finish(out)

@@ -1,4 +1,4 @@
-"""Exact vector threshold joins that never build the product of two tables.
+"""Vector joins in cells, cut into chunks; ``vector_blocks`` has the exact joins that copy no rows.
 
 Vectors are cut into cells around pivots. Two vectors closer than the
 threshold can only meet where one of them lives, so a vector is sent to its
@@ -31,12 +31,14 @@ def reach(threshold: float) -> float:
     return math.sqrt(max(0.0, 2.0 * threshold)) + SLACK
 
 
-def choose_pivots(vectors: DataFrame, rows: int, vec: str = "vec", ident: str = "id") -> np.ndarray:
+def choose_pivots(
+    vectors: DataFrame, rows: int, vec: str = "vec", ident: str = "id", per_pivot: int | None = None
+) -> np.ndarray:
     """A bounded, repeatable choice of unit vectors to build cells around.
 
     At most ``MAX_PIVOTS`` vectors come to the driver, whatever the table size.
     """
-    wanted = int(min(MAX_PIVOTS, max(1, math.ceil(rows / ROWS_PER_PIVOT))))
+    wanted = int(min(MAX_PIVOTS, max(1, math.ceil(rows / (per_pivot or ROWS_PER_PIVOT)))))
     if wanted == 1:
         return np.empty((0, 0))
     picked = (
@@ -95,35 +97,6 @@ def _assign_cells(pivots: np.ndarray, radius: float, replicate: bool, vec_index:
     return run
 
 
-def _assign_all_near(pivots: np.ndarray, radius: float, vec_index: int):
-    """Like ``_assign_cells`` for the second table: send a row to *all* cells in reach."""
-    count = len(pivots)
-    gaps = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (pivots @ pivots.T))) if count else None
-
-    def run(batches):
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            if count == 0:
-                take, cells = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64)
-            else:
-                points = matrix(batch.column(vec_index))
-                norms = np.linalg.norm(points, axis=1)
-                points = points / np.where(norms > 0, norms, 1.0)[:, None]
-                square = np.maximum(0.0, 1.0 + (norms > 0)[:, None] - 2.0 * (points @ pivots.T))
-                own = square.argmin(axis=1)
-                gap = gaps[own]
-                border = (square - square[np.arange(len(own)), own][:, None]) / np.where(gap > 0, 2 * gap, 1.0)
-                take, cells = np.nonzero((border <= radius) | (gap <= 0))
-            kept = batch.take(pa.array(take))
-            yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(cells.astype(np.int64)), pa.array(np.zeros(len(take), bool))],
-                [*kept.schema.names, "_cell", "_home"],
-            )
-
-    return run
-
-
 def _with_cells(df: DataFrame, run: Callable) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{fields}, _cell bigint, _home boolean")
@@ -208,17 +181,3 @@ def place_self(vectors: DataFrame, threshold: float, rows: int | None = None) ->
     # Above 1 a vanishing vector is near everything, and no border helps.
     pivots = choose_pivots(vectors, rows) if threshold <= 1.0 else np.empty((0, 0))
     return _with_cells(vectors, _assign_cells(pivots, reach(threshold), True, index))
-
-
-def place_two(left: DataFrame, right: DataFrame, threshold: float, rows: int | None = None) -> DataFrame:
-    """Left rows in their own cell, right rows in every cell within reach.
-
-    The two tables have the same columns; a ``_left`` flag tells them apart.
-    """
-    rows = left.count() if rows is None else rows
-    index = left.columns.index("vec")
-    pivots = choose_pivots(left, rows) if threshold <= 1.0 else np.empty((0, 0))
-    own = _with_cells(left, _assign_cells(pivots, reach(threshold), False, index))
-    sent = _with_cells(right, _assign_all_near(pivots, reach(threshold), index))
-    return own.unionByName(sent)
-

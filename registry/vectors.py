@@ -49,10 +49,7 @@ def _near_sql(edge: float, weight: float) -> str:
     sql("SELECT a, b, round(d, 6) AS d FROM near", "photos", extra=_RAW_SQL + ", " + _near_sql(0.64, 0.0)),
 )
 def _(spark, sf):
-    edges = similarity.build_edges(_raw(spark, sf), 0.64, top_k=None)
-    return edges.filter("src < dst").select(
-        F.col("src").alias("a"), F.col("dst").alias("b"), F.round(1 - F.col("weight"), 6).alias("d")
-    )
+    return similarity.near_pairs(_raw(spark, sf), 0.64).select("a", "b", F.round("distance", 6).alias("d"))
 
 
 @register(
