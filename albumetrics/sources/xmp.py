@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import xml.etree.ElementTree as ET
 
 import pyarrow as pa
@@ -21,6 +22,11 @@ NS = {
     "Iptc4xmpExt": "http://iptc.org/std/Iptc4xmpExt/2008-02-29/",
 }
 PACKET_HEADER = b"http://ns.adobe.com/xap/1.0/\x00"
+EXTENSION_HEADER = b"http://ns.adobe.com/xmp/extension/\x00"
+NOTE = "http://ns.adobe.com/xmp/note/"
+# Most bytes in a file segment after its length, and of an extension's data in one.
+SEGMENT_BYTES = 65_533
+EXTENSION_BYTES = 65_400
 BOM = b"\xef\xbb\xbf"
 TAG_PREFIX = "People/"
 
@@ -97,20 +103,71 @@ def parse_regions(packet: str | None) -> list[dict]:
     return out
 
 
-def locate_packet(content: bytes | None) -> str | None:
-    """The UTF-8 packet text inside JPEG bytes, without a byte order mark."""
-    if content is None or content[:2] != b"\xff\xd8":
-        return None
-    at = 2
+def packet_segments(packet: str) -> list[bytes]:
+    """Bodies of the file segments that hold a packet: one, or a short main packet and its extensions.
+
+    A packet that does not fit a segment goes into extension segments, each with the packet's digest, its length and the
+    place of the piece; the main packet then names the digest.
+    """
+    data = packet.encode()
+    if len(PACKET_HEADER) + len(data) <= SEGMENT_BYTES:
+        return [PACKET_HEADER + data]
+    digest = hashlib.md5(data, usedforsecurity=False).hexdigest().upper()
+    main = (
+        f'<x:xmpmeta xmlns:x="{NS["x"]}"><rdf:RDF xmlns:rdf="{NS["rdf"]}"><rdf:Description rdf:about="" '
+        f'xmlns:xmpNote="{NOTE}" xmpNote:HasExtendedXMP="{digest}"/></rdf:RDF></x:xmpmeta>'
+    )
+    head = EXTENSION_HEADER + digest.encode() + len(data).to_bytes(4, "big")
+    pieces = range(0, len(data), EXTENSION_BYTES)
+    return [PACKET_HEADER + main.encode(), *(head + at.to_bytes(4, "big") + data[at : at + EXTENSION_BYTES] for at in pieces)]
+
+
+def _bodies(content: bytes) -> list[bytes]:
+    """Bodies of the metadata segments of a JPEG, in order."""
+    at, out = 2, []
     while at + 4 <= len(content) and content[at] == 0xFF and content[at + 1] not in (0xD9, 0xDA):
         size = int.from_bytes(content[at + 2 : at + 4], "big")
-        body = content[at + 4 : at + 2 + size]
-        if content[at + 1] == 0xE1 and body.startswith(PACKET_HEADER):
-            return body[len(PACKET_HEADER) :].removeprefix(BOM).decode("utf-8", errors="replace")
+        if content[at + 1] == 0xE1:
+            out.append(content[at + 4 : at + 2 + size])
         at += 2 + size
+    return out
+
+
+def _extension(bodies: list[bytes], main: str) -> str | None:
+    """The packet that extension segments hold, if the main packet names one and all of it is there."""
+    pieces: dict[str, dict[int, bytes]] = {}
+    lengths: dict[str, int] = {}
+    for body in bodies:
+        if body.startswith(EXTENSION_HEADER) and len(body) >= len(EXTENSION_HEADER) + 40:
+            rest = body[len(EXTENSION_HEADER) :]
+            digest = rest[:32].decode("ascii", errors="replace")
+            lengths[digest] = int.from_bytes(rest[32:36], "big")
+            pieces.setdefault(digest, {})[int.from_bytes(rest[36:40], "big")] = rest[40:]
+    for digest, parts in pieces.items():
+        data = b"".join(parts[k] for k in sorted(parts))
+        if digest in main and len(data) == lengths[digest]:
+            return data.decode("utf-8", errors="replace")
     return None
 
 
+def locate_packet(content: bytes | None) -> str | None:
+    """The UTF-8 packet text inside JPEG bytes, without a byte order mark; a packet in extension segments is put together."""
+    if content is None or content[:2] != b"\xff\xd8":
+        return None
+    bodies = _bodies(content)
+    for body in bodies:
+        if body.startswith(PACKET_HEADER):
+            main = body[len(PACKET_HEADER) :].removeprefix(BOM).decode("utf-8", errors="replace")
+            return _extension(bodies, main) or main
+    return None
+
+
+@F.arrow_udf(T.ArrayType(T.BinaryType()))
+def segments_of(packets: pa.Array) -> pa.Array:
+    """Per packet the bodies of its file segments; null where there is no packet."""
+    return pa.array([None if p is None else packet_segments(p) for p in packets.to_pylist()], pa.list_(pa.binary()))
+
+
 @F.arrow_udf(REGION_LIST)
 def regions_of(packets: pa.Array) -> pa.Array:
     return pa.array([parse_regions(p) for p in packets.to_pylist()], _REGION_ARROW)
@@ -247,23 +304,16 @@ def tag_lists(packets: pa.Array) -> pa.Array:
     return pa.array([lists(p) for p in packets.to_pylist()], kind)
 
 
-# A face takes at least this much of a segment: its element with four numbers.
-FACES_PER_PACKET = 65_502 // 100
-
-
 def write_packets(
     photos: DataFrame, faces: DataFrame, packets: DataFrame | None = None, include_unnamed: bool = True
 ) -> DataFrame:
-    """New packet per photo holding all its faces: ``(photo_id, packet)``.
+    """New packet per photo holding all its faces, however many: ``(photo_id, packet)``.
 
-    A packet must fit one file segment of 64 KB. Photos with more faces than
-    can fit are counted before any are gathered and keep their present packet;
-    ``overfull_photos`` lists them. ``packets`` are the present ones, whose
-    other properties are kept.
+    A packet is one value, as large as its faces make it; ``segments_of`` cuts
+    it for a file. ``packets`` are the present ones, whose other properties are kept.
     """
-    kept = _written_faces(faces, include_unnamed)
-    overfull = _overfull(kept)
-    kept = kept.join(overfull.select("photo_id"), "photo_id", "left_anti")
+    kept = faces.filter("region IS NOT NULL")
+    kept = kept if include_unnamed else kept.filter("name IS NOT NULL AND NOT ignored")
     fields = [F.col("name"), *[F.col(f"region.{c}").alias(c) for c in ("x", "y", "w", "h")]]
     gathered = kept.groupBy("photo_id").agg(
         F.array_sort(F.collect_list(F.struct("face_id", F.struct(*fields).alias("r")))).alias("_l")
@@ -274,24 +324,7 @@ def write_packets(
         joined = joined.withColumn("packet", F.lit(None).cast("string"))
     else:
         joined = joined.join(packets.select("photo_id", "packet"), "photo_id", "left")
-    marked = joined.join(overfull.select("photo_id", F.lit(True).alias("_full")), "photo_id", "left")
-    fresh = written_packet("packet", "_regions")
-    return marked.select("photo_id", F.when(F.col("_full"), F.col("packet")).otherwise(fresh).alias("packet"))
-
-
-def _written_faces(faces: DataFrame, include_unnamed: bool) -> DataFrame:
-    kept = faces.filter("region IS NOT NULL")
-    return kept if include_unnamed else kept.filter("name IS NOT NULL AND NOT ignored")
-
-
-def _overfull(kept: DataFrame) -> DataFrame:
-    counted = kept.groupBy("photo_id").agg(F.count(F.lit(1)).alias("n_faces"))
-    return counted.filter(F.col("n_faces") > FACES_PER_PACKET)
-
-
-def overfull_photos(faces: DataFrame, include_unnamed: bool = True) -> DataFrame:
-    """Photos whose faces cannot fit a packet: ``(photo_id, n_faces)``."""
-    return _overfull(_written_faces(faces, include_unnamed))
+    return joined.select("photo_id", written_packet("packet", "_regions").alias("packet"))
 
 
 def clear_packets(packets: DataFrame) -> DataFrame:

@@ -87,6 +87,30 @@ def _(spark, sf):
     return found.select("photo_id", "name", *[F.round(f"region.{c}", 6).alias(c) for c in "xywh"])
 
 
+@register(
+    "s07_crowded_photos",
+    """SELECT l_suppkey AS photo_id, count(*) AS regions, count(DISTINCT 'N' || l_partkey) AS names,
+      max(l_linenumber) / 8.0 AS widest FROM lineitem GROUP BY l_suppkey""",
+)
+def _(spark, sf):
+    """Photos of hundreds of faces: supplier by supplier, a face per line item; packets are cut for a file and put together again."""
+    lines = fx.table(spark, sf, "lineitem")
+    unit = F.lit(0.5)
+    width = (F.col("l_linenumber") / 8.0).alias("w")
+    faces = lines.select(
+        F.col("l_suppkey").alias("photo_id"), F.xxhash64("l_orderkey", "l_linenumber").alias("face_id"),
+        F.concat(F.lit("N"), F.col("l_partkey").cast("string")).alias("name"), F.lit(False).alias("ignored"),
+        F.struct(unit.alias("x"), unit.alias("y"), width, unit.alias("h")).alias("region"))
+    packets = xmp.write_packets(lines.select(F.col("l_suppkey").alias("photo_id")).distinct(), faces)
+    # Marker and length of each segment, then the end of the picture.
+    bodies = F.transform(xmp.segments_of("packet"), lambda b: F.concat(
+        F.unhex(F.lit("FFE1")), F.unhex(F.lpad(F.hex(F.length(b) + 2), 4, "0")), b))
+    content = F.concat(F.unhex(F.lit("FFD8")), F.aggregate(bodies, F.unhex(F.lit("")), lambda a, b: F.concat(a, b)), F.unhex(F.lit("FFD9")))
+    read = packets.select("photo_id", xmp.packet_of(content).alias("packet"))
+    return xmp.read_regions(read).groupBy("photo_id").agg(
+        F.count(F.lit(1)).alias("regions"), F.countDistinct("name").alias("names"), F.max("region.w").alias("widest"))
+
+
 @register(
     "s08_person_tags",
     sql(

@@ -96,6 +96,23 @@ def test_packet_keeps_other_properties():
     assert xmp._items(cleared, "digiKam:TagsList") == []
 
 
+@pytest.mark.parametrize("faces", [3, 600, 700, 3000])
+def test_photos_of_many_faces_keep_all(spark, faces):
+    photos = spark.createDataFrame([(1, "a.jpg", True, 5), (2, "b.jpg", True, 5)], "photo_id bigint, path string, pending_xmp_write boolean, modified_at bigint")
+    rows = spark.range(faces).select(
+        F.lit(1).cast("bigint").alias("photo_id"), F.col("id").alias("face_id"), F.concat(F.lit("Ü"), F.col("id").cast("string")).alias("name"),
+        F.lit(False).alias("ignored"), F.struct(*[F.lit(0.25).alias(c) for c in "xywh"]).alias("region"))
+    after, packets = xmp.drain_pending(photos, rows, photos.select("path"), F.lit(9).cast("bigint"))
+    assert {tuple(r) for r in after.select("photo_id", "pending_xmp_write", "modified_at").collect()} == {(1, False, 9), (2, False, 9)}
+    packet = {r.photo_id: r.packet for r in packets.collect()}[1]
+    bodies = xmp.packet_segments(packet)
+    assert all(len(b) + 2 <= 0xFFFF for b in bodies) and (len(bodies) > 1) == (len(packet.encode()) > 65_504)
+    # Segments may come in any order.
+    jpeg = b"\xff\xd8" + b"".join(b"\xff\xe1" + (len(b) + 2).to_bytes(2, "big") + b for b in [bodies[0], *bodies[:0:-1]]) + b"\xff\xd9"
+    read = xmp.parse_regions(xmp.locate_packet(jpeg))
+    assert {r["name"] for r in read} == {f"Ü{k}" for k in range(faces)} and len(read) == faces
+
+
 def test_broken_packets():
     assert xmp.parse_regions("<not xml") == [] and xmp.parse_regions(None) == []
     assert xmp.rewrite_packet(None, None, clear=True) is None
