@@ -335,11 +335,11 @@ def label_spans(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", t
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "spans")
 
 
-def _keep_batch(model, least: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keep_batch(model, least: float, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     labeller = Labeller(model.value)
     for batch in batches:
         keep: list[bool] = []
-        for _, texts in slices([None] * batch.num_rows, batch.column("text").to_pylist()):
+        for _, texts in slices([None] * batch.num_rows, batch.column(at).to_pylist()):
             keep += [share > 0 and share >= least for share in labeller.coverage(texts)]
         yield batch.filter(pa.array(keep, pa.bool_()))
 
@@ -351,7 +351,6 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5, t
     """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(model)
-    named = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
-    return named.mapInArrow(partial(_keep_batch, shared, least), named.schema).withColumnRenamed("text", text_col)
+    return docs.mapInArrow(partial(_keep_batch, shared, least, docs.columns.index(text_col)), docs.schema)
 
 

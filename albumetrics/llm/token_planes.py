@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from albumetrics.llm.bpe_stream import WHITE, char_class
 from albumetrics.llm.common import Memo, prepare, slices
+from albumetrics.sources.shared_files import locate
 from albumetrics.sources.workspace import materialize, new_path
 
 MAGIC = b"PLN1"
@@ -69,7 +70,7 @@ def from_planes(planes: list[bytes], n: int, kind: str) -> np.ndarray:
 
 
 def _store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
+    return locate(uri if ":" in uri else os.path.abspath(uri))
 
 
 class PlaneWriter:

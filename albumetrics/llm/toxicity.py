@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -40,7 +41,6 @@ from albumetrics.llm.common import Memo, by_slices, class_draw, fit_logistic, lo
 #: Labelled documents of each class to learn from.
 TRAIN_DOCS = 8000
 #: Terms with the strongest evidence that are kept.
-LEXICON_TERMS = 5000
 LEAST_DOCS = 3
 LEAST_LOG_ODDS = 3.0
 #: Terms shorter than this have no misspellings.
@@ -58,7 +58,7 @@ _DISGUISED = re.compile(f"[{_L}]+(?:[0-9@$!|*]+[{_L}]+)+")
 _BEYOND = re.compile("[^\\x00-\\xff]")
 _SIGNS = re.compile("[0-9@$!|*]")
 _RUN = re.compile(r"(.)\1{2,}")
-_OPENING, _CLOSING = "\"'«“‘„‹", "\"'»”’“›"
+_MARKS = {'"': '"', "'": "'", "«": "»", "“": "”", "‘": "’", "„": "“", "‹": "›"}
 
 
 def words_of(low: str) -> list[str]:
@@ -148,6 +148,38 @@ class Lexicon:
 FEATURES = 7
 
 
+def _in_word(text: str, at: int) -> bool:
+    return 0 <= at < len(text) and text[at].isalnum()
+
+
+def _opens(text: str, at: int) -> bool:
+    """Single marks also stand for letters left out: one opens only before a word and not after a letter."""
+    return text[at] not in "'‘’" or (not _in_word(text, at - 1) and _in_word(text, at + 1))
+
+
+def _closes(text: str, at: int) -> bool:
+    return text[at] not in "'‘’" or (not _in_word(text, at + 1) and at > 0 and not text[at - 1].isspace())
+
+
+def closing(text: str, start: int, end: int, mark: str) -> int:
+    """The first place from ``start`` to ``end`` where the mark closes, or -1."""
+    at = text.find(mark, start, end)
+    while at >= 0 and not _closes(text, at):
+        at = text.find(mark, at + 1, end)
+    return at
+
+
+def is_open(text: str, start: int, end: int, mark: str, other: str) -> bool:
+    """Has a mark been opened between ``start`` and ``end`` that is not closed there?"""
+    held = False
+    for at in range(start, end):
+        if held and text[at] == other and _closes(text, at):
+            held = False
+        elif not held and text[at] == mark and _opens(text, at):
+            held = True
+    return held
+
+
 class Scorer:
     def __init__(self, lexicon: Lexicon, coefficients: np.ndarray | None = None):
         self._lexicon = lexicon
@@ -155,12 +187,15 @@ class Scorer:
         self.coefficients = coefficients
 
     def _quoted(self, text: str, start: int, end: int) -> bool:
-        """A quote mark opens within the window before the hit and one closes within the window after it."""
+        """A quote mark opens within the window before the hit, and the mark that goes with it closes within the one after."""
         reach = 8 * WINDOW
-        before, after = text[max(0, start - reach):start], text[end:end + reach]
-        opened = max((before.rfind(m) for m in _OPENING), default=-1)
-        closed = min((k for k in (after.find(m) for m in _CLOSING) if k >= 0), default=-1)
-        return opened >= 0 and closed >= 0 and "\n" not in before[opened:] and "\n" not in after[:closed]
+        first = max(text.rfind("\n", max(0, start - reach), start) + 1, start - reach, 0)
+        last = text.find("\n", end, end + reach)
+        last = min(len(text), end + reach) if last < 0 else last
+        before = text[first:start]
+        return any(
+            mark in before and is_open(text, first, start, mark, other) and closing(text, end, last, other) >= 0
+            for mark, other in _MARKS.items())
 
     def features(self, text: str) -> list[float]:
         low = text.lower()
@@ -228,7 +263,8 @@ def _sample_features(lexicon, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id",
-          text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS) -> Scorer:
+          text_col: str = "text", label_col: str = "toxic", train_docs: int = TRAIN_DOCS,
+          lexicon_terms: int | None = None) -> Scorer:
     """Learn lexicon and weights from the labels for which ``usable`` (a condition on ``id_col``) holds."""
     spark = prepare(docs.sparkSession)
     chosen = class_draw(labels, id_col, label_col, "toxic", usable, train_docs, seed=2)
@@ -245,7 +281,9 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_c
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("clean") + 0.5) / (clean + 1.0))
     found = words.filter(F.col("toxic") >= max(LEAST_DOCS, toxic // 400)).select("word", odds.alias("odds")).filter(
-        F.col("odds") >= LEAST_LOG_ODDS).orderBy(F.desc("odds"), "word").limit(LEXICON_TERMS).collect()
+        F.col("odds") >= LEAST_LOG_ODDS).orderBy(F.desc("odds"), "word")
+    # Words of the chosen documents only, whose number is bounded.
+    found = (found if lexicon_terms is None else found.limit(lexicon_terms)).collect()
     lexicon = Lexicon({r["word"]: float(r["odds"]) for r in found})
     shared = spark.sparkContext.broadcast(lexicon)
     common = words.filter(F.col("clean") > 0).select("word").mapInArrow(partial(_near_forms, shared), "word string")
@@ -266,32 +304,37 @@ def _score_batch(model, ids: list, texts: list[str]) -> pa.RecordBatch:
     })
 
 
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[str, Scorer] = {}
 
 
 def _scorer(model) -> Scorer:
     """The scorer of a broadcast model, with its memo, once per Python worker."""
-    if id(model) not in _SCORERS:
+    key, lexicon, coefficients = model.value
+    if key not in _SCORERS:
         _SCORERS.clear()
-        lexicon, coefficients = model.value
-        _SCORERS[id(model)] = Scorer(lexicon, coefficients)
-    return _SCORERS[id(model)]
+        _SCORERS[key] = Scorer(lexicon, coefficients)
+    return _SCORERS[key]
+
+
+def _shared(spark, scorer: Scorer):
+    """The broadcast model under a name of its own, by which Python workers tell models apart."""
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, scorer._lexicon, scorer.coefficients))
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``score``, ``predicted``: one row per row of ``docs``."""
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast((scorer._lexicon, scorer.coefficients))
+    shared = _shared(spark, scorer)
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     out = rows.mapInArrow(by_slices(partial(_score_batch, shared)), "id string, score double, predicted int")
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "score", "predicted")
 
 
-def _keep_batch(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keep_batch(model, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     scorer = _scorer(model)
     for batch in batches:
         keep: list[bool] = []
-        for _, texts in slices([None] * batch.num_rows, batch.column("text").to_pylist()):
+        for _, texts in slices([None] * batch.num_rows, batch.column(at).to_pylist()):
             keep += (scorer.score(texts) < 0.5).tolist()
         yield batch.filter(pa.array(keep, pa.bool_()))
 
@@ -299,6 +342,5 @@ def _keep_batch(model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 def keep_clean(docs: DataFrame, scorer: Scorer, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are not predicted toxic; all columns stay."""
     spark = prepare(docs.sparkSession)
-    shared = spark.sparkContext.broadcast((scorer._lexicon, scorer.coefficients))
-    named = docs.withColumnRenamed(text_col, "text") if text_col != "text" else docs
-    return named.mapInArrow(partial(_keep_batch, shared), named.schema).withColumnRenamed("text", text_col)
+    shared = _shared(spark, scorer)
+    return docs.mapInArrow(partial(_keep_batch, shared, docs.columns.index(text_col)), docs.schema)

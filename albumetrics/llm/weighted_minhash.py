@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from albumetrics.llm.bpe_stream import char_class
 from albumetrics.llm.common import mix, prepare, slices
-from albumetrics.sources.workspace import materialize
+from albumetrics.sources.workspace import Scratch, materialize
 
 WORDS = 5
 LEAST = 0.8
@@ -336,12 +336,13 @@ def _bucket_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield rows()
 
 
-def candidate_pairs(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+def candidate_pairs(classes: DataFrame, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """Distinct pairs ``a`` < ``b`` to verify. ``classes``: doc_id, bands, drawn; one row per different text."""
     rows = classes.select("doc_id", F.explode("bands").alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    live = materialize(rows.join(sizes, "key"), "minhash-buckets")
-    drawn = materialize(classes.select("doc_id", "drawn").join(live.select("doc_id").distinct(), "doc_id"), "minhash-drawn")
+    scratch = scratch or Scratch(classes.sparkSession, "minhash")
+    live = scratch.table(rows.join(sizes, "key"), "buckets")
+    drawn = scratch.table(classes.select("doc_id", "drawn").join(live.select("doc_id").distinct(), "doc_id"), "drawn")
     members = live.withColumn("n", F.ceil(F.col("n") / block).cast("long")).join(drawn, "doc_id")
     members = members.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")))
     # Every two blocks of a bucket meet in one group, which holds all members of both.
@@ -383,19 +384,23 @@ def _verify(weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_pylist(out, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("similarity", pa.float64())]))
 
 
+#: A name that no table has.
+_MARK = "_albumetrics_minhash_mark"
+
+
 def _mark(column: str) -> Column:
     return F.pmod(F.xxhash64(F.col(column).cast("long"), F.lit(3)), F.lit(MARKS))
 
 
 def _marks(ids: DataFrame, column: str) -> DataFrame:
     """Marks of the ids: at most ``MARKS`` rows, so a broadcast. Texts without a mark need not travel to a join by id."""
-    return F.broadcast(ids.select(_mark(column).alias("mark")).distinct())
+    return F.broadcast(ids.select(_mark(column).alias(_MARK)).distinct())
 
 
 def pair_texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` of the documents in ``pairs``."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    near = docs.join(_marks(named, "doc_id"), _mark("doc_id") == F.col("mark"), "left_semi")
+    near = docs.join(_marks(named, "doc_id"), _mark("doc_id") == F.col(_MARK), "left_semi")
     return near.join(named, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
@@ -452,11 +457,12 @@ def _bridge(weights, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def bridges(texts: DataFrame, pairs: DataFrame, roots: DataFrame, drawn: DataFrame, weights: Weights,
-            block: int = BRIDGE_BLOCK) -> DataFrame:
+            block: int = BRIDGE_BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """Verified links between documents that ``pairs`` connect and ``roots`` (doc_id, root) leave in different groups."""
     shared = texts.sparkSession.sparkContext.broadcast(weights)
-    members = components(pairs).withColumnRenamed("root", "whole").join(roots, "doc_id", "left")
-    members = materialize(members.select("whole", "doc_id", F.coalesce("root", "doc_id").alias("root")), "minhash-wholes")
+    scratch = scratch or Scratch(texts.sparkSession, "minhash")
+    members = components(pairs, scratch).withColumnRenamed("root", "whole").join(roots, "doc_id", "left")
+    members = scratch.table(members.select("whole", "doc_id", F.coalesce("root", "doc_id").alias("root")), "wholes")
     mixed = members.groupBy("whole").agg(
         F.ceil(F.count("*") / block).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")
     ).filter("low <> high").select("whole", "n")
@@ -469,9 +475,10 @@ def bridges(texts: DataFrame, pairs: DataFrame, roots: DataFrame, drawn: DataFra
         partial(_bridge, shared), "a long, b long, similarity double")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """``doc_id``, ``root``: every linked id with the least id of its component (large star and small star in turn)."""
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "minhash-edges")
+    scratch = scratch or Scratch(links.sparkSession, "minhash")
+    edges = scratch.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -481,7 +488,7 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v"))).distinct()
-        edges = materialize(small, "minhash-edges")
+        edges = scratch.table(small, "edges")
         seen = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if seen == mark:
             break
@@ -490,30 +497,49 @@ def components(links: DataFrame) -> DataFrame:
     return edges.unionByName(roots).groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "doc_id")
 
 
+def _one_text_each(named: DataFrame, signed: DataFrame, sign, scratch: Scratch) -> DataFrame:
+    """``signed`` with one text per id: an id with several texts counts with the least of them."""
+    digest = F.xxhash64("text")
+    several = scratch.table(
+        named.groupBy("doc_id").agg(F.min(digest).alias("low"), F.max(digest).alias("high")).filter("low <> high").select("doc_id"),
+        "several")
+    if several.isEmpty():
+        return signed
+    least = named.join(several, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    again = least.select("doc_id", "text").mapInArrow(sign, _SIGNED_DDL)
+    return scratch.table(signed.join(several, "doc_id", "left_anti").unionByName(again), "documents")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """``doc_id``, ``class_id``: one row per document; a class is named by its least id."""
+    """``doc_id``, ``class_id``: one row per id; a class is named by its least id.
+
+    An id with several texts is one document with the least of them. Tables made on the way are dropped.
+    """
     spark: SparkSession = prepare(docs.sparkSession)
+    scratch = Scratch(spark, "minhash")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     weights = learn_weights(rows)
-    shared = spark.sparkContext.broadcast(weights)
-    named = rows.filter("doc_id is not null")
-    signed = materialize(named.filter("text is not null").mapInArrow(partial(_sign, shared), _SIGNED_DDL), "minhash-signed")
-    classes = materialize(signed.groupBy("same").agg(
+    sign = partial(_sign, spark.sparkContext.broadcast(weights))
+    named = rows.filter("doc_id is not null and text is not null")
+    every = scratch.table(named.mapInArrow(sign, _SIGNED_DDL), "signed")
+    signed = _one_text_each(named, every, sign, scratch)
+    classes = scratch.table(signed.groupBy("same").agg(
         F.min("doc_id").alias("doc_id"), F.min_by(F.struct("bands", "drawn"), "doc_id").alias("x")
-    ).select("same", "doc_id", "x.bands", "x.drawn"), "minhash-classes")
-    pairs = materialize(candidate_pairs(classes, block), "minhash-pairs")
-    texts = materialize(pair_texts(named, pairs), "minhash-texts")
-    links = materialize(verified_links(texts, pairs, weights), "minhash-links")
-    first = materialize(components(links), "minhash-roots")
+    ).select("same", "doc_id", "x.bands", "x.drawn"), "classes")
+    pairs = scratch.table(candidate_pairs(classes, block, scratch), "pairs")
+    texts = scratch.table(pair_texts(named, pairs), "texts")
+    links = scratch.table(verified_links(texts, pairs, weights), "links")
+    first = scratch.table(components(links, scratch), "roots")
     drawn = classes.select("doc_id", "drawn").join(texts.select("doc_id"), "doc_id", "left_semi")
-    more = bridges(texts, pairs, first, drawn, weights)
-    roots = components(links.unionByName(more))
+    more = bridges(texts, pairs, first, drawn, weights, scratch=scratch)
+    roots = components(links.unionByName(more), scratch)
     named_classes = classes.select("same", F.col("doc_id").alias("rep")).join(
         roots.withColumnRenamed("doc_id", "rep"), "rep", "left").select("same", F.coalesce("root", "rep").alias("class_id"))
     found = signed.select("doc_id", "same").join(named_classes, "same").select("doc_id", "class_id")
     ids = rows.select("doc_id").distinct()
     best = found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return ids.join(best, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return scratch.finish(
+        ids.join(best, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -521,6 +547,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = groups(docs, id_col, text_col)
     copies = materialize(found.filter("class_id <> doc_id").select(F.col("doc_id").alias(id_col)), "minhash-copies")
     marks = _marks(copies, id_col)
-    sure = docs.join(marks, _mark(id_col) == F.col("mark"), "left_anti")
-    rest = docs.join(marks, _mark(id_col) == F.col("mark"), "left_semi").join(copies, id_col, "left_anti")
+    sure = docs.join(marks, _mark(id_col) == F.col(_MARK), "left_anti")
+    rest = docs.join(marks, _mark(id_col) == F.col(_MARK), "left_semi").join(copies, id_col, "left_anti")
     return sure.unionByName(rest.select(docs.columns))
