@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from albumetrics.llm import bpe_stream, edit_matching, language_spans, toxicity, weighted_minhash
 from albumetrics.llm.common import table
 from albumetrics.llm.queries import WORD_BPE, language_model, toxicity_scorer
-from albumetrics.sources.workspace import materialize
+from albumetrics.sources.workspace import Scratch
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,12 +47,13 @@ STAGES = [
     ("bpe_stream", encode_and_decode),
 ]
 
-#: Learned models and approximate search have no SQL; tests compare each stage with brute force.
+#: Learned models and approximate search have no SQL; tests compare what stages keep with plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        docs = scratch.table(stage(spark, docs, sf_dir), name)
+    return scratch.finish(STAGES[-1][1](spark, docs, sf_dir))
