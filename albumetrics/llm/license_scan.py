@@ -12,7 +12,8 @@ Notices inside longer lines, and those wrapped over more lines, are found by win
 that begins or ends with a bigram the template lacks is no better than without it, so windows run from one place of a
 template's bigrams to another, over at least as many of them as a match shares and at most as many words as the bounds
 allow (besides those that the template repeats). Windows count only where no run of lines matches the licence; the lines
-of a result are then those that the window touches.
+of a result are then those that the window touches. The text is cut into stretches of ``STRETCH`` bigrams and what a window
+begun there may reach, so work is linear in the text.
 
 All steps are column functions over single rows; there is no shuffle before the last grouping, and the result has a row for each document and
 template that match: the best coefficient, the first line of the best run (the earliest, then the shortest, on a tie),
@@ -91,6 +92,8 @@ TEMPLATES = {
 # Words of the templates that most English texts hold; they only steer which key words are chosen.
 FREQUENT = set("a and are at be by for in is it may not of on or that the this to under use was with you".split())
 
+#: Bigrams of one stretch of a text, besides those that a window begun in it may still reach.
+STRETCH = 512
 WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -129,7 +132,10 @@ def longest_window(words: list[str], least: float) -> int:
 
 
 def window_hits(table: Column, least: float) -> Column:
-    """Matching windows as (line, n_lines, license, dice) from the columns ``grams`` and ``line_of`` (a word's line)."""
+    """Matching windows of one stretch as (line, n_lines, license, dice), from its ``grams``, ``line_of``, ``own`` and ``spots``.
+
+    A window counts in the stretch in whose first ``own`` bigrams it begins.
+    """
     def windows(t: Column) -> Column:
         first, at = F.element_at, t["at"]
 
@@ -146,7 +152,7 @@ def window_hits(table: Column, least: float) -> Column:
                 .alias("dice")))
 
         starts = F.filter(F.sequence(F.lit(1), F.size(at) - t["low"] + 1),
-                          lambda k: first(at, k + t["low"] - 1) - first(at, k) < t["span"])
+                          lambda k: (first(at, k) <= F.col("own")) & (first(at, k + t["low"] - 1) - first(at, k) < t["span"]))
         return F.filter(F.flatten(F.transform(starts, from_place)), lambda w: w["dice"] >= least)
 
     placed = F.transform(table, lambda t: F.struct(
@@ -155,6 +161,13 @@ def window_hits(table: Column, least: float) -> Column:
     return F.flatten(F.transform(F.filter(placed, lambda t: F.size(t["at"]) >= t["low"]), windows))
 
 
+def _pairs(words: Column, first: Column, last: Column) -> Column:
+    """Bigrams from word ``first`` to word ``last``; single elements are read, so no array is copied for each of them."""
+    return F.when(last > first, F.transform(
+        F.sequence(first, last - 1), lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))
+    )).otherwise(F.array().cast("array<string>"))
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least: float = LEAST_DICE,
          max_lines: int = MAX_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``license``, ``dice``, ``line`` (from 1), ``n_lines``, ``n_runs``."""
@@ -162,8 +175,13 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     flat = [(name, bigrams(normalise(text))) for name, texts in (templates or TEMPLATES).items() for text in texts]
     bounds = [size_bounds(len(grams), least) for _, grams in flat]
     fewest = min(a for a, _ in bounds)
-
     keys = sorted({w for texts in (templates or TEMPLATES).values() for t in texts for w in key_words(normalise(t), least)})
+    spans = [longest_window(normalise(t), least) for texts in (templates or TEMPLATES).values() for t in texts]
+    table = F.array(*(
+        F.struct(F.lit(name).alias("license"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(span).alias("span"),
+                 F.array(*map(F.lit, grams)).alias("grams"))
+        for (name, grams), (low, high), span in zip(flat, bounds, spans)
+    ))
     low = F.lower(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), low.alias("low"))
     rows = rows.filter(reduce(lambda a, b: a | b, (F.contains(F.col("low"), F.lit(k)) for k in keys)))
@@ -172,60 +190,56 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, least:
     held = F.array(*map(F.lit, keys))
     rows = rows.select(
         "id", "lines", F.flatten("lines").alias("words"),
-        F.flatten(F.transform("lines", lambda words, k: F.array_repeat(k + 1, F.size(words)))).alias("line_of"))
-    follow = F.greatest(F.size("words") - 1, F.lit(0))
-    rows = rows.select("id", "lines", "line_of", F.zip_with(
-        F.slice("words", F.lit(1), follow), F.slice("words", F.lit(2), follow), lambda a, b: F.concat_ws(" ", a, b)).alias("grams"))
-    wanted = sorted({g for _, grams in flat for g in grams})
-    rows = rows.select("id", "lines", "line_of", "grams", F.filter(
-        F.transform("grams", lambda g, k: F.struct((k + 1).alias("at"), g.alias("gram"))),
-        lambda x: x["gram"].isin(wanted)).alias("spots"))
-    spans = [longest_window(normalise(t), least) for texts in (templates or TEMPLATES).values() for t in texts]
-    table = F.array(*(
-        F.struct(F.lit(name).alias("license"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.lit(span).alias("span"),
-                 F.array(*map(F.lit, grams)).alias("grams"))
-        for (name, grams), (low, high), span in zip(flat, bounds, spans)
-    ))
-    rows = rows.select(
-        "id", "lines", window_hits(table, least).alias("windows"), F.transform("lines", F.size).alias("sizes"),
-        F.transform("lines", lambda words: F.arrays_overlap(words, held)).alias("keyed"))
+        F.flatten(F.transform("lines", lambda words, k: F.array_repeat(k + 1, F.size(words)))).alias("line_of"),
+        F.transform("lines", F.size).alias("sizes"), F.transform("lines", lambda words: F.arrays_overlap(words, held)).alias("keyed"))
+
+    # A piece is a run of lines with its words, or a stretch of the text with the lines of its words. Every piece takes its
+    # words along when it becomes a row, and all are cut out element by element, so the work is linear in the text.
+    none, words = F.lit(None), "array<string>"
 
     def runs_of(n: int) -> Column:
+        at = lambda name, s, i: F.element_at(name, s + i)
         starts = F.filter(
-            F.sequence(F.lit(1), F.size("sizes") - (n - 1)),
-            lambda s: F.exists(F.slice("keyed", s, F.lit(n)), lambda k: k)
-            & (F.element_at("sizes", s) > 0) & (F.element_at("sizes", s + (n - 1)) > 0)
-            & (F.aggregate(F.slice("sizes", s, F.lit(n)), F.lit(0), lambda a, b: a + b) > fewest),
-        )
-        starts = F.when(F.size("sizes") >= n, starts).otherwise(F.array().cast("array<int>"))
+            F.sequence(F.lit(1), F.greatest(F.size("sizes") - (n - 1), F.lit(1))),
+            lambda s: (s + (n - 1) <= F.size("sizes"))
+            & reduce(lambda a, b: a | b, (F.get("keyed", s + (i - 1)) for i in range(n)))
+            & (F.get("sizes", s - 1) > 0) & (F.get("sizes", s + (n - 2)) > 0)
+            & (reduce(lambda a, b: a + b, (F.get("sizes", s + (i - 1)) for i in range(n))) > fewest))
         return F.transform(starts, lambda s: F.struct(
-            s.alias("line"), F.lit(n).alias("n_lines"), F.lit(None).cast("string").alias("license"),
-            F.lit(None).cast("double").alias("dice")))
-
-    runs = rows.select("id", "lines", F.explode(F.concat(
-        *(runs_of(n) for n in range(1, max_lines + 1)), F.col("windows"))).alias("run"))
-    words = F.flatten(F.slice("lines", F.col("run.line"), F.col("run.n_lines")))
-    grams = F.array_distinct(F.zip_with(
-        F.slice("words", F.lit(1), F.size("words") - 1), F.slice("words", F.lit(2), F.size("words") - 1),
-        lambda a, b: F.concat_ws(" ", a, b),
-    ))
-    window = F.when(F.col("run.license").isNotNull(), F.struct("run.license", "run.dice")).alias("window")
-    # A window is scored already; its words are not looked at again.
-    words = F.when(F.col("run.license").isNull(), words).otherwise(F.array(F.lit("")))
-    runs = runs.select("id", "run.line", "run.n_lines", window, words.alias("words"))
-    runs = runs.select("id", "line", "n_lines", "window", grams.alias("grams"))
+            s.alias("line"), F.lit(n).alias("n_lines"),
+            F.flatten(F.array(*(at("lines", s, i) for i in range(n)))).alias("words"),
+            none.cast("array<int>").alias("line_of"), none.cast("int").alias("own")))
+
+    reach = max(spans)
+    cut = F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)), F.lit(STRETCH))
+
+    def stretch(first: Column) -> Column:
+        last = F.least(first + (STRETCH + reach), F.size("words"))
+        places = F.sequence(first, F.greatest(last, first))
+        return F.struct(
+            none.cast("int").alias("line"), none.cast("int").alias("n_lines"),
+            F.transform(places, lambda i: F.get("words", i - 1)).alias("words"),
+            F.transform(places, lambda i: F.get("line_of", i - 1)).alias("line_of"), F.lit(STRETCH).alias("own"))
+
+    pieces = rows.select("id", F.explode(F.concat(
+        *(runs_of(n) for n in range(1, max_lines + 1)), F.transform(cut, stretch))).alias("piece")).select("id", "piece.*")
+    pieces = pieces.withColumn("grams", _pairs(F.col("words"), F.lit(1), F.size("words"))).drop("words")
+    wanted = sorted({g for _, grams in flat for g in grams})
+    spots = F.filter(F.transform("grams", lambda g, k: F.struct((k + 1).alias("at"), g.alias("gram"))), lambda x: x["gram"].isin(wanted))
+    whole = F.col("own").isNull()
+    pieces = pieces.withColumn("spots", F.when(~whole, spots))
+    pieces = pieces.withColumn("grams", F.when(whole, F.array_distinct("grams")).otherwise(F.col("grams")))
     fitting = F.filter(table, lambda t: F.size("grams").between(t["low"], t["high"]))
     scored = F.transform(fitting, lambda t: F.struct(
-        t["license"].alias("license"),
+        F.col("line"), F.col("n_lines"), t["license"].alias("license"),
         (F.lit(2.0) * F.size(F.array_intersect(F.col("grams"), t["grams"])) / (F.size("grams") + F.size(t["grams"])))
         .alias("dice"),
     ))
-    found = F.when(F.col("window").isNull(), F.filter(scored, lambda s: s["dice"] >= least)).otherwise(F.array("window"))
-    hits = runs.select("id", "line", "n_lines", F.col("window").isNull().alias("whole"), F.explode(found).alias("hit"))
-    best = F.max_by(
-        F.struct("line", "n_lines"), F.struct(F.col("hit.dice"), -F.col("line"), -F.col("n_lines")))
-    out = hits.groupBy("id", F.col("hit.license").alias("license"), "whole").agg(
-        F.max("hit.dice").alias("dice"), best.alias("best"), F.countDistinct("line", "n_lines").alias("n_runs"))
+    found = F.when(whole, F.filter(scored, lambda s: s["dice"] >= least)).otherwise(window_hits(table, least))
+    hits = pieces.select("id", whole.alias("whole"), F.explode(found).alias("hit")).select("id", "whole", "hit.*")
+    best = F.max_by(F.struct("line", "n_lines"), F.struct(F.col("dice"), -F.col("line"), -F.col("n_lines")))
+    out = hits.groupBy("id", "license", "whole").agg(
+        F.max("dice").alias("dice"), best.alias("best"), F.countDistinct("line", "n_lines").alias("n_runs"))
     out = out.groupBy("id", "license").agg(F.max_by(F.struct("dice", "best", "n_runs"), "whole").alias("x"))
     out = out.select("id", "license", "x.dice", "x.best", "x.n_runs")
     return out.select(
@@ -240,6 +254,10 @@ def oracle(templates: dict[str, list[str]] | None = None, least: float = LEAST_D
         f"({k}, {quote(name)}, {quote(text)})"
         for k, (name, text) in enumerate((n, t) for n, texts in (templates or TEMPLATES).items() for t in texts)
     )
+    every = [text for texts in (templates or TEMPLATES).values() for text in texts]
+    reaches = [
+        f"({k}, {size_bounds(len(bigrams(normalise(text))), least)[0]}, {longest_window(normalise(text), least)})"
+        for k, text in enumerate(every)]
     tokens = "list_filter(regexp_split_to_array(lower({}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
     pairs = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
     return f"""
@@ -259,10 +277,27 @@ grammed AS (SELECT doc_id, line, n_lines, {pairs.format("words")} AS grams FROM
 hits AS (
   SELECT g.doc_id, k.license, g.line, g.n_lines,
          2.0::DOUBLE * len(list_intersect(g.grams, k.grams)) / (len(g.grams) + len(k.grams)) AS dice
-  FROM grammed g JOIN known k ON len(g.grams) BETWEEN 1 AND 3 * len(k.grams))
+  FROM grammed g JOIN known k ON len(g.grams) BETWEEN 1 AND 3 * len(k.grams)),
+flat AS (SELECT doc_id, flatten(list(words ORDER BY line)) AS words,
+                flatten(list(list_transform(words, lambda w: line) ORDER BY line)) AS line_of FROM numbered GROUP BY doc_id),
+texts AS (SELECT doc_id, line_of, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS grams
+          FROM flat WHERE len(words) > 1),
+reach(t, low, span) AS (VALUES {", ".join(reaches)}),
+spots AS (SELECT p.doc_id, k.t, p.at, row_number() OVER (PARTITION BY p.doc_id, k.t ORDER BY p.at) AS n
+          FROM (SELECT doc_id, unnest(range(1, len(grams) + 1)) AS at, unnest(grams) AS gram FROM texts) p
+          JOIN (SELECT t, unnest(grams) AS gram FROM known) k USING (gram)),
+windows AS (SELECT a.doc_id, a.t, a.at AS start, b.at AS stop
+            FROM spots a JOIN reach r USING (t) JOIN spots f ON f.doc_id = a.doc_id AND f.t = a.t AND f.n = a.n + r.low - 1 AND f.at - a.at < r.span
+            JOIN spots b ON b.doc_id = a.doc_id AND b.t = a.t AND b.n >= f.n AND b.at - a.at < r.span),
+inside AS (SELECT w.doc_id, k.license, x.line_of[w.start] AS line, x.line_of[w.stop + 1] - x.line_of[w.start] + 1 AS n_lines,
+           2.0::DOUBLE * len(list_intersect(list_distinct(x.grams[w.start:w.stop]), k.grams))
+             / (len(list_distinct(x.grams[w.start:w.stop])) + len(k.grams)) AS dice
+           FROM windows w JOIN texts x USING (doc_id) JOIN known k USING (t))
 SELECT doc_id, license, max(dice) AS dice,
        arg_max(line, (dice, -line, -n_lines))::BIGINT AS line,
        arg_max(n_lines, (dice, -line, -n_lines))::BIGINT AS n_lines,
        count(DISTINCT (line, n_lines)) AS n_runs
-FROM hits WHERE dice >= {least} GROUP BY doc_id, license
+FROM (SELECT *, max(whole) OVER (PARTITION BY doc_id, license) AS any_whole
+      FROM (SELECT *, 1 AS whole FROM hits UNION ALL SELECT *, 0 FROM inside) WHERE dice >= {least})
+WHERE whole = any_whole GROUP BY doc_id, license
 """

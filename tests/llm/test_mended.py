@@ -1,9 +1,13 @@
 """Repeated ids, clashing names, quotation marks and what a run leaves behind."""
 
+import textwrap
+import time
+
+import duckdb
 import pytest
 
 import corpus_pipeline
-from albumetrics.llm import language_spans, toxicity, weighted_minhash
+from albumetrics.llm import language_spans, license_scan, toxicity, weighted_minhash
 from albumetrics.sources.workspace import child_names, work_dir
 from tests.llm.conftest import prose
 
@@ -61,3 +65,40 @@ def test_pipeline_leaves_its_result_only(spark):
     left = sorted(n.rsplit("-", 1)[0] for n in set(child_names(spark, root)) - before)
     # The ids of copies are read until the stage after them is written.
     assert left == ["minhash-copies", "minhash-result", "pipeline-result"]
+
+
+def inline_notices():
+    mit, bsd = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["BSD-3-Clause"]
+    return {
+        1: "Copyright 2024 Acme Corp. Released under the MIT License.", 2: prose(1, 9) + "\n" + textwrap.fill(mit[2], 60),
+        3: textwrap.fill(mit[2], 24), 4: " ".join([prose(3, 700), bsd[1], prose(4, 50), mit[0], prose(5, 460), mit[2], prose(6, 9)]),
+        5: prose(7, 30) + " released under no licence; the license of the software to the public " + prose(8, 30),
+        6: "\n".join([mit[0], prose(9, 500), mit[0], bsd[0] + " " + bsd[0]]), 7: None, 8: "",
+    }
+
+
+@pytest.mark.parametrize("stretch", [512, 7])
+def test_licence_windows_equal_sql(spark, monkeypatch, stretch):
+    """Whatever the stretches that a text is cut into."""
+    monkeypatch.setattr(license_scan, "STRETCH", stretch)
+    rows = list(inline_notices().items())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    want = {(r[0], r[1], round(r[2], 9), *r[3:]) for r in con.execute(license_scan.oracle()).fetchall()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r[0], r[1], round(r[2], 9), *r[3:]) for r in license_scan.scan(df).collect()} == want
+    assert len(want) > 5
+
+
+def test_licence_scan_is_linear_in_a_line(spark):
+    def seconds(words):
+        text = " ".join(["Released under the MIT License. " + prose(k % 50, 6) for k in range(words // 10)])
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string").cache()
+        df.count()
+        started = time.perf_counter()
+        assert license_scan.scan(df).first()["n_runs"] >= 1
+        return time.perf_counter() - started
+
+    seconds(20_000)
+    assert seconds(200_000) < 10 * seconds(20_000)
