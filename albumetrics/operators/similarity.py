@@ -18,6 +18,8 @@ TOP_K = 256
 LSH_BITS = 10
 LSH_TABLES = 8
 LSH_SEED = 42
+# Of the arithmetic that makes the planes.
+PRIME, PLANE_STEP, PLACE_STEP = 2_147_483_647, 104_729, 15_485_863
 
 # Most cells of a distance matrix held at a time.
 STRIPE_CELLS = 8_000_000
@@ -111,15 +113,23 @@ def symmetrise(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.max("weight").alias("weight"))
 
 
+def planes(count: int, width: int, seed: int = LSH_SEED) -> np.ndarray:
+    """``count`` planes with components from -1 to 1, by whole-number arithmetic that any engine can repeat."""
+    plane, place = np.arange(count, dtype=np.int64)[:, None], np.arange(1, width + 1, dtype=np.int64)[None, :]
+    x = (plane * PLANE_STEP + place * PLACE_STEP + seed) % PRIME
+    for _ in range(3):
+        x = (x * x + PLANE_STEP) % PRIME
+    return x / ((PRIME - 1) / 2) - 1
+
+
 def signatures(vectors: DataFrame, bits: int = LSH_BITS, tables: int = LSH_TABLES, seed: int = LSH_SEED) -> DataFrame:
-    """Add ``signatures``: per table, the sign bits against ``bits`` random hyperplanes."""
+    """Add ``signatures``: per table, the sign bits against ``bits`` hyperplanes."""
     powers = 1 << np.arange(bits, dtype=np.int64)
 
     @F.arrow_udf("array<bigint>")
     def sign(column: pa.Array) -> pa.Array:
         points = matrix(column)
-        planes = np.random.default_rng(seed).uniform(-1.0, 1.0, (tables * bits, points.shape[1]))
-        positive = (points @ planes.T > 0).reshape(len(points), tables, bits)
+        positive = (points @ planes(tables * bits, points.shape[1], seed).T > 0).reshape(len(points), tables, bits)
         codes = positive @ powers
         return pa.ListArray.from_arrays(
             pa.array(np.arange(0, codes.size + 1, tables, dtype=np.int32)), pa.array(codes.ravel())

@@ -85,19 +85,58 @@ def _(spark, sf):
     return edges.select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
-@register("e22_signatures")
+def _step(x: str) -> str:
+    return f"(({x}) * ({x}) + {similarity.PLANE_STEP}) % {similarity.PRIME}"
+
+
+def _signed_sql(source: str) -> str:
+    """Signatures of a view (id, vec) by the planes of ``similarity.planes``."""
+    count = similarity.LSH_BITS * similarity.LSH_TABLES
+    return f"""seeds AS (SELECT p, i, (p * {similarity.PLANE_STEP} + i * {similarity.PLACE_STEP} + {similarity.LSH_SEED}) % {similarity.PRIME} AS x
+      FROM (SELECT unnest(range(0, {count})) AS p), (SELECT unnest(range(1, 65)) AS i)),
+    first_step AS (SELECT p, i, {_step("x")} AS x FROM seeds), second_step AS (SELECT p, i, {_step("x")} AS x FROM first_step),
+    planes AS (SELECT p, list(r ORDER BY i) AS plane FROM (SELECT p, i, ({_step("x")}) / {(similarity.PRIME - 1) // 2}.0::DOUBLE - 1 AS r FROM second_step) GROUP BY p),
+    signed AS (SELECT id, p // {similarity.LSH_BITS} AS t, CAST(sum(CASE WHEN list_dot_product(vec, plane) > 0 THEN 1 << (p % {similarity.LSH_BITS}) ELSE 0 END) AS BIGINT) AS sig
+      FROM {source}, planes GROUP BY id, p // {similarity.LSH_BITS}),
+    met AS (SELECT DISTINCT a.id AS a, b.id AS b FROM signed a JOIN signed b ON a.t = b.t AND a.sig = b.sig AND a.id < b.id)"""
+
+
+@register(
+    "e22_signatures",
+    sql("SELECT id, string_agg(CAST(sig AS VARCHAR), ',' ORDER BY t) AS signatures FROM signed GROUP BY id", "photos",
+        extra=_RAW_SQL + ", " + _signed_sql("raw")),
+)
 def _(spark, sf):
     signed = similarity.signatures(_raw(spark, sf))
     return signed.select("id", F.array_join(F.col("signatures").cast("array<string>"), ",").alias("signatures"))
 
 
-@register("j16_bucket_edges")
+_PLANTED_SQL = """planted AS (SELECT f.face_id AS id, f.embedding AS vec FROM faces f JOIN photos ph USING (photo_id)
+  WHERE f.embedding IS NOT NULL AND NOT f.ignored)"""
+_BUCKET_SQL = f"""bucket_pairs AS (SELECT a, b, {cosd('x.vec', 'y.vec')} AS d FROM met JOIN planted x ON x.id = a JOIN planted y ON y.id = b)"""
+
+
+@register(
+    "j16_bucket_edges",
+    sql(
+        f"""SELECT a AS src, b AS dst, round(1 - d, 6) AS weight FROM bucket_pairs WHERE d < {PLANTED_EDGE}
+        UNION ALL SELECT b, a, round(1 - d, 6) FROM bucket_pairs WHERE d < {PLANTED_EDGE}""",
+        "photos", "faces", extra=", ".join([_PLANTED_SQL, _signed_sql("planted"), _BUCKET_SQL]),
+    ),
+)
 def _(spark, sf):
-    edges = similarity.build_edges(_planted(spark, sf), PLANTED_EDGE, strategy="lsh")
+    edges = similarity.build_edges(_planted(spark, sf), PLANTED_EDGE, top_k=None, strategy="lsh")
     return edges.select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
-@register("a10_tested_pairs_histogram")
+@register(
+    "a10_tested_pairs_histogram",
+    sql(
+        f"""SELECT CAST(least(greatest(trunc({cosd('x.vec', 'y.vec')} * 10), 0), 9) AS INTEGER) AS bin, count(*) AS n
+        FROM met JOIN raw x ON x.id = a JOIN raw y ON y.id = b GROUP BY 1""",
+        "photos", extra=_RAW_SQL + ", " + _signed_sql("raw"),
+    ),
+)
 def _(spark, sf):
     return similarity.tested_pairs_histogram(_raw(spark, sf))
 
