@@ -21,6 +21,8 @@ WARMUP = 8
 ALPHA = 0.15
 THERMAL_SEVERE = 3
 
+KINDS = ("start", "pause_manual", "pause_power", "resume", "finish")
+
 # Events of one run are worked on hour by hour.
 HOUR_MS = 3_600_000
 
@@ -71,13 +73,18 @@ def gate_states(
 
 
 def pause_accounting(events: DataFrame, block: int = HOUR_MS) -> DataFrame:
-    """Total, paused and net time per run from ``(run, ts_ms, kind)``.
+    """Total, paused and net time per run from ``(run, ts_ms, kind)`` and, if known, ``seq``, the order of calls.
 
     Kinds: ``start``, ``pause_manual``, ``pause_power``, ``resume``, ``finish``.
     A pause lasts to the next event that starts or ends a pause, or to the
-    finish; so a change of kind closes the one and opens the other.
+    finish; so a change of kind closes the one and opens the other. Events of
+    one time act in the order of ``seq``, and where that is absent or equal in
+    the order of the list above: one answer for every order of the input.
     """
-    ordered = previous_row(events, "run", "ts_ms", ["kind", "ts_ms"], block)
+    seq = F.col("seq") if "seq" in events.columns else F.lit(0)
+    place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+    events = events.select("run", "ts_ms", "kind", seq.alias("_seq"), place.alias("_place"))
+    ordered = previous_row(events, "run", "ts_ms", ["kind", "ts_ms"], block, ties=("_seq", "_place"))
     span = F.greatest(F.col("ts_ms") - F.col("prev_ts_ms"), F.lit(0))
 
     def spent(kind: str) -> Column:

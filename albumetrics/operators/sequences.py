@@ -59,14 +59,19 @@ def running_sum(
     return joined.drop("_block", "_in", "_x", "_top_in")
 
 
-def previous_row(df: DataFrame, key: str, order: str, columns: list[str], block: int = BLOCK) -> DataFrame:
-    """Add ``prev_<column>`` taken from the row before, null on a key's first row."""
+def previous_row(
+    df: DataFrame, key: str, order: str, columns: list[str], block: int = BLOCK, ties: tuple[str, ...] = ()
+) -> DataFrame:
+    """Add ``prev_<column>`` taken from the row before, null on a key's first row.
+
+    Rows with one value of ``order`` follow each other by the columns ``ties``; they lie in one block.
+    """
     cut = _blocked(df, order, block)
     packed = F.struct(*columns)
-    last = cut.groupBy(key, "_block").agg(F.max_by(packed, order).alias("_end"))
+    last = cut.groupBy(key, "_block").agg(F.max_by(packed, F.struct(order, *ties)).alias("_end"))
     blocks = Window.partitionBy(key).orderBy("_block")
     handed = last.select(key, "_block", F.lag("_end").over(blocks).alias("_in"))
-    inside = Window.partitionBy(key, "_block").orderBy(order)
+    inside = Window.partitionBy(key, "_block").orderBy(order, *ties)
     before = F.coalesce(F.lag(packed).over(inside), F.col("_in"))
     joined = cut.join(handed, [key, "_block"]).withColumn("_before", before)
     return joined.select(*df.columns, *[F.col(f"_before.{c}").alias(f"prev_{c}") for c in columns])

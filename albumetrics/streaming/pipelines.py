@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from albumetrics.operators import catalog, matching
 from albumetrics.schema import PHOTOS_DDL, STAGE_DONE, STAGE_NEEDS_DETECTION, STAGE_NEW
-from albumetrics.sources.workspace import child_names, materialize
+from albumetrics.sources.workspace import child_names
 from albumetrics.streaming.changes import ChangeLog
 
 
@@ -27,7 +27,8 @@ class MediaIngest:
     A stream brings each entry once, in any order, and its checkpoint says what
     is new, so its batches are not sifted by the mark. The mark, the newest
     modification time handled, serves ``rescan`` of a whole catalogue. ``force``
-    starts over, whatever the mark says.
+    starts over, whatever the mark says. Each batch also leaves the ids of the
+    photos that it modified or took out: the faces of those no longer hold.
     """
 
     def __init__(self, spark: SparkSession, root: str, folders: list[str], force: bool = False):
@@ -55,15 +56,21 @@ class MediaIngest:
         """
         known = self.photos.read(before=batch_id)
         since = None if self.force or known.isEmpty() else self.mark(before=batch_id)
-        actions = catalog.reconcile(catalog.scan(catalogue, self.folders, since, ordered=False), known)
-        stale = actions.filter("action = 'MODIFIED'").select("photo_id")
-        gone = None
-        if self.force:
-            gone = catalog.missing_paths(known, catalogue).select("photo_id")
-            stale = stale.unionByName(gone)
-        stale = materialize(stale, "stale")
+        gone = catalog.missing_paths(known, catalogue).select("photo_id") if self.force else None
         self._store(catalogue, catalog.scan(catalogue, self.folders, since, ordered=False), batch_id, gone)
-        return stale
+        return self.stale_photos(batch_id)
+
+    def stale_photos(self, batch_id: int | None = None) -> DataFrame:
+        """Ids of the photos that a batch (or any, if None) modified or took out."""
+        path = f"{self.root}/stale"
+        if not child_names(self.spark, path):
+            return self.spark.createDataFrame([], "photo_id bigint")
+        stale = self.spark.read.schema("photo_id bigint, batch bigint").parquet(path)
+        return (stale if batch_id is None else stale.filter(F.col("batch") == batch_id)).select("photo_id").distinct()
+
+    def without_stale(self, faces: DataFrame, batch_id: int) -> DataFrame:
+        """The faces that still hold after a batch."""
+        return faces.join(self.stale_photos(batch_id), "photo_id", "left_anti")
 
     def _store(self, batch: DataFrame, entries: DataFrame, batch_id: int, gone: DataFrame | None = None) -> None:
         # Photos of this table are named after their path.
@@ -78,6 +85,10 @@ class MediaIngest:
         if gone is not None:
             out = self.photos.read(before=batch_id).join(gone, "photo_id", "left_semi").withColumn("deleted", F.lit(True))
             rows = rows.unionByName(out.select(rows.columns))
+        stale = actions.filter("action = 'MODIFIED'").select("photo_id")
+        if gone is not None:
+            stale = stale.unionByName(gone)
+        stale.write.mode("overwrite").parquet(f"{self.root}/stale/batch={batch_id}")
         self.photos.write(batch_id, rows)
         handled = catalog.jpegs(batch).agg(F.max("modified_at").alias("mark"))
         handled.write.mode("overwrite").parquet(f"{self.root}/marks/batch={batch_id}")

@@ -308,7 +308,7 @@ def run_events(spark, sf):
         F.when(F.col("event_id") == F.col("lo"), "start").when(F.col("event_id") == F.col("hi"), "finish")
         .when(F.col("event_type") == "click", "pause_manual").when(F.col("event_type") == "view", "pause_power").otherwise("resume")
     )
-    return events.join(ends, "user_id").select(F.col("user_id").alias("run"), "ts_ms", kind.alias("kind"))
+    return events.join(ends, "user_id").select(F.col("user_id").alias("run"), "ts_ms", kind.alias("kind"), F.col("event_id").alias("seq"))
 
 
 @register(
@@ -324,6 +324,21 @@ def _(spark, sf):
     return runs.pause_accounting(run_events(spark, sf))
 
 
+@register(
+    "a16_pauses_with_ties",
+    f"""WITH e AS (SELECT user_id AS run, epoch_us(ts) // 1000 // 14400000 * 14400000 AS ts_ms, event_id AS seq, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+    k AS (SELECT run, ts_ms, seq, {_RUN_KIND} AS kind FROM e),
+    s AS (SELECT *, lead(ts_ms) OVER (PARTITION BY run ORDER BY ts_ms, seq) - ts_ms AS span FROM k),
+    t AS (SELECT run, max(ts_ms) FILTER (kind = 'finish') - min(ts_ms) FILTER (kind = 'start') AS total_ms,
+      CAST(coalesce(sum(span) FILTER (kind = 'pause_manual'), 0) AS BIGINT) AS manual_ms, CAST(coalesce(sum(span) FILTER (kind = 'pause_power'), 0) AS BIGINT) AS power_ms FROM s GROUP BY run)
+    SELECT *, greatest(total_ms - manual_ms - power_ms, 0) AS net_ms FROM t""",
+)
+def _(spark, sf):
+    """Clocks of four hours: many events of a run share their time and act in the order of calls."""
+    events = run_events(spark, sf).withColumn("ts_ms", F.expr("ts_ms div 14400000 * 14400000"))
+    return runs.pause_accounting(events)
+
+
 def progress_events(spark, sf):
     """A user's events as progress of one run: one to three items each, with some idle events and pauses."""
     return fx.table(spark, sf, "events").selectExpr(

@@ -64,6 +64,18 @@ def _(spark, sf):
     return ingest.photos.read().select("path", "folder", "modified_at", "taken_at", "stage")
 
 
+@register("t01_modified_photos", sql("SELECT path FROM scan WHERE path LIKE '%3.jpg'", "catalogue", extra=SCAN_SQL))
+def _(spark, sf):
+    """Three batches of which the last brings changed files: whose faces have to go."""
+    ingest = pipelines.MediaIngest(spark, new_path(spark, "modified"), FOLDERS)
+    catalogue = fx.catalogue(spark, sf)
+    odd = F.col("path").like("%3.jpg")
+    ingest.handle(catalogue.filter(odd), 0)
+    ingest.handle(catalogue.filter(~odd), 1)
+    ingest.handle(catalogue.filter(odd).withColumn("modified_at", F.col("modified_at") + 1000), 2)
+    return ingest.photos.read().join(ingest.stale_photos(2), "photo_id", "left_semi").select("path")
+
+
 @register(
     "t05_resync_with_deletions",
     sql(

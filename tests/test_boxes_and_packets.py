@@ -197,6 +197,20 @@ def test_pause_kinds_close_each_other(spark):
     assert (row.total_ms, row.manual_ms, row.power_ms, row.net_ms) == (100, 15, 5, 80)
 
 
+def test_tied_events_have_one_answer(spark):
+    rows = [("start", 0, 1), ("pause_manual", 4000, 2), ("resume", 4000, 3), ("finish", 8000, 4)]
+    for known, want in ((True, 0), (False, 0)):
+        answers = set()
+        for turn in range(4):
+            mixed = rows[turn:] + rows[:turn]
+            df = spark.createDataFrame([(1, t, k, s) for k, t, s in mixed], "run bigint, ts_ms bigint, kind string, seq bigint")
+            answers.add(runs.pause_accounting(df if known else df.drop("seq"), block=3000).first().manual_ms)
+        assert answers == {want}
+    # Called the other way round, the pause lasts.
+    df = spark.createDataFrame([(1, 0, "start", 1), (1, 4000, "resume", 2), (1, 4000, "pause_manual", 3), (1, 8000, "finish", 4)], df.schema)
+    assert runs.pause_accounting(df).first().manual_ms == 4000
+
+
 def small_library(spark):
     photos = [(1, "/a.jpg", "DCIM/Camera", 100, None, 2, False), (2, "/b.jpg", "DCIM/Camera", 100, None, 2, False), (3, "/c.jpg", "DCIM/Camera", 100, None, 1, False)]
     faces = [(10, 1, 5, "Ann", None, None, False, None, False), (11, 2, 5, None, None, None, False, None, False)]
