@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -54,14 +55,39 @@ def drop_path(spark: SparkSession, path: str) -> None:
     filesystem.delete(hadoop_path, True)
 
 
-def touch(spark: SparkSession, path: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     filesystem, hadoop_path = _filesystem(spark, path)
-    filesystem.create(hadoop_path, True).close()
+    stream = filesystem.create(hadoop_path, True)
+    stream.write(bytearray(text.encode()))
+    stream.close()
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def read_text(spark: SparkSession, path: str) -> str:
     filesystem, hadoop_path = _filesystem(spark, path)
-    return filesystem.exists(hadoop_path)
+    stream = filesystem.open(hadoop_path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def rename(spark: SparkSession, source: str, target: str, replace: bool) -> bool:
+    """Move a file; False where the target is there and may not be replaced."""
+    jvm = spark.sparkContext._jvm
+    _, hadoop_source = _filesystem(spark, source)
+    _, hadoop_target = _filesystem(spark, target)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+        hadoop_target.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    rename_type = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename_type, 1)
+    options[0] = rename_type.OVERWRITE if replace else rename_type.NONE
+    try:
+        context.rename(hadoop_source, hadoop_target, options)
+    except Py4JJavaError as error:
+        if "FileAlreadyExists" in error.java_exception.getClass().getName():
+            return False
+        raise
+    return True
 
 
 def child_names(spark: SparkSession, path: str) -> list[str]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from albumetrics.operators import catalog, matching
 from albumetrics.schema import PHOTOS_DDL, STAGE_DONE, STAGE_NEEDS_DETECTION, STAGE_NEW
-from albumetrics.sources.workspace import child_names
+from albumetrics.sources.manifest import Manifests
+from albumetrics.sources.workspace import child_names, drop_path
 from albumetrics.streaming.changes import ChangeLog
 
 
@@ -34,15 +36,13 @@ class MediaIngest:
     def __init__(self, spark: SparkSession, root: str, folders: list[str], force: bool = False):
         self.spark, self.root, self.folders, self.force = spark, root.rstrip("/"), folders, force
         self.photos = ChangeLog(spark, f"{self.root}/photos", PHOTOS_DDL, "photo_id")
+        self._marks = ChangeLog(spark, f"{self.root}/marks", "kind string, mark bigint", "kind")
 
     def mark(self, before: int | None = None) -> int | None:
-        path = f"{self.root}/marks"
-        if self.force or not child_names(self.spark, path):
+        if self.force:
             return None
-        marks = self.spark.read.schema("mark bigint, batch bigint").parquet(path)
-        if before is not None:
-            marks = marks.filter(F.col("batch") < before)
-        return marks.agg(F.max("mark")).first()[0]
+        newest = self._marks.read(before=before).first()
+        return None if newest is None else newest.mark
 
     def handle(self, batch: DataFrame, batch_id: int) -> None:
         self._store(batch, catalog.scan(batch, self.folders, ordered=False), batch_id)
@@ -62,11 +62,10 @@ class MediaIngest:
 
     def stale_photos(self, batch_id: int | None = None) -> DataFrame:
         """Ids of the photos that a batch (or any, if None) modified or took out."""
-        path = f"{self.root}/stale"
+        path = f"{self.root}/stale" if batch_id is None else f"{self.root}/stale/batch={batch_id}"
         if not child_names(self.spark, path):
             return self.spark.createDataFrame([], "photo_id bigint")
-        stale = self.spark.read.schema("photo_id bigint, batch bigint").parquet(path)
-        return (stale if batch_id is None else stale.filter(F.col("batch") == batch_id)).select("photo_id").distinct()
+        return self.spark.read.schema("photo_id bigint").parquet(path).select("photo_id").distinct()
 
     def without_stale(self, faces: DataFrame, batch_id: int) -> DataFrame:
         """The faces that still hold after a batch."""
@@ -90,8 +89,9 @@ class MediaIngest:
             stale = stale.unionByName(gone)
         stale.write.mode("overwrite").parquet(f"{self.root}/stale/batch={batch_id}")
         self.photos.write(batch_id, rows)
-        handled = catalog.jpegs(batch).agg(F.max("modified_at").alias("mark"))
-        handled.write.mode("overwrite").parquet(f"{self.root}/marks/batch={batch_id}")
+        earlier = self._marks.read(before=batch_id).select("mark")
+        handled = catalog.jpegs(batch).select(F.col("modified_at").alias("mark")).unionByName(earlier)
+        self._marks.write(batch_id, handled.agg(F.max("mark").alias("mark")).select(F.lit("modified_at").alias("kind"), "mark"))
 
     def run(self, stream: DataFrame, checkpoint: str) -> None:
         start_batches(stream, self.handle, checkpoint).awaitTermination()
@@ -140,13 +140,32 @@ class VectorMatcher:
 
 
 def live_counts(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> None:
-    """Counts per key over everything seen, rewritten whole after each batch."""
+    """Counts per key over everything seen: each batch publishes a new version, the one before stays readable."""
     counts = stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    manifests = Manifests(stream.sparkSession, f"{path}/manifests")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        name = f"{batch_id}-{uuid.uuid4().hex}"
+        batch.write.mode("error").parquet(f"{path}/versions/{name}")
+        manifests.publish(batch_id, {"name": name}, replace=True)
+        numbers = manifests.numbers()
+        for number in numbers[:-2]:
+            manifests.drop(number)
+        named = {manifests.read(number)["name"] for number in numbers[-2:]}
+        for old in child_names(batch.sparkSession, f"{path}/versions"):
+            if old not in named:
+                drop_path(batch.sparkSession, f"{path}/versions/{old}")
 
     (
         counts.writeStream.outputMode("complete").foreachBatch(write)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     )
+
+
+def read_counts(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """The counts published last; ``ddl`` names their columns."""
+    manifests = Manifests(spark, f"{path}/manifests")
+    newest = manifests.latest()
+    if newest is None:
+        return spark.createDataFrame([], ddl)
+    return spark.read.schema(ddl).parquet(f"{path}/versions/{manifests.read(newest)['name']}")

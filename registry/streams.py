@@ -139,7 +139,7 @@ def _(spark, sf):
     stream = _stream(spark, sf, "embeddings").selectExpr(*fx._FACE_COLUMNS[:4], "vec_id % 23 = 0 AS ignored")
     state_of = F.expr("CASE WHEN ignored THEN 'ignored' WHEN name IS NOT NULL THEN 'confirmed' WHEN person_id IS NOT NULL THEN 'suggested' ELSE 'unknown' END")
     pipelines.live_counts(stream.withColumn("state", state_of), ["person_id", "state"], f"{root}/counts", f"{root}/checkpoint")
-    return spark.read.schema("person_id bigint, state string, n bigint").parquet(f"{root}/counts")
+    return pipelines.read_counts(spark, f"{root}/counts", "person_id bigint, state string, n bigint")
 
 
 @register(
