@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 TINY_NORM = 1e-10
 TINY_WEIGHT = 1e-6
 _FLUSH_KEYS = 4096
+#: Sums of a hot key from many tasks are first merged in so many parts.
+MERGE_PARTS = 32
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -122,6 +124,35 @@ def _partial_sums(key_type: pa.DataType):
     return run
 
 
+def _merge_sums(partial: DataFrame, arrow_key: pa.DataType, key_type: str, *by: str) -> DataFrame:
+    """One row per key and task again, after rows that agree in ``by`` have come together.
+
+    Rows come sorted by key, so a task holds one batch and the sum of one key.
+    """
+    partial = partial.repartition(*by).sortWithinPartitions("_key").select("_key", "_sums")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = total = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            names = batch.column("_key").to_pylist()
+            starts = [k for k, name in enumerate(names) if k == 0 or name != names[k - 1]]
+            sums = np.add.reduceat(matrix(batch.column("_sums")), starts, axis=0)
+            keys = [names[k] for k in starts]
+            if last == keys[0]:
+                sums[0] += total
+            elif last is not None:
+                keys, sums = [last, *keys], np.vstack([total, sums])
+            last, total = keys[-1], sums[-1].copy()
+            if len(keys) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:-1], arrow_key), list_column(sums[:-1])], ["_key", "_sums"])
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([last], arrow_key), list_column(total[None, :])], ["_key", "_sums"])
+
+    return partial.mapInArrow(run, f"_key {key_type}, _sums array<double>")
+
+
 def centroids(df: DataFrame, key: str, vec: str, weight: Column | float = 1.0) -> DataFrame:
     """Weighted centroid per key: ``(key, n, centroid)``.
 
@@ -134,16 +165,11 @@ def centroids(df: DataFrame, key: str, vec: str, weight: Column | float = 1.0) -
     arrow_key = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[key_type]
     rows = df.filter(F.col(vec).isNotNull() & F.col(key).isNotNull()).select(key, vec, weight.alias("_w"))
     partial = rows.mapInArrow(_partial_sums(arrow_key), f"_key {key_type}, _sums array<double>")
+    # Sums of several tasks meet twice: by key and a part of the tasks, then by key; each step sends one row per key.
+    parts = partial.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(MERGE_PARTS)))
+    merged = _merge_sums(_merge_sums(parts, arrow_key, key_type, "_key", "_part"), arrow_key, key_type, "_key")
     summed = (
-        partial.select("_key", F.posexplode("_sums").alias("_pos", "_v"))
-        .groupBy("_key", "_pos")
-        .agg(F.sum("_v").alias("_v"))
-        .groupBy("_key")
-        .agg(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("_pos", "_v"))), lambda s: s["_v"]
-            ).alias("_s")
-        )
+        merged.withColumnRenamed("_sums", "_s")
         .withColumn("_dim", ((F.size("_s") - 2) / 2).cast("int"))
         .withColumn("_total", F.element_at("_s", -2))
         .withColumn("_n", F.element_at("_s", -1))

@@ -307,10 +307,10 @@ def _(spark, sf):
     )
 
 
-def _anchors(spark, sf):
+def _anchors(spark, sf, photo="vec_id % 20"):
     base = fx.table(spark, sf, "embeddings").selectExpr("vec_id", "CAST(embedding AS ARRAY<DOUBLE>) AS v")
     return base.selectExpr(
-        "vec_id % 20 AS photo_id", "CASE vec_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END AS stride",
+        f"{photo} AS photo_id", "CASE vec_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 32 END AS stride",
         "vec_id % 701 AS anchor", "0.6D + v[0] AS score",
         "transform(slice(v, 2, 4), x -> 2D + 8D * abs(x)) AS box", "slice(v, 7, 10) AS points",
         "1280 AS image_w", "960 AS image_h",
@@ -407,7 +407,22 @@ def _(spark, sf):
     return found.select("region_id", F.round("iou", 6).alias("iou"), "detection_id", F.round(F.col("landmarks")[0], 6).alias("eye_x"))
 
 
-@register("w06_suppression")
+_SUPPRESS_SQL = f"""WITH RECURSIVE {_ANCHOR_SQL.replace("SELECT vec_id % 20 AS photo_id,", "SELECT vec_id, vec_id % 20 AS photo_id,")},
+ ranked AS (SELECT photo_id, vec_id AS box_id, score, l, t, rt - l AS w, bt - t AS h,
+   row_number() OVER (PARTITION BY photo_id ORDER BY score DESC, vec_id) AS n FROM found),
+ settled AS (SELECT photo_id, n, [{{'box_id': box_id, 'score': score, 'l': l, 't': t, 'w': w, 'h': h}}] AS kept FROM ranked WHERE n = 1
+   UNION ALL SELECT s.photo_id, r.n, CASE WHEN len(list_filter(s.kept, lambda k:
+     greatest(0.0, least(k.l + k.w, r.l + r.w) - greatest(k.l, r.l)) * greatest(0.0, least(k.t + k.h, r.t + r.h) - greatest(k.t, r.t))
+     / nullif(k.w*k.h + r.w*r.h - greatest(0.0, least(k.l + k.w, r.l + r.w) - greatest(k.l, r.l)) * greatest(0.0, least(k.t + k.h, r.t + r.h) - greatest(k.t, r.t)), 0) > 0.4)) > 0
+     THEN s.kept ELSE list_append(s.kept, {{'box_id': r.box_id, 'score': r.score, 'l': r.l, 't': r.t, 'w': r.w, 'h': r.h}}) END
+   FROM settled s JOIN ranked r ON r.photo_id = s.photo_id AND r.n = s.n + 1),
+ last AS (SELECT photo_id, unnest(kept) AS k FROM settled QUALIFY n = max(n) OVER (PARTITION BY photo_id))
+SELECT photo_id, k.box_id AS box_id, round(k.score, 6) AS score FROM last"""
+
+
+@register("w06_suppression", _SUPPRESS_SQL)
 def _(spark, sf):
-    found = geometry.decode_anchors(_anchors(spark, sf)).withColumn("box_id", F.xxhash64("x_min", "y_min", "width", "height", "score"))
+    # The decoder hands the photo on, so the row is named there first.
+    found = geometry.decode_anchors(_anchors(spark, sf, "vec_id"))
+    found = found.withColumn("box_id", F.col("photo_id")).withColumn("photo_id", F.col("box_id") % 20)
     return boxes.suppress(found, 0.4).select("photo_id", "box_id", F.round("score", 6).alias("score"))

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from albumetrics.functions import vectors
 from albumetrics.operators import graph, matching, similarity, vector_join
 from albumetrics.operators.ranks import upper_median
 from albumetrics.operators.representatives import representatives
@@ -253,3 +254,20 @@ def test_representative(spark):
     faces = spark.createDataFrame(rows, "face_id bigint, person_id bigint, name string, embedding array<double>, quality_score double")
     found = dict(representatives(faces.withColumn("ignored", F.lit(False))).collect())
     assert found == {1: 3, 2: 5, 3: 6, 4: 8} or (found[1] in (1, 2, 3) and {k: found[k] for k in (2, 3, 4)} == {2: 5, 3: 6, 4: 8})
+
+
+def test_centroid_of_a_hot_key_over_many_tasks(spark):
+    rows = spark.range(0, 6000, 1, 40).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id % 500) END AS k",
+        "array(CAST(id AS DOUBLE), CAST(id % 7 AS DOUBLE)) AS v", "CAST(id % 4 AS DOUBLE) AS w")
+    got = {r.k: r for r in vectors.centroids(rows, "k", "v", F.col("w")).collect()}
+    want = {}
+    for r in rows.collect():
+        want.setdefault(r.k, []).append((r.w, *r.v))
+    assert got.keys() == want.keys()
+    for key, members in want.items():
+        total = sum(w for w, *_ in members)
+        for i in (0, 1):
+            mean = sum(m[0] * m[1 + i] for m in members) / total if total else sum(m[1 + i] for m in members) / len(members)
+            assert abs(got[key].centroid[i] - mean) < 1e-6
+        assert got[key].n == len(members)
