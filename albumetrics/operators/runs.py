@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -98,6 +99,11 @@ def pause_accounting(events: DataFrame, block: int = HOUR_MS) -> DataFrame:
     return summed.withColumn("net_ms", net)
 
 
+#: What a run hands on after an event: its time, the greatest ``done``, the pauses so far, the last event that brought
+#: new items (with the pauses counted up to it), and the average.
+CARRIED = "run bigint, ts_ms bigint, top bigint, paused bigint, adv_ts bigint, adv_done bigint, adv_paused bigint, ema double"
+
+
 def remaining_time(
     progress: DataFrame, warmup: int = WARMUP, alpha: float = ALPHA, block: int = HOUR_MS
 ) -> DataFrame:
@@ -105,22 +111,60 @@ def remaining_time(
 
     Only events that bring new items are measured, in working time per item
     without the pauses since the last of them, and not within the warm-up.
-    ``paused_ms`` is what was paused before the event.
+    ``paused_ms`` is what was paused before the event. Events of one time act in
+    the order of ``done``, then of ``paused_ms``, and all show the estimate after
+    the last of them.
+    """
+    followed = follow_progress(progress, None, warmup, alpha, block)
+    return followed.drop(*[c for c in followed.columns if c.startswith("_") and c not in progress.columns])
+
+
+def follow_progress(
+    progress: DataFrame, start: DataFrame | None, warmup: int = WARMUP, alpha: float = ALPHA, block: int = HOUR_MS,
+    store: Callable[[DataFrame, str], DataFrame] = materialize,
+) -> DataFrame:
+    """``remaining_time`` with what ``carried_after`` needs in columns that start with ``_``.
+
+    ``start`` (``CARRIED``) is what each run handed on before its first event
+    here; the events are then continued from it as if those before were here.
     """
+    if start is None:
+        start = progress.sparkSession.createDataFrame([], CARRIED)
+    before = start.select("run", *[F.col(c).alias(f"_from_{c}") for c in start.columns if c != "run"])
     paused = F.greatest("paused_ms", F.lit(0))
-    topped = running_sum(progress, "run", "ts_ms", paused, "_paused", block, top=("done", "_top"))
-    topped = materialize(topped, "progress")
-    advances = topped.filter(F.col("_top").isNull() | (F.col("done") > F.col("_top")))
-    steps = previous_row(advances, "run", "ts_ms", ["done", "ts_ms", "_paused", "_top"], block)
+    summed = running_sum(progress, "run", "ts_ms", paused, "_paused", block, top=("done", "_top"), ties=("done", "paused_ms"))
+    topped = summed.join(before, "run", "left").withColumns({
+        "_paused": F.col("_paused") + F.coalesce("_from_paused", F.lit(0)), "_top": F.greatest("_top", "_from_top"),
+    })
+    advance = F.col("_top").isNull() | (F.col("done") > F.col("_top"))
     # What was paused before a run's first event counts for its first step.
-    counted = F.when(F.col("prev__top").isNull(), F.lit(0)).otherwise(F.col("prev__paused"))
-    working = (F.col("ts_ms") - F.col("prev_ts_ms")) - (F.col("_paused") - counted)
-    measured = steps.select(
-        "run", "ts_ms", "done", working.alias("_working"), (working / (F.col("done") - F.col("prev_done"))).alias("_per_item")
-    ).filter((F.col("_working") > 0) & (F.col("done") > warmup))
-    measured = materialize(measured, "measured")
-    smoothed = smooth(measured.select("run", "ts_ms", "_per_item"), "run", "ts_ms", "_per_item", "_ema", alpha, block)
-    joined = progress.join(smoothed.select("run", "ts_ms", "_ema"), ["run", "ts_ms"], "left")
+    counted = F.when(F.col("_top").isNull(), F.lit(0)).otherwise(F.col("_paused"))
+    topped = store(topped.withColumns({"_advance": advance, "_counted": counted}), "progress")
+    steps = previous_row(topped.filter("_advance"), "run", "ts_ms", ["done", "ts_ms", "_counted"], block, ties=("done",))
+    since = F.col("ts_ms") - F.coalesce("prev_ts_ms", "_from_adv_ts")
+    working = since - (F.col("_paused") - F.coalesce("prev__counted", "_from_adv_paused"))
+    items = F.col("done") - F.coalesce("prev_done", "_from_adv_done")
+    measured = steps.select("run", "ts_ms", "done", working.alias("_working"), (working / items).alias("_per_item")).filter(
+        (F.col("_working") > 0) & (F.col("done") > warmup)
+    )
+    # The average handed on is the first value of what is smoothed here, so it is continued.
+    handed = start.filter("ema IS NOT NULL").select("run", "ts_ms", F.col("ema").alias("_per_item"))
+    values = store(measured.select("run", "ts_ms", "_per_item").unionByName(handed), "measured")
+    smoothed = smooth(values, "run", "ts_ms", "_per_item", "_ema", alpha, block, store)
+    joined = topped.join(smoothed.select("run", "ts_ms", "_ema"), ["run", "ts_ms"], "left")
     known = carry_forward(joined, "run", "ts_ms", "_ema", "per_item_ms", block)
+    known = known.withColumn("per_item_ms", F.coalesce("per_item_ms", "_from_ema"))
     left = ((F.col("total") - F.col("done")) * F.col("per_item_ms")).cast("bigint")
     return known.withColumn("remaining_ms", F.when(F.col("done") < F.col("total"), left)).drop("_ema")
+
+
+def carried_after(followed: DataFrame) -> DataFrame:
+    """What each run of ``follow_progress`` hands on after its last event (``CARRIED``)."""
+    step = F.struct(F.col("ts_ms").alias("adv_ts"), F.col("done").alias("adv_done"), F.col("_counted").alias("adv_paused"))
+    place = F.when(F.col("_advance"), F.struct("ts_ms", "done"))
+    earlier = F.struct(*[F.col(f"_from_{c}").alias(c) for c in ("adv_ts", "adv_done", "adv_paused")])
+    ends = followed.groupBy("run").agg(
+        F.max("ts_ms").alias("ts_ms"), F.max(F.greatest("done", "_top")).alias("top"), F.max("_paused").alias("paused"),
+        F.coalesce(F.max_by(step, place), F.any_value(earlier)).alias("_step"), F.max_by("per_item_ms", "ts_ms").alias("ema"),
+    )
+    return ends.select("run", "ts_ms", "top", "paused", "_step.*", "ema")

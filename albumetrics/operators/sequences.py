@@ -8,6 +8,8 @@ be written first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,12 +36,14 @@ def carry_forward(df: DataFrame, key: str, order: str, value: str, out: str, blo
 
 
 def running_sum(
-    df: DataFrame, key: str, order: str, value: Column, out: str, block: int = BLOCK, top: tuple[str, str] | None = None
+    df: DataFrame, key: str, order: str, value: Column, out: str, block: int = BLOCK, top: tuple[str, str] | None = None,
+    ties: tuple[str, ...] = (),
 ) -> DataFrame:
     """Sum of the value up to and including each row.
 
     ``top=(column, name)`` adds, in the same pass, the greatest value of a
-    column among the rows before each row.
+    column among the rows before each row. Rows with one value of ``order``
+    follow each other by the columns ``ties``.
     """
     column, name = top or (order, "_unused")
     cut = _blocked(df, order, block).withColumn("_x", value)
@@ -48,7 +52,7 @@ def running_sum(
     handed = ends.select(
         key, "_block", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_in"), F.max("_top").over(earlier).alias("_top_in")
     )
-    inside = Window.partitionBy(key, "_block").orderBy(order)
+    inside = Window.partitionBy(key, "_block").orderBy(order, *ties)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     total = F.col("_in") + F.coalesce(F.sum("_x").over(upto), F.lit(0))
@@ -77,8 +81,11 @@ def previous_row(
     return joined.select(*df.columns, *[F.col(f"_before.{c}").alias(f"prev_{c}") for c in columns])
 
 
-def smooth(df: DataFrame, key: str, order: str, value: str, out: str, alpha: float, block: int = BLOCK) -> DataFrame:
-    """Exponential moving average; a key's first value starts it.
+def smooth(
+    df: DataFrame, key: str, order: str, value: str, out: str, alpha: float, block: int = BLOCK,
+    store: Callable[[DataFrame, str], DataFrame] = materialize,
+) -> DataFrame:
+    """Exponential moving average; a key's first value starts it. ``store`` keeps an intermediate table.
 
     A run of consecutive rows turns the average it is handed into
     ``a * handed + b``, so the runs of a key are chained by those two numbers.
@@ -89,7 +96,7 @@ def smooth(df: DataFrame, key: str, order: str, value: str, out: str, alpha: flo
     key_type = df.schema[key].dataType.simpleString()
     order_type = df.schema[order].dataType.simpleString()
 
-    cut = materialize(cut, "smooth")
+    cut = store(cut, "smooth")
 
     def levels(values: np.ndarray, level: float) -> np.ndarray:
         # pandas computes the recursion itself; the level handed in is a first value.

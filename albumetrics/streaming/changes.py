@@ -52,25 +52,26 @@ class ChangeLog:
         number = self._manifests.latest(before)
         return [] if number is None else [f"{self.root}/runs/{r['name']}" for r in self._manifests.read(number)["runs"]]
 
-    def read(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    def read(self, before: int | None = None, only: DataFrame | None = None, by: str | None = None) -> DataFrame:
         """The table after all batches, or after those before batch ``before``, one of the last ``KEEP``.
 
         ``only`` names the keys that are asked for: a batch looks up its own keys
-        and leaves the rest of the table unread by the aggregation.
+        and leaves the rest of the table unread by the aggregation. ``by`` names
+        another column to look up by, one that never changes for a key.
         """
-        names = self._columns()
+        names = self.columns()
         paths = self.runs(before)
         if not paths:
             return self.spark.createDataFrame([], self.ddl)
         rows = self._open(paths)
         if only is not None:
-            rows = rows.join(only.select(self.key), self.key, "left_semi")
+            rows = rows.join(only.select(by or self.key), by or self.key, "left_semi")
         alive = self._latest(rows).filter("NOT _r.deleted")
         return alive.select(*[F.col(n) if n == self.key else F.col(f"_r.{n}").alias(n) for n in names])
 
     def _latest(self, rows: DataFrame) -> DataFrame:
         return rows.groupBy(self.key).agg(
-            F.max_by(F.struct("deleted", *[n for n in self._columns() if n != self.key]), "batch").alias("_r"),
+            F.max_by(F.struct("deleted", *[n for n in self.columns() if n != self.key]), "batch").alias("_r"),
             F.max("batch").alias("batch"),
         )
 
@@ -94,5 +95,5 @@ class ChangeLog:
             if name not in named:
                 drop_path(self.spark, f"{self.root}/runs/{name}")
 
-    def _columns(self) -> list[str]:
+    def columns(self) -> list[str]:
         return self.spark.createDataFrame([], self.ddl).columns

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from albumetrics.operators import matching
-from albumetrics.sources.workspace import new_path
+from albumetrics.sources.workspace import materialize, new_path
 from albumetrics.streaming import pipelines, state
 from registry import fixtures as fx
 from registry import register
 from registry.fixtures import FOLDERS, sql
 from registry.reads import SCAN_SQL
-from registry.sources import REMAINING_SQL
+from registry.sources import REMAINING_SQL, progress_events
 from registry.vectors import _MATCH_VIEWS, _raw_extra, _BAND, _BEST_SQL, _HEAVY, _LABEL_SQL
 
 
@@ -167,3 +167,16 @@ def _(spark, sf):
     remaining = state.RemainingStream(spark, new_path(spark, "remaining"))
     remaining.run(stream, f"{remaining.root}/checkpoint")
     return remaining.read().select("run", "ts_ms", F.round("per_item_ms", 3).alias("per_item_ms"))
+
+
+@register("t06_remaining_batches", REMAINING_SQL)
+def _(spark, sf):
+    """Five batches in order of time: each goes on from what the runs handed over."""
+    progress = progress_events(spark, sf)
+    span = progress.agg(F.min("ts_ms").alias("_a"), F.max("ts_ms").alias("_z"))
+    part = F.expr("(ts_ms - _a) * 5 div (_z - _a + 1)")
+    cut = materialize(progress.join(F.broadcast(span)).withColumn("_part", part), "progress-batches")
+    remaining = state.RemainingStream(spark, new_path(spark, "remaining-batches"))
+    for batch_id in range(5):
+        remaining.handle(cut.filter(F.col("_part") == batch_id), batch_id)
+    return remaining.read().select("run", "ts_ms", F.round("per_item_ms", 3).alias("per_item_ms"))

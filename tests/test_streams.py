@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from albumetrics.operators.runs import gate_states, remaining_time
@@ -51,3 +52,80 @@ def test_rescan_marks_and_stale_faces(spark):
     gone = forced.rescan(spark.createDataFrame([entry("a", 30), entry("c", 15)], ddl), 2)
     assert {paths[r.photo_id] for r in gone.collect()} == {"/m/b.jpg", "/m/d.jpg"}
     assert sorted(r.path for r in forced.photos.read().collect()) == ["/m/a.jpg", "/m/c.jpg"]
+
+
+def _estimates(events, warmup=8, alpha=0.15):
+    """Plain Python: the estimate after each time of one run's events."""
+    top = last = None
+    paused, ema, out = 0, None, {}
+    for ts, done, _, gap in sorted(events, key=lambda e: (e[0], e[1], e[3])):
+        paused += max(gap, 0)
+        if top is None:
+            last, top, paused = (ts, done), done, 0 if gap <= 0 else paused
+        elif done > top:
+            working = ts - last[0] - paused
+            if working > 0 and done > warmup:
+                per_item = working / (done - last[1])
+                ema = per_item if ema is None else alpha * per_item + (1 - alpha) * ema
+            last, top, paused = (ts, done), done, 0
+        out[ts] = ema
+    return out
+
+
+def test_remaining_stream_equals_plain_python(spark):
+    """Seven batches with late events, ties and repeated rows: each row shows what its batch could know."""
+    chance = random.Random(7)
+    schema = "run bigint, ts_ms bigint, done bigint, total bigint, paused_ms bigint"
+    stream = state.RemainingStream(spark, new_path(spark, "remaining-random"), block=5000)
+    known: dict[int, list] = {}
+    want = []
+    for batch_id in range(7):
+        rows = []
+        for run in (1, 2, 3):
+            for _ in range(12):
+                at = batch_id * 12 + chance.randrange(12) - (30 if run == 2 and chance.random() < 0.2 else 0)
+                at = max(at, 0)
+                rows.append((run, 1000 + at * 700, max(at * 2 + chance.randint(-3, 3), 0), 150, chance.choice((0, 0, 100, 900))))
+        rows.append(rows[-1])
+        if batch_id == 5:  # one run starts from the very beginning again
+            rows.append((3, 1, 0, 150, 50))
+        for row in rows:
+            known.setdefault(row[0], []).append(row[1:])
+        shown = {run: _estimates(events) for run, events in known.items()}
+        for run, ts, done, total, _ in rows:
+            ema = shown[run][ts]
+            left = None if ema is None or done >= total else int((total - done) * ema + 1e-9)
+            want.append((run, ts, ema, left))
+        for _ in range(2 if batch_id in (2, 5) else 1):  # a replay changes nothing
+            stream.handle(spark.createDataFrame(rows, schema).repartition(3), batch_id)
+    rank = lambda r: (r[0], r[1], round(r[2] or -1, 3), r[3] or -1)
+    got, want = sorted(map(tuple, stream.read().collect()), key=rank), sorted(want, key=rank)
+    for found, plain in zip(got, want, strict=True):
+        assert found[:2] == plain[:2]
+        assert found[2] == plain[2] or found[2] == pytest.approx(plain[2], rel=1e-9)
+        assert found[3] == plain[3] or abs(found[3] - plain[3]) <= 1
+
+
+def test_a_batch_in_order_reads_no_event(spark, monkeypatch):
+    schema = "run bigint, ts_ms bigint, done bigint, total bigint, paused_ms bigint"
+    stream = state.RemainingStream(spark, new_path(spark, "remaining-flat"))
+    monkeypatch.setattr(stream.kept, "read", lambda **_: 1 / 0)
+    monkeypatch.setattr(stream.marked, "read", lambda **_: 1 / 0)
+    rows = [(1, 1000 * k, k, 100, 0) for k in range(1, 61)]
+    for batch_id in range(12):
+        stream.handle(spark.createDataFrame(rows[batch_id * 5:batch_id * 5 + 5], schema), batch_id)
+    assert len(stream.kept.runs()) < 16 and len(stream.carried.runs()) < 16
+    assert {r.per_item_ms for r in stream.read().collect()} == {None, 1000.0}
+
+
+def test_tied_progress_has_one_answer(spark):
+    rows = [(1, 1000 * (k // 2), k, 100, 300 if k % 5 == 0 else 0) for k in range(1, 40)]
+    schema = "run bigint, ts_ms bigint, done bigint, total bigint, paused_ms bigint"
+    answers = set()
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = remaining_time(spark.createDataFrame(rows, schema).repartition(4)).select("ts_ms", "done", F.round("per_item_ms", 6))
+        answers.add(tuple(sorted(map(tuple, got.collect()), key=str)))
+    assert len(answers) == 1
+    plain = _estimates([r[1:] for r in rows])
+    assert all(e == (None if plain[ts] is None else round(plain[ts], 6)) for ts, _, e in answers.pop())
