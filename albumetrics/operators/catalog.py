@@ -59,11 +59,15 @@ def folder_listing(catalogue: DataFrame) -> DataFrame:
     )
 
 
+def folders_by_category(folders: DataFrame) -> DataFrame:
+    """``(category, folder)``, one row per folder however many a category has."""
+    return folders.select(category(F.col("folder")).alias("category"), "folder").distinct()
+
+
 def folders_per_category(folders: DataFrame) -> DataFrame:
-    return (
-        folders.select("folder", category(F.col("folder")).alias("category"))
-        .groupBy("category")
-        .agg(F.array_join(F.array_sort(F.collect_set("folder")), ",").alias("folders"))
+    """One line per category for a screen: its folders joined, so only for listings of a size to be shown."""
+    return folders_by_category(folders).groupBy("category").agg(
+        F.array_join(F.array_sort(F.collect_list("folder")), ",").alias("folders")
     )
 
 

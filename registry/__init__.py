@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from albumetrics.session import configure
 
-_MODULES = ("reads", "scalars", "sources", "vectors", "edits", "streams")
+_MODULES = ("reads", "scalars", "sources", "vectors", "edits", "digests", "streams")
 
 
 @dataclass(frozen=True)
@@ -39,6 +39,11 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
+def sql_of(name: str) -> str:
+    """The SQL of a query registered before."""
+    return _ENTRIES[name].sql
+
+
 def all_entries() -> dict[str, Entry]:
     for module in _MODULES:
         importlib.import_module(f"registry.{module}")
