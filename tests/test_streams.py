@@ -129,3 +129,12 @@ def test_tied_progress_has_one_answer(spark):
     assert len(answers) == 1
     plain = _estimates([r[1:] for r in rows])
     assert all(e == (None if plain[ts] is None else round(plain[ts], 6)) for ts, _, e in answers.pop())
+
+
+def test_remaining_stream_of_an_empty_batch(spark):
+    schema = "run bigint, ts_ms bigint, done bigint, total bigint, paused_ms bigint"
+    stream = state.RemainingStream(spark, new_path(spark, "remaining-empty"))
+    stream.handle(spark.createDataFrame([], schema), 0)
+    stream.handle(spark.createDataFrame([(1, 1000, 9, 20, None), (1, 3000, 10, 20, 0)], schema), 1)
+    stream.handle(spark.createDataFrame([], schema), 2)
+    assert sorted((r.ts_ms, r.remaining_ms) for r in stream.read().collect()) == [(1000, None), (3000, 20000)]
