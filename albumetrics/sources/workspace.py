@@ -55,6 +55,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     filesystem.delete(hadoop_path, True)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    filesystem, hadoop_path = _filesystem(spark, path)
+    return filesystem.getFileStatus(hadoop_path).isDirectory()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     filesystem, hadoop_path = _filesystem(spark, path)
     stream = filesystem.create(hadoop_path, True)

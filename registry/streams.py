@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from albumetrics.operators import matching
-from albumetrics.sources.workspace import materialize, new_path
+from albumetrics.sources.workspace import is_folder, materialize, new_path
 from albumetrics.streaming import pipelines, state
 from registry import fixtures as fx
 from registry import register
@@ -16,9 +16,11 @@ from registry.vectors import _MATCH_VIEWS, _raw_extra, _BAND, _BEST_SQL, _HEAVY,
 
 
 def _stream(spark, sf, name):
-    """The table as a stream of its files."""
-    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The table, one file or a folder of them, as a stream of its files."""
+    path = f"{sf}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    # A stream reads folders only: a table that is one file is picked from the folder it lies in.
+    return reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def _catalogue_stream(spark, sf):
