@@ -8,7 +8,7 @@ be written first.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -98,34 +98,71 @@ def smooth(
 
     cut = store(cut, "smooth")
 
-    def levels(values: np.ndarray, level: float) -> np.ndarray:
-        # pandas computes the recursion itself; the level handed in is a first value.
-        return pd.Series(np.concatenate([[level], values])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
-
-    def summary(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf.sort_values(order, kind="stable")["_v"].to_numpy()
-        row = {key: pdf[key].iloc[0], "_block": pdf["_block"].iloc[0], "_first": values[0]}
-        return pd.DataFrame([{**row, "_a": (1 - alpha) ** len(values), "_b": levels(values, 0.0)[-1]}])
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        # Starting from the first value itself leaves that value unchanged.
-        handed, level = [], float(pdf["_first"].iloc[0])
-        for a, b in zip(pdf["_a"], pdf["_b"], strict=True):
-            handed.append(level)
-            level = a * level + b
-        return pd.DataFrame({key: pdf[key], "_block": pdf["_block"], "_in": handed})
-
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        values = levels(pdf["_v"].to_numpy(), float(pdf["_in"].iloc[0]))
-        return pd.DataFrame({key: pdf[key], order: pdf[order], out: values})
-
-    ends = cut.groupBy(key, "_block").applyInPandas(
-        summary, f"{key} {key_type}, _block bigint, _first double, _a double, _b double"
-    )
-    handed = ends.groupBy(key).applyInPandas(chain, f"{key} {key_type}, _block bigint, _in double")
-    smoothed = cut.join(handed, [key, "_block"]).groupBy(key, "_block").applyInPandas(
-        inside, f"{key} {key_type}, {order} {order_type}, {out} double"
-    )
+    def ordered(frame: DataFrame) -> DataFrame:
+        return frame.repartition(key, "_block").sortWithinPartitions(key, "_block", order)
+
+    def summary(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf, begins, lengths, levels in _averaged(frames, key, alpha):
+            rows = pd.DataFrame({
+                key: pdf[key].to_numpy()[begins], "_block": pdf["_block"].to_numpy()[begins], "_first": pdf["_v"].to_numpy()[begins],
+                "_n": lengths, "_b": levels[begins + lengths - 1],
+            })
+            if held is not None:
+                if held[key].iloc[0] == rows[key].iloc[0] and held["_block"].iloc[0] == rows["_block"].iloc[0]:
+                    rows.loc[0, "_first"] = held["_first"].iloc[0]
+                    rows.loc[0, "_n"] += held["_n"].iloc[0]
+                else:
+                    yield held
+            # The last block of a batch may go on in the next.
+            yield rows.iloc[:-1]
+            held = rows.iloc[-1:].reset_index(drop=True)
+        if held is not None:
+            yield held
+
+    def inside(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, _begins, _lengths, levels in _averaged(frames, key, alpha, "_in"):
+            yield pd.DataFrame({key: pdf[key], order: pdf[order], out: levels})
+
+    ends = ordered(cut).mapInPandas(summary, f"{key} {key_type}, _block bigint, _first double, _n bigint, _b double")
+    # Starting from the first value itself leaves that value unchanged.
+    blocks = F.sort_array(F.collect_list(F.struct("_block", "_first", "_n", "_b")))
+    start = F.struct(F.element_at("_l", 1)["_first"].alias("level"), F.array().cast("array<double>").alias("handed"))
+    chained = F.aggregate("_l", start, lambda s, e: F.struct(
+        (F.pow(F.lit(1 - alpha), e["_n"]) * s["level"] + e["_b"]).alias("level"), F.concat(s["handed"], F.array(s["level"])).alias("handed")))
+    handed = ends.groupBy(key).agg(blocks.alias("_l")).select(key, F.explode(F.arrays_zip(
+        F.transform("_l", lambda e: e["_block"]).alias("_block"), chained["handed"].alias("_in"))).alias("_h")).select(
+        key, F.col("_h._block").alias("_block"), F.col("_h._in").alias("_in"))
+    smoothed = ordered(cut.join(handed, [key, "_block"])).mapInPandas(inside, f"{key} {key_type}, {order} {order_type}, {out} double")
     return df.join(smoothed, [key, order], "left")
+
+
+def _averaged(
+    frames: Iterator[pd.DataFrame], key: str, alpha: float, start: str | None = None
+) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches sorted by key and block, each with where its blocks begin, their lengths and the average after each row.
+
+    A block starts from column ``start``, or from 0, and goes on from one batch to the next. All blocks of a batch take
+    their first step at once, then their second, and so on: the arithmetic of each is that of a plain loop.
+    """
+    last = None
+    for pdf in frames:
+        if pdf.empty:
+            continue
+        keys, parts, values = pdf[key].to_numpy(), pdf["_block"].to_numpy(), pdf["_v"].to_numpy()
+        begins = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])])
+        lengths = np.diff(np.r_[begins, len(values)])
+        level = np.zeros(len(begins)) if start is None else pdf[start].to_numpy()[begins].astype(float)
+        if last is not None and last[0] == keys[0] and last[1] == parts[0]:
+            level[0] = last[2]
+        levels = np.empty(len(values))
+        longest = np.argsort(-lengths, kind="stable")
+        level, at = level[longest], begins[longest]
+        going = np.searchsorted(-lengths[longest], -np.arange(lengths.max()), side="left")
+        for step, n in enumerate(going):
+            now = values[at[:n] + step]
+            # An average that equals the value stays as it is.
+            level[:n] = np.where(level[:n] == now, now, (1 - alpha) * level[:n] + alpha * now)
+            levels[at[:n] + step] = level[:n]
+        last = keys[-1], parts[-1], levels[-1]
+        yield pdf, begins, lengths, levels

@@ -258,3 +258,17 @@ def test_media_files(spark, tmp_path):
     (tmp_path / "DCIM" / "b.txt").write_bytes(b"x")
     found = catalog.read_media_files(spark, str(tmp_path)).collect()
     assert [r.rel_path for r in found] == ["DCIM/Camera/"]
+
+
+@pytest.mark.parametrize("block", [3, 1000, 3_600_000])
+def test_averages_of_many_runs_share_calls(spark, block):
+    """Runs longer than an Arrow batch and runs of one row equal a plain loop, with no Python call per run."""
+    rng = np.random.default_rng(4)
+    sizes = {1: 1, 2: 7, 3: 12_000 if block > 3 else 200, **{k: 2 for k in range(10, 300)}}
+    rows = [(k, i, float(v)) for k, n in sizes.items() for i, v in enumerate(rng.uniform(0, 9, n))]
+    smoothed = sequences.smooth(spark.createDataFrame(rows, "k bigint, o bigint, v double"), "k", "o", "v", "e", 0.15, block)
+    assert "FlatMapGroups" not in smoothed._jdf.queryExecution().toString()
+    found, level = {(r.k, r.o): r.e for r in smoothed.collect()}, {}
+    for k, o, v in rows:
+        level[k] = v if o == 0 else 0.15 * v + 0.85 * level[k]
+        assert found[k, o] == pytest.approx(level[k], abs=1e-9)
