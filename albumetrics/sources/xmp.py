@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,6 +28,8 @@ NOTE = "http://ns.adobe.com/xmp/note/"
 # Most bytes in a file segment after its length, and of an extension's data in one.
 SEGMENT_BYTES = 65_533
 EXTENSION_BYTES = 65_400
+# Packets are handed from Python to Spark in pieces of about this many characters.
+BATCH_CHARS = 1 << 23
 BOM = b"\xef\xbb\xbf"
 TAG_PREFIX = "People/"
 
@@ -170,7 +173,9 @@ def segments_of(packets: pa.Array) -> pa.Array:
 
 @F.arrow_udf(REGION_LIST)
 def regions_of(packets: pa.Array) -> pa.Array:
-    return pa.array([parse_regions(p) for p in packets.to_pylist()], _REGION_ARROW)
+    # Packet by packet, so that the regions of one are held as Python objects at a time.
+    parts = [pa.array([parse_regions(p.as_py())], _REGION_ARROW) for p in packets]
+    return pa.concat_arrays(parts) if parts else pa.array([], _REGION_ARROW)
 
 
 @F.arrow_udf(T.StringType())
@@ -273,10 +278,17 @@ def rewrite_packet(packet: str | None, regions: list[dict] | None, clear: bool =
     return ET.tostring(root, encoding="unicode")
 
 
-@F.arrow_udf(T.StringType())
-def written_packet(packets: pa.Array, regions: pa.Array) -> pa.Array:
-    pairs = zip(packets.to_pylist(), regions.to_pylist(), strict=True)
-    return pa.array([rewrite_packet(p, r) for p, r in pairs], pa.string())
+def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packets of (photo_id, packet, regions), photo by photo; what is handed back at a time is about ``BATCH_CHARS``."""
+    for batch in batches:
+        photos, packets, regions = batch.columns
+        texts, held, done = [], 0, 0
+        for at in range(batch.num_rows):
+            texts.append(rewrite_packet(packets[at].as_py(), regions[at].as_py()))
+            held += len(texts[-1] or "")
+            if held >= BATCH_CHARS or at + 1 == batch.num_rows:
+                yield pa.RecordBatch.from_arrays([photos.slice(done, len(texts)), pa.array(texts, pa.string())], ["photo_id", "packet"])
+                texts, held, done = [], 0, at + 1
 
 
 @F.arrow_udf(T.StringType())
@@ -324,7 +336,8 @@ def write_packets(
         joined = joined.withColumn("packet", F.lit(None).cast("string"))
     else:
         joined = joined.join(packets.select("photo_id", "packet"), "photo_id", "left")
-    return joined.select("photo_id", written_packet("packet", "_regions").alias("packet"))
+    kind = joined.schema["photo_id"].dataType.simpleString()
+    return joined.select("photo_id", "packet", "_regions").mapInArrow(_written, f"photo_id {kind}, packet string")
 
 
 def clear_packets(packets: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Box matching, suppression, packets, scoring, logs, runs and snapshots."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -272,3 +273,13 @@ def test_averages_of_many_runs_share_calls(spark, block):
     for k, o, v in rows:
         level[k] = v if o == 0 else 0.15 * v + 0.85 * level[k]
         assert found[k, o] == pytest.approx(level[k], abs=1e-9)
+
+
+def test_packets_are_handed_over_in_pieces():
+    """Crowded photos of one Arrow batch come back in several, each of bounded size, and none is lost."""
+    region = {"name": "N", "x": 0.5, "y": 0.5, "w": 0.1, "h": 0.2}
+    batch = pa.RecordBatch.from_pylist([{"photo_id": i, "packet": None, "regions": [region] * 20_000 if i else None} for i in range(6)])
+    pieces = list(xmp._written(iter([batch])))
+    assert [i for p in pieces for i in p.column(0).to_pylist()] == list(range(6))
+    assert len(pieces) > 1 and max(p.nbytes for p in pieces) < 2 * xmp.BATCH_CHARS
+    assert len(xmp.parse_regions(pieces[-1].column(1)[0].as_py())) == 20_000
