@@ -34,17 +34,22 @@ def bonus(taken_a: Column, taken_b: Column, weight: float) -> Column:
     return F.when(usable, F.lit(MAX_BONUS * weight) * gauss).otherwise(F.lit(0.0))
 
 
-def penalty_matrix(
-    rows: np.ndarray, cols: np.ndarray, weight: float, reference: float
-) -> np.ndarray | float:
-    """Penalty for all row/column pairs; NaN marks a missing date."""
+def penalty_pairs(a: np.ndarray, b: np.ndarray, weight: float, reference: float) -> np.ndarray | float:
+    """Penalty of dates that stand side by side; NaN marks a missing date."""
     if weight <= 0:
         return 0.0
-    years = np.abs(rows[:, None] - cols[None, :]) / YEAR_MS
+    years = np.abs(a - b) / YEAR_MS
     out = np.clip(reference * (1 - np.exp(-DECAY * years)) * weight, 0.0, reference)
     return np.nan_to_num(out, nan=0.0)
 
 
+def penalty_matrix(
+    rows: np.ndarray, cols: np.ndarray, weight: float, reference: float
+) -> np.ndarray | float:
+    """Penalty for all row/column pairs."""
+    return penalty_pairs(rows[:, None], cols[None, :], weight, reference)
+
+
 def bonus_matrix(rows: np.ndarray, cols: np.ndarray, weight: float) -> np.ndarray | float:
     if weight <= 0:
         return 0.0

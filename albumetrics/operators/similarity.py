@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from albumetrics.functions.temporal import penalty_matrix
-from albumetrics.functions.vectors import distance_matrix, matrix
+from albumetrics.functions.temporal import penalty_pairs
+from albumetrics.functions.vectors import TINY_NORM, distance_matrix, matrix
 from albumetrics.operators.vector_blocks import VectorBlocks, least_distance, most_distance, nearer_than
 from albumetrics.operators.vector_join import run_tiles
 from albumetrics.sources.workspace import Scratch
@@ -21,8 +23,10 @@ LSH_SEED = 42
 # Of the arithmetic that makes the planes.
 PRIME, PLANE_STEP, PLACE_STEP = 2_147_483_647, 104_729, 15_485_863
 
-# Most cells of a distance matrix held at a time.
-STRIPE_CELLS = 8_000_000
+# Most cells of a distance matrix held at a time; a worker holds some ten arrays of that many.
+STRIPE_CELLS = 1_000_000
+# What may be lost by rounding where far pairs are passed over.
+FAR_SLACK = 1e-9
 #: Rows of a bucket that are joined in one piece. A larger bucket is sent once per piece, so pieces are larger than elsewhere.
 BUCKET_ROWS = 16_384
 
@@ -37,64 +41,92 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table.column("id").to_numpy()
 
 
-def _distances(left: pa.Table, right: pa.Table, threshold: float, time_weight: float) -> np.ndarray:
-    cosine = distance_matrix(matrix(left.column("vec")), matrix(right.column("vec")))
-    return cosine + penalty_matrix(_dates(left), _dates(right), time_weight, threshold)
+class _Side:
+    """One side of a tile: its vectors at length 1 (zero vectors stay), their norms and dates."""
+
+    def __init__(self, table: pa.Table):
+        self.rows, self.ids = table.num_rows, _ids(table)
+        points = matrix(table.column("vec"))
+        self.norms = np.linalg.norm(points, axis=1)
+        self.units = points / np.where(self.norms > 0, self.norms, 1.0)[:, None]
+        self.dates = _dates(table)
+
+    def stripes(self, width: int) -> list[slice]:
+        """Stripes of rows that make a matrix of bounded size with ``width`` columns."""
+        step = max(1, STRIPE_CELLS // max(1, width))
+        return [slice(at, min(at + step, self.rows)) for at in range(0, self.rows, step)]
 
 
-def _untested(left: pa.Table, right: pa.Table) -> np.ndarray:
+def _near(left: _Side, part: slice, right: _Side, threshold: float, time_weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs nearer than ``threshold``: rows of ``left``, rows of ``right`` and distances, row by row.
+
+    The penalty is never negative, so a pair whose vectors alone are too far apart needs no date.
+    """
+    norms = left.norms[part]
+    cosine = left.units[part] @ right.units.T
+    hits = cosine > 1.0 - threshold - FAR_SLACK
+    if threshold > 1.0:
+        hits |= norms[:, None] * right.norms[None, :] < TINY_NORM
+    at = np.flatnonzero(hits)
+    rows, cols = np.divmod(at, max(1, right.rows))
+    distance = np.where(norms[rows] * right.norms[cols] < TINY_NORM, 1.0, 1.0 - cosine.ravel()[at])
+    rows += part.start
+    distance += penalty_pairs(left.dates[rows], right.dates[cols], time_weight, threshold)
+    keep = distance < threshold
+    return (rows, cols, distance) if keep.all() else (rows[keep], cols[keep], distance[keep])
+
+
+def _untested(left: pa.Table, right: pa.Table, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Pairs whose first common bucket is this one, so that each pair counts once."""
     table = left.column("bucket_table")[0].as_py()
     mine, theirs = matrix(left.column("signatures")), matrix(right.column("signatures"))
-    earlier = np.zeros((len(mine), len(theirs)), bool)
+    first = np.ones(len(rows), bool)
     for t in range(table):
-        earlier |= mine[:, t][:, None] == theirs[:, t][None, :]
-    return ~earlier
-
-
-def _strongest(src: np.ndarray, dst: np.ndarray, distance: np.ndarray, mask: np.ndarray, top_k: int | None):
-    """Per row the ``top_k`` nearest marked columns (all, if None); ties go to the smaller id."""
-    counts = mask.sum(axis=1)
-    rows, cols = np.nonzero(mask)
-    if top_k is not None and (counts > top_k).any():
-        values = distance[rows, cols]
-        order = np.lexsort((dst[cols], values, rows))
-        rows, cols = rows[order], cols[order]
-        starts = np.r_[0, np.cumsum(counts)[:-1]]
-        rank = np.arange(len(rows)) - np.repeat(starts, counts)
-        keep = rank < top_k
-        rows, cols = rows[keep], cols[keep]
-    return src[rows], dst[cols], 1.0 - distance[rows, cols]
+        first &= mine[rows, t] != theirs[cols, t]
+    return first
+
+
+def _strongest(rows: np.ndarray, cols: np.ndarray, distance: np.ndarray, first: int, shape: tuple[int, int], top_k: int | None):
+    """Per row the ``top_k`` nearest of the pairs (all, if None); ties go to the smaller column, as blocks are sorted by id."""
+    counts = np.bincount(rows - first, minlength=shape[0])
+    if top_k is None or not (counts > top_k).any():
+        return rows, cols, distance
+    if top_k <= 0:
+        return rows[:0], cols[:0], distance[:0]
+    dense = np.full(shape, np.inf)
+    dense[rows - first, cols] = distance
+    dense.partition(top_k - 1, axis=1)
+    # All that are as near as the last one, then exactly so many of them.
+    keep = distance <= dense[:, top_k - 1][rows - first]
+    rows, cols, distance = rows[keep], cols[keep], distance[keep]
+    order = np.lexsort((cols, distance, rows))
+    rows, cols, distance = rows[order], cols[order], distance[order]
+    counts = np.bincount(rows - first, minlength=shape[0])
+    rank = np.arange(len(rows)) - np.repeat(np.r_[0, np.cumsum(counts)[:-1]], counts)
+    keep = rank < top_k
+    return rows[keep], cols[keep], distance[keep]
 
 
 def _edge_tile(threshold: float, time_weight: float, top_k: int | None, bucketed: bool):
-    def near(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        distance = _distances(left, right, threshold, time_weight)
-        mask = distance < threshold
-        if bucketed:
-            mask &= _untested(left, right)
-        return distance, mask
-
     def one_way(left: pa.Table, right: pa.Table, same: bool) -> list:
         """Edges from each left row; the matrix is made a stripe of rows at a time."""
-        parts, step = [], max(1, STRIPE_CELLS // max(1, right.num_rows))
-        for at in range(0, left.num_rows, step):
-            stripe = left.slice(at, step)
-            distance, mask = near(stripe, right)
-            if same:
-                mask[np.arange(stripe.num_rows), at + np.arange(stripe.num_rows)] = False
-            parts.append(_strongest(_ids(stripe), _ids(right), distance, mask, top_k))
+        parts, mine = [], _Side(left)
+        theirs = mine if same else _Side(right)
+        for part in mine.stripes(theirs.rows):
+            rows, cols, distance = _near(mine, part, theirs, threshold, time_weight)
+            keep = rows != cols if same else np.ones(len(rows), bool)
+            if bucketed:
+                keep &= _untested(left, right, rows, cols)
+            rows, cols, distance = _strongest(
+                rows[keep], cols[keep], distance[keep], part.start, (part.stop - part.start, theirs.rows), top_k)
+            parts.append((mine.ids[rows], theirs.ids[cols], 1.0 - distance))
         return parts
 
     def tile(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
-        if same or left.num_rows * right.num_rows > STRIPE_CELLS:
-            parts = one_way(left, right, same)
-            if not same:
-                parts += one_way(right, left, same)
-        else:
-            distance, mask = near(left, right)
-            a, b = _ids(left), _ids(right)
-            parts = [_strongest(a, b, distance, mask, top_k), _strongest(b, a, distance.T, mask.T, top_k)]
+        left, right = left.sort_by("id"), right.sort_by("id")
+        parts = one_way(left, right, same)
+        if not same:
+            parts += one_way(right, left, same)
         src, dst, weight = (np.concatenate(c) for c in zip(*parts, strict=True))
         return pa.table({"src": src, "dst": dst, "weight": weight})
 
@@ -231,21 +263,17 @@ def candidate_edges(
 def near_pairs(vectors: DataFrame, threshold: float, time_weight: float = 0.0, scratch: Scratch | None = None) -> DataFrame:
     """Every pair nearer than ``threshold`` once: ``(a, b, distance)`` with ``a < b``."""
 
-    def tile(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
-        parts, step = [], max(1, STRIPE_CELLS // max(1, right.num_rows))
-        theirs = _ids(right)
-        for at in range(0, left.num_rows, step):
-            stripe = left.slice(at, step)
-            distance = _distances(stripe, right, threshold, time_weight)
-            near = distance < threshold
-            mine = _ids(stripe)
+    def tile(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.Table]:
+        """A table per stripe, so that no worker holds all pairs of two crowded blocks."""
+        mine = _Side(left)
+        theirs = mine if same else _Side(right)
+        for part in mine.stripes(theirs.rows):
+            rows, cols, distance = _near(mine, part, theirs, threshold, time_weight)
+            a, b = mine.ids[rows], theirs.ids[cols]
             if same:
-                near &= mine[:, None] < theirs[None, :]
-            rows, cols = np.nonzero(near)
-            a, b = mine[rows], theirs[cols]
-            parts.append((np.minimum(a, b), np.maximum(a, b), distance[rows, cols]))
-        a, b, distance = (np.concatenate(c) for c in zip(*parts, strict=True))
-        return pa.table({"a": a, "b": b, "distance": distance})
+                once = a < b
+                a, b, distance = a[once], b[once], distance[once]
+            yield pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": distance})
 
     def work(scratch: Scratch) -> DataFrame:
         return VectorBlocks(_usable(vectors), scratch).compare(tile, "a bigint, b bigint, distance double", nearer_than(threshold))
@@ -287,20 +315,15 @@ def degrees(vectors: DataFrame, threshold: float, time_weight: float = 0.0, scra
         """The matrix is made a stripe of rows at a time."""
         mine, theirs = left.column("copies").to_numpy(), right.column("copies").to_numpy()
         forth, back = np.zeros(left.num_rows, np.int64), np.zeros(right.num_rows, np.int64)
-        step = max(1, STRIPE_CELLS // 4 // max(1, right.num_rows))
-        for at in range(0, left.num_rows, step):
-            stripe = left.slice(at, step)
-            near = _distances(stripe, right, threshold, time_weight) < threshold
-            if same:
-                own = np.arange(stripe.num_rows)
-                loops = near[own, at + own].copy()
-                near[own, at + own] = False
-                forth[at : at + step] += np.where(loops, mine[at : at + step] - 1, 0)
-            rows, cols = np.nonzero(near)
-            # Whole numbers below 2^53 are exact as weights.
-            forth[at : at + step] += np.bincount(rows, theirs[cols], stripe.num_rows).astype(np.int64)
+        one = _Side(left)
+        other = one if same else _Side(right)
+        for part in one.stripes(other.rows):
+            rows, cols, _ = _near(one, part, other, threshold, time_weight)
+            # Whole numbers below 2^53 are exact as weights; of a vector's own copies all but itself count.
+            weights = theirs[cols] - (rows == cols) if same else theirs[cols]
+            forth += np.bincount(rows, weights, left.num_rows).astype(np.int64)
             if not same:
-                back += np.bincount(cols, mine[at + rows], right.num_rows).astype(np.int64)
+                back += np.bincount(cols, mine[rows], right.num_rows).astype(np.int64)
         ids, counts = (_ids(left), forth) if same else (np.concatenate([_ids(left), _ids(right)]), np.concatenate([forth, back]))
         hit = counts > 0
         return pa.table({"id": ids[hit], "degree": counts[hit]})
@@ -325,32 +348,32 @@ def bucket_links(
     a class, named after its smallest id; one of them is joined and counts for all.
     """
     vectors = vectors.filter(F.col("vec").isNotNull()).select("id", "vec")
-    grouped = vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "vec", "copies")
+    no_date = F.lit(None).cast("bigint").alias("taken_at")
+    grouped = vectors.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")).select("id", "vec", no_date, "copies")
 
     def tile(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
         """The matrix is made a stripe of rows at a time."""
-        mine, theirs = (t.column("copies").to_numpy().astype(np.float64) for t in (left, right))
-        points, others = matrix(left.column("vec")), matrix(right.column("vec"))
+        mine, theirs = (t.column("copies").to_numpy() for t in (left, right))
         # Per row the number of links, the least and the greatest distance; of the right side only where it is another one.
         forth, back = ([np.zeros(n), np.full(n, np.inf), np.full(n, -np.inf)] for n in (len(mine), len(theirs)))
-        step = max(1, STRIPE_CELLS // 8 // max(1, right.num_rows))
-        for at in range(0, left.num_rows, step):
-            part = slice(at, at + step)
-            distance = distance_matrix(points[part], others)
-            near = distance < threshold
-            near &= _untested(left.slice(at, step), right)
-            if same:
-                rows = np.arange(len(near))
-                near[rows, at + rows] &= mine[part] > 1
-            forth[0][part] = near @ theirs
+        one = _Side(left)
+        other = one if same else _Side(right)
+
+        def count(found: list, at: np.ndarray, weights: np.ndarray, distance: np.ndarray) -> None:
+            found[0] += np.bincount(at, weights, len(found[0]))
+            np.minimum.at(found[1], at, distance)
+            np.maximum.at(found[2], at, distance)
+
+        for part in one.stripes(other.rows):
+            rows, cols, distance = _near(one, part, other, threshold, 0.0)
+            keep = _untested(left, right, rows, cols)
             if same:
-                forth[0][part] -= near[rows, at + rows]
-            low, high = np.where(near, distance, np.inf), np.where(near, distance, -np.inf)
-            forth[1][part], forth[2][part] = low.min(axis=1), high.max(axis=1)
+                # Of a vector's own copies all but itself count.
+                keep &= (rows != cols) | (mine[rows] > 1)
+            rows, cols, distance = rows[keep], cols[keep], distance[keep]
+            count(forth, rows, theirs[cols] - (rows == cols) if same else theirs[cols], distance)
             if not same:
-                back[0] += mine[part] @ near
-                np.minimum(back[1], low.min(axis=0), out=back[1])
-                np.maximum(back[2], high.max(axis=0), out=back[2])
+                count(back, cols, mine[rows], distance)
         sides = [(_ids(left), forth)] if same else [(_ids(left), forth), (_ids(right), back)]
         ids = np.concatenate([i for i, _ in sides])
         links, low, high = (np.concatenate([found[k] for _, found in sides]) for k in range(3))
@@ -396,12 +419,14 @@ def tested_pairs_histogram(
     """Histogram of cosine distances over the pairs that share a bucket, counted in place."""
 
     def tile(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
-        cosine = distance_matrix(matrix(left.column("vec")), matrix(right.column("vec")))
-        mask = _untested(left, right)
-        if same:
-            mask &= np.triu(np.ones_like(mask), 1)
-        bins = np.clip(np.trunc(cosine[mask] * 10), 0, 9).astype(np.int32)
-        counts = np.bincount(bins, minlength=10)
+        points, others = matrix(left.column("vec")), matrix(right.column("vec"))
+        counts, step = np.zeros(10, np.int64), max(1, STRIPE_CELLS // max(1, len(others)))
+        for at in range(0, len(points), step):
+            cosine = distance_matrix(points[at : at + step], others)
+            rows, cols = np.nonzero(np.triu(np.ones(cosine.shape, bool), at + 1) if same else np.ones(cosine.shape, bool))
+            first = _untested(left, right, at + rows, cols)
+            bins = np.clip(np.trunc(cosine[rows[first], cols[first]] * 10), 0, 9).astype(np.int32)
+            counts += np.bincount(bins, minlength=10)
         hit = np.flatnonzero(counts)
         return pa.table({"bin": hit.astype(np.int32), "n": counts[hit].astype(np.int64)})
 

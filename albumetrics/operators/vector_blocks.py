@@ -40,7 +40,7 @@ SHORT_NORM = 1e-4
 MANIFEST_DDL = "id bigint, block string, rows bigint, kind int, radius double, vec array<double>, bound double, mark string"
 
 Keep = Callable[[pa.Table, pa.Table], np.ndarray]
-Tile = Callable[[pa.Table, pa.Table, bool], pa.Table]
+Tile = Callable[[pa.Table, pa.Table, bool], pa.Table | Iterator[pa.Table]]
 
 
 def _cells(pivots: np.ndarray, at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +181,7 @@ class VectorBlocks:
         return math.inf if low is None else low
 
     def compare(self, tile: Tile, schema: str, keep: Keep, other: VectorBlocks | None = None) -> DataFrame:
-        """``tile(left, right, same)`` over every pair of blocks that ``keep`` does not rule out."""
+        """``tile(left, right, same)`` over every pair of blocks that ``keep`` does not rule out; it gives one table or several."""
         pairs = self.scratch.table(self.pairs(keep, other), "pairs")
         count = pairs.count()
         cores = self.spark.sparkContext.defaultParallelism
@@ -193,7 +193,8 @@ class VectorBlocks:
             for batch in batches:
                 for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                     found = tile(block(a), block(b), alone and a == b)
-                    yield from found.cast(arrow_schema).to_batches()
+                    for table in [found] if isinstance(found, pa.Table) else found:
+                        yield from table.cast(arrow_schema).to_batches()
 
         return pairs.repartition(tasks, "a", "b").sortWithinPartitions("a", "b").mapInArrow(run, schema)
 

@@ -1,10 +1,11 @@
 """Vector joins, matching and clustering against brute force."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from albumetrics.functions import vectors
+from albumetrics.functions import temporal, vectors
 from albumetrics.operators import graph, matching, similarity, vector_join
 from albumetrics.operators.ranks import upper_median
 from albumetrics.operators.representatives import representatives
@@ -111,6 +112,25 @@ def test_lsh_tests_a_pair_once(spark):
     assert rows.count() == rows.select("src", "dst").distinct().count()
 
 
+def test_far_pairs_need_no_date_and_stripes_bound_the_matrix(monkeypatch):
+    monkeypatch.setattr(similarity, "STRIPE_CELLS", 1000)
+    dated, cells = [], []
+    pairs, near = similarity.penalty_pairs, similarity._near
+    monkeypatch.setattr(similarity, "penalty_pairs", lambda a, *rest: dated.append(a.size) or pairs(a, *rest))
+    monkeypatch.setattr(similarity, "_near", lambda left, part, right, *rest: cells.append((part.stop - part.start) * right.rows) or near(left, part, right, *rest))
+    matrix, taken = clustered(n=200), np.arange(200) * 10**10
+    tables = [
+        pa.table({"id": np.arange(200)[half], "vec": vectors.list_column(matrix[half]), "taken_at": taken[half]})
+        for half in (slice(0, 90), slice(90, 200))]
+    found = similarity._edge_tile(0.3, 0.25, 4, False)(*tables, False)
+    d = distances(matrix[:90], matrix[90:])
+    assert sum(dated) == 2 * (d < 0.3).sum() and max(cells) <= 1000
+    d += temporal.penalty_matrix(taken[:90].astype(float), taken[90:].astype(float), 0.25, 0.3)
+    forth = {(i, 90 + int(j)) for i in range(90) for j in np.argsort(d[i])[:4] if d[i, j] < 0.3}
+    back = {(90 + j, int(i)) for j in range(110) for i in np.argsort(d[:, j])[:4] if d[i, j] < 0.3}
+    assert set(zip(found["src"].to_pylist(), found["dst"].to_pylist(), strict=True)) == forth | back
+
+
 @pytest.mark.parametrize("piece", [16, 4096])
 def test_links_of_buckets_are_one_row_per_vector(spark, monkeypatch, piece):
     monkeypatch.setattr(similarity, "BUCKET_ROWS", piece)
