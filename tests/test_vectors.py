@@ -148,6 +148,24 @@ def test_links_of_buckets_are_one_row_per_vector(spark, monkeypatch, piece):
         assert (row.strongest, row.weakest) == ((pytest.approx(max(weights)), pytest.approx(min(weights))) if weights else (None, None))
 
 
+def test_scores_of_a_broadcast_gallery_hold_a_million_cells_at_most(monkeypatch):
+    cells, adjusted = [], matching._adjusted
+    monkeypatch.setattr(matching, "_adjusted", lambda q, d, v, *rest: cells.append(len(q) * len(v)) or adjusted(q, d, v, *rest))
+    known, asked = clustered(n=2000), clustered(n=1500, seed=4)
+    starts = np.arange(0, 2000, 20)
+
+    class Shared:
+        value = (starts + 7, starts, starts + 20, known, np.full(2000, np.nan), np.ones(2000))
+
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(np.arange(1500)), vectors.list_column(asked), pa.array([None] * 1500, pa.int64())], ["id", "vec", "taken_at"])
+    found = pa.Table.from_batches(matching._score_batches(Shared, 1.0, 2.0, True)([batch]))
+    assert max(cells) <= 1_000_000 and sum(cells) == 3_000_000
+    d = np.sort(distances(asked, known).reshape(1500, 100, 20), axis=2)
+    score = d[:, :, 0] + 0.5 * (d[:, :, 4] - d[:, :, 0])
+    assert found["distance"].to_numpy() == pytest.approx(score.min(axis=1))
+
+
 def cluster_ids(spark, matrix, edge=0.3):
     nodes = frame(spark, matrix)
     found = graph.propagate(similarity.build_edges(nodes, edge), nodes)
