@@ -9,7 +9,7 @@ from albumetrics.functions import temporal, vectors
 from albumetrics.operators import graph, matching, similarity, vector_join
 from albumetrics.operators.ranks import upper_median
 from albumetrics.operators.representatives import representatives
-from albumetrics.sources.workspace import materialize
+from albumetrics.sources.workspace import drop_path, materialize, new_path
 
 VECTOR_DDL = "id bigint, vec array<double>, taken_at bigint"
 
@@ -166,6 +166,20 @@ def test_scores_of_a_broadcast_gallery_hold_a_million_cells_at_most(monkeypatch)
     assert found["distance"].to_numpy() == pytest.approx(score.min(axis=1))
 
 
+def test_weights_that_differ_by_rounding_are_ties(spark):
+    noise = 2.0**-52 * np.arange(9, -1, -1)
+    rows, cols = np.zeros(10, np.int64), np.arange(10)
+    found = similarity._strongest(rows, cols, 0.25 + noise, 0, (1, 10), 3)
+    assert sorted(found[1].tolist()) == [0, 1, 2]
+    edges = spark.createDataFrame([(0, j, 1.0 - float(n)) for j, n in enumerate(noise, 1)], similarity.EDGE_SCHEMA)
+    assert sorted(r.dst for r in similarity.strongest_edges(edges, 3).collect()) == [1, 2, 3]
+    root = new_path(spark, "votes")
+    votes = graph._bucketed_edges(edges, root, "albumetrics_votes_of_ties").filter("own = 0").select("vote").distinct().collect()
+    spark.sql("DROP TABLE albumetrics_votes_of_ties")
+    drop_path(spark, root)
+    assert [r.vote for r in votes] == [graph.VOTE_SCALE]
+
+
 def cluster_ids(spark, matrix, edge=0.3):
     nodes = frame(spark, matrix)
     found = graph.propagate(similarity.build_edges(nodes, edge), nodes)
