@@ -110,10 +110,10 @@ def _strongest(rows: np.ndarray, cols: np.ndarray, distance: np.ndarray, first:
     return rows[keep], cols[keep], distance[keep]
 
 
-def _edge_tile(threshold: float, time_weight: float, top_k: int | None, bucketed: bool):
-    def one_way(left: pa.Table, right: pa.Table, same: bool) -> list:
+def _edge_stripes(threshold: float, time_weight: float, top_k: int | None, bucketed: bool):
+    def one_way(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.Table]:
         """Edges from each left row; the matrix is made a stripe of rows at a time."""
-        parts, mine = [], _Side(left)
+        mine = _Side(left)
         theirs = mine if same else _Side(right)
         for part in mine.stripes(theirs.rows):
             rows, cols, distance = _near(mine, part, theirs, threshold, time_weight)
@@ -122,20 +122,24 @@ def _edge_tile(threshold: float, time_weight: float, top_k: int | None, bucketed
                 keep &= _untested(left, right, rows, cols)
             rows, cols, distance = _strongest(
                 rows[keep], cols[keep], distance[keep], part.start, (part.stop - part.start, theirs.rows), top_k)
-            parts.append((mine.ids[rows], theirs.ids[cols], 1.0 - distance))
-        return parts
+            yield pa.table({"src": mine.ids[rows], "dst": theirs.ids[cols], "weight": 1.0 - distance})
 
-    def tile(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+    def tile(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.Table]:
+        """A table per stripe, so that no worker holds all edges of two blocks."""
         left, right = left.sort_by("id"), right.sort_by("id")
-        parts = one_way(left, right, same)
+        yield from one_way(left, right, same)
         if not same:
-            parts += one_way(right, left, same)
-        src, dst, weight = (np.concatenate(c) for c in zip(*parts, strict=True))
-        return pa.table({"src": src, "dst": dst, "weight": weight})
+            yield from one_way(right, left, same)
 
     return tile
 
 
+def _edge_tile(threshold: float, time_weight: float, top_k: int | None, bucketed: bool):
+    """The same edges as one table, for tiles that must give one."""
+    stripes = _edge_stripes(threshold, time_weight, top_k, bucketed)
+    return lambda left, right, same: pa.concat_tables(stripes(left, right, same))
+
+
 def strongest_edges(edges: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """The ``top_k`` heaviest edges of each source; ties go to the smaller target."""
     order = Window.partitionBy("src").orderBy(F.desc(F.rint(F.col("weight") * WEIGHT_SCALE)), "dst")
@@ -249,14 +253,15 @@ def candidate_edges(
     if strategy not in ("exact", "lsh"):
         raise ValueError(f"unknown strategy {strategy!r}")
     vectors = _usable(vectors)
-    tile = _edge_tile(threshold, time_weight, top_k, strategy == "lsh")
 
     def work(scratch: Scratch) -> DataFrame:
         split = crowd_of_copies(vectors, top_k) if threshold > 0 and top_k is not None else None
         joined, extra = split if split else (vectors, None)
         if strategy == "exact":
+            tile = _edge_stripes(threshold, time_weight, top_k, False)
             edges = VectorBlocks(joined, scratch).compare(tile, EDGE_SCHEMA, nearer_than(threshold))
         else:
+            tile = _edge_tile(threshold, time_weight, top_k, True)
             edges = run_tiles(bucketed(joined, bits, tables, seed), tile, EDGE_SCHEMA, few_cells=(tables << bits) <= 100_000)
         return edges if extra is None else edges.unionByName(extra)
 

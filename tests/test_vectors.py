@@ -131,6 +131,24 @@ def test_far_pairs_need_no_date_and_stripes_bound_the_matrix(monkeypatch):
     assert set(zip(found["src"].to_pylist(), found["dst"].to_pylist(), strict=True)) == forth | back
 
 
+def test_edges_leave_a_tile_a_stripe_at_a_time(monkeypatch):
+    monkeypatch.setattr(similarity, "STRIPE_CELLS", 1000)
+    matrix, held = clustered(n=200), []
+    table = pa.table({"id": np.arange(200), "vec": vectors.list_column(matrix), "taken_at": pa.array([None] * 200, pa.int64())})
+    strongest = similarity._strongest
+    monkeypatch.setattr(similarity, "_strongest", lambda *args: held.append(1) or strongest(*args))
+    sizes, parts = [], []
+    for part in similarity._edge_stripes(0.3, 0.0, 4, False)(table.slice(0, 90), table.slice(90), False):
+        # What was made is handed over before more is made.
+        assert held.pop() == 1 and not held
+        sizes.append(part.num_rows)
+        parts.append(part)
+    # Stripes of 9 rows against 110 and of 11 against 90, of at most 4 edges a row.
+    assert len(sizes) == 20 and max(sizes) <= 44
+    whole = similarity._edge_tile(0.3, 0.0, 4, False)(table.slice(0, 90), table.slice(90), False)
+    assert pa.concat_tables(parts).equals(whole) and whole.num_rows > 44
+
+
 @pytest.mark.parametrize("piece", [16, 4096])
 def test_links_of_buckets_are_one_row_per_vector(spark, monkeypatch, piece):
     monkeypatch.setattr(similarity, "BUCKET_ROWS", piece)
