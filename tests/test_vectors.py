@@ -184,6 +184,30 @@ def test_scores_of_a_broadcast_gallery_hold_a_million_cells_at_most(monkeypatch)
     assert found["distance"].to_numpy() == pytest.approx(score.min(axis=1))
 
 
+def test_nearest_profiles_and_centroids_hold_a_million_cells_at_most(monkeypatch):
+    cells = []
+    for module in (matching, graph):
+        whole = module.distance_matrix
+        monkeypatch.setattr(module, "distance_matrix", lambda a, b, whole=whole: cells.append(len(a) * len(b)) or whole(a, b))
+    one, two = (
+        pa.table({"id": np.arange(n) + first, "vec": vectors.list_column(points), "taken_at": pa.array([None] * n, pa.int64())})
+        for n, first, points in ((1500, 0, clustered(n=1500, seed=4)), (2000, 5000, clustered(n=2000))))
+    d = distances(vectors.matrix(one["vec"]), vectors.matrix(two["vec"]))
+    found = pa.concat_tables(matching._nearest_rows(0.2, 0.0)(one, two))
+    assert max(cells) <= 1_000_000 and sum(cells) == 3_000_000
+    near = d.min(axis=1) < 0.2
+    assert found["id"].to_pylist() == np.flatnonzero(near).tolist()
+    assert found["distance"].to_numpy() == pytest.approx(d.min(axis=1)[near], abs=1e-9)
+    cells.clear()
+    low = graph._lowest(one, two, False)
+    assert max(cells) <= 1_000_000 and sum(cells) == 3_000_000
+    assert low["low"].to_numpy() == pytest.approx(np.r_[d.min(axis=1), d.min(axis=0)], abs=1e-9)
+    own = distances(vectors.matrix(one["vec"]), vectors.matrix(one["vec"]))
+    np.fill_diagonal(own, np.inf)
+    low = graph._lowest(one, one, True)
+    assert low["id"].to_pylist() == list(range(1500)) and low["low"].to_numpy() == pytest.approx(own.min(axis=1), abs=1e-9)
+
+
 def test_weights_that_differ_by_rounding_are_ties(spark):
     noise = 2.0**-52 * np.arange(9, -1, -1)
     rows, cols = np.zeros(10, np.int64), np.arange(10)
