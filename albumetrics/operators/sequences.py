@@ -99,7 +99,9 @@ def smooth(
     cut = store(cut, "smooth")
 
     def ordered(frame: DataFrame) -> DataFrame:
-        return frame.repartition(key, "_block").sortWithinPartitions(key, "_block", order)
+        # Adaptive execution keeps blocks together for a window; where it turns a join into a broadcast, it may undo a
+        # repartition that nothing but Python relies on.
+        return frame.withColumn("_at", F.row_number().over(Window.partitionBy(key, "_block").orderBy(order)))
 
     def summary(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None

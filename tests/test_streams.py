@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from albumetrics.operators.runs import gate_states, remaining_time
+from albumetrics.operators.sequences import smooth
 from albumetrics.sources.workspace import new_path
 from albumetrics.streaming import pipelines, state
 
@@ -138,3 +139,30 @@ def test_remaining_stream_of_an_empty_batch(spark):
     stream.handle(spark.createDataFrame([(1, 1000, 9, 20, None), (1, 3000, 10, 20, 0)], schema), 1)
     stream.handle(spark.createDataFrame([], schema), 2)
     assert sorted((r.ts_ms, r.remaining_ms) for r in stream.read().collect()) == [(1000, None), (3000, 20000)]
+
+
+def test_averages_survive_a_join_that_turns_into_a_broadcast(spark):
+    """A join planned with a shuffle, of which the small side is broadcast at run time, leaves each run's rows together and in order."""
+    chance = random.Random(3)
+    rows = [(run, 1000 * k, float(chance.randint(1, 900))) for run in range(40) for k in range(50)]
+    chance.shuffle(rows)
+    want = {}
+    for run, ts, value in sorted(rows):
+        before = want.get((run, ts - 1000))
+        want[run, ts] = value if before is None else 0.15 * value + 0.85 * before
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "16KB",
+        # Several tasks even for few rows.
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "4KB",
+    }
+    earlier = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        frame = spark.createDataFrame(rows, "run bigint, ts_ms bigint, x double").repartition(8)
+        got = {(r.run, r.ts_ms): r.ema for r in smooth(frame, "run", "ts_ms", "x", "ema", 0.15, block=20).collect()}
+    finally:
+        for name, value in earlier.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
