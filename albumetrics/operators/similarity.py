@@ -268,8 +268,14 @@ def candidate_edges(
     return _own_scratch(vectors, scratch, work, "edges")
 
 
-def near_pairs(vectors: DataFrame, threshold: float, time_weight: float = 0.0, scratch: Scratch | None = None) -> DataFrame:
-    """Every pair nearer than ``threshold`` once: ``(a, b, distance)`` with ``a < b``."""
+def near_pairs(
+    vectors: DataFrame, threshold: float, time_weight: float = 0.0, scratch: Scratch | None = None, strategy: str = "exact",
+    bits: int = LSH_BITS, tables: int = LSH_TABLES, seed: int = LSH_SEED,
+) -> DataFrame:
+    """Every pair nearer than ``threshold`` once: ``(a, b, distance)`` with ``a < b``; with ``lsh`` those that share a bucket."""
+    if strategy not in ("exact", "lsh"):
+        raise ValueError(f"unknown strategy {strategy!r}")
+    schema = "a bigint, b bigint, distance double"
 
     def tile(left: pa.Table, right: pa.Table, same: bool) -> Iterator[pa.Table]:
         """A table per stripe, so that no worker holds all pairs of two crowded blocks."""
@@ -278,13 +284,17 @@ def near_pairs(vectors: DataFrame, threshold: float, time_weight: float = 0.0, s
         for part in mine.stripes(theirs.rows):
             rows, cols, distance = _near(mine, part, theirs, threshold, time_weight)
             a, b = mine.ids[rows], theirs.ids[cols]
-            if same:
-                once = a < b
-                a, b, distance = a[once], b[once], distance[once]
+            once = a < b if same else np.ones(len(a), bool)
+            if strategy == "lsh":
+                once &= _untested(left, right, rows, cols)
+            a, b, distance = a[once], b[once], distance[once]
             yield pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "distance": distance})
 
     def work(scratch: Scratch) -> DataFrame:
-        return VectorBlocks(_usable(vectors), scratch).compare(tile, "a bigint, b bigint, distance double", nearer_than(threshold))
+        usable = _usable(vectors)
+        if strategy == "lsh":
+            return run_tiles(bucketed(usable, bits, tables, seed), tile, schema, few_cells=(tables << bits) <= 100_000)
+        return VectorBlocks(usable, scratch).compare(tile, schema, nearer_than(threshold))
 
     return _own_scratch(vectors, scratch, work, "pairs")
 
@@ -296,14 +306,14 @@ def build_edges(
     """Symmetric similarity graph: the strongest edges of each node (all, if ``top_k`` is None) and their back edges."""
 
     def work(scratch: Scratch) -> DataFrame:
-        if top_k is None and strategy == "exact":
+        if top_k is None:
             # A pair is found once and is an edge both ways.
             forth, back = F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))
-            pairs = near_pairs(vectors, threshold, time_weight, scratch)
+            pairs = near_pairs(vectors, threshold, time_weight, scratch, strategy, **options)
             return pairs.select(F.explode(F.array(forth, back)).alias("_e"), (1 - F.col("distance")).alias("weight")).select(
                 "_e.src", "_e.dst", "weight")
         found = candidate_edges(vectors, threshold, time_weight, top_k, strategy, scratch=scratch, **options)
-        return symmetrise(found if top_k is None else strongest_edges(found, top_k))
+        return symmetrise(strongest_edges(found, top_k))
 
     return _own_scratch(vectors, scratch, work, "edges")
 

@@ -10,7 +10,7 @@ a cell that holds a third of all vectors is worked on by many tasks.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -133,10 +133,10 @@ def _spread(
 
 
 def run_tiles(
-    placed: DataFrame, tile: Callable[[pa.Table, pa.Table, bool], pa.Table], schema: str,
+    placed: DataFrame, tile: Callable[[pa.Table, pa.Table, bool], pa.Table | Iterator[pa.Table]], schema: str,
     within: bool = True, few_cells: bool = True, chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Apply ``tile(left, right, same)`` to every pair of chunks of every cell.
+    """Apply ``tile(left, right, same)`` to every pair of chunks of every cell; it gives one table, or several in turn.
 
     ``placed`` carries ``_cell`` and ``_home``. Where ``same`` is true the two
     sides are one chunk. ``within=False`` compares own rows only with rows sent
@@ -148,7 +148,8 @@ def run_tiles(
     spread = _spread(placed, chunk_rows, salt, within, few_cells)
     arrow_schema = _arrow_schema(schema)
 
-    def per_tile(table: pa.Table) -> pa.Table:
+    def per_tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         low = table.column("_lo")[0].as_py()
         high = table.column("_hi")[0].as_py()
         # A fixed order makes a repeated task give the same bits.
@@ -161,9 +162,10 @@ def run_tiles(
             left = table.filter(pa.array(chunk == low)).select(columns)
             right = table.filter(pa.array(chunk == high)).select(columns)
             if left.num_rows == 0 or right.num_rows == 0:
-                return arrow_schema.empty_table()
+                return
             out = tile(left, right, False)
-        return out.cast(arrow_schema)
+        for part in [out] if isinstance(out, pa.Table) else out:
+            yield from part.cast(arrow_schema).to_batches()
 
     return spread.groupBy("_cell", "_lo", "_hi").applyInArrow(per_tile, schema)
 

@@ -166,6 +166,22 @@ def test_links_of_buckets_are_one_row_per_vector(spark, monkeypatch, piece):
         assert (row.strongest, row.weakest) == ((pytest.approx(max(weights)), pytest.approx(min(weights))) if weights else (None, None))
 
 
+def test_bucket_edges_are_all_pairs_both_ways(spark):
+    """The query gives every pair that shares a bucket as two edges."""
+    from registry import all_entries
+    from registry.vectors import PLANTED_EDGE, _planted
+
+    folder = "/root/testdata/sf0.001"
+    edges = all_entries()["j16_bucket_edges"].run(spark, folder)
+    found = {(r.src, r.dst): r.weight for r in edges.collect()}
+    assert edges.columns == ["src", "dst", "weight"] and all(found[b, a] == weight for (a, b), weight in found.items())
+    rows = similarity.signatures(_planted(spark, folder)).select("id", "vec", "signatures").collect()
+    points, signed = np.array([r.vec for r in rows]), np.array([r.signatures for r in rows])
+    near = (distances(points, points) < PLANTED_EDGE) & (signed[:, None, :] == signed[None, :, :]).any(axis=2)
+    np.fill_diagonal(near, False)
+    assert found.keys() == {(rows[a].id, rows[b].id) for a, b in np.argwhere(near)} and found
+
+
 def test_scores_of_a_broadcast_gallery_hold_a_million_cells_at_most(monkeypatch):
     cells, adjusted = [], matching._adjusted
     monkeypatch.setattr(matching, "_adjusted", lambda q, d, v, *rest: cells.append(len(q) * len(v)) or adjusted(q, d, v, *rest))
