@@ -29,7 +29,7 @@ NOTE = "http://ns.adobe.com/xmp/note/"
 SEGMENT_BYTES = 65_533
 EXTENSION_BYTES = 65_400
 # Packets are handed from Python to Spark in pieces of about this many characters.
-BATCH_CHARS = 1 << 23
+BATCH_CHARS = 1 << 22
 BOM = b"\xef\xbb\xbf"
 TAG_PREFIX = "People/"
 
@@ -168,7 +168,7 @@ def locate_packet(content: bytes | None) -> str | None:
 @F.arrow_udf(T.ArrayType(T.BinaryType()))
 def segments_of(packets: pa.Array) -> pa.Array:
     """Per packet the bodies of its file segments; null where there is no packet."""
-    return pa.array([None if p is None else packet_segments(p) for p in packets.to_pylist()], pa.list_(pa.binary()))
+    return pa.array([None if (text := p.as_py()) is None else packet_segments(text) for p in packets], pa.list_(pa.binary()))
 
 
 @F.arrow_udf(REGION_LIST)
@@ -180,7 +180,7 @@ def regions_of(packets: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.StringType())
 def packet_of(contents: pa.Array) -> pa.Array:
-    return pa.array([locate_packet(c) for c in contents.to_pylist()], pa.string())
+    return pa.array([locate_packet(c.as_py()) for c in contents], pa.string())
 
 
 def read_regions(packets: DataFrame) -> DataFrame:

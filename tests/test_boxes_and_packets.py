@@ -283,3 +283,16 @@ def test_packets_are_handed_over_in_pieces():
     assert [i for p in pieces for i in p.column(0).to_pylist()] == list(range(6))
     assert len(pieces) > 1 and max(p.nbytes for p in pieces) < 2 * xmp.BATCH_CHARS
     assert len(xmp.parse_regions(pieces[-1].column(1)[0].as_py())) == 20_000
+
+
+def test_batches_of_large_packets_are_bounded_by_bytes(spark):
+    """Packets go to Python a few megabytes at a time, however many rows that makes."""
+    from albumetrics.session import configure
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    large = configure(spark).range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("packet"))
+    found = [r.n for r in large.mapInArrow(rows, "n bigint").collect()]
+    assert sum(found) == 40 and max(found) <= 9
