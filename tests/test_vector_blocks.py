@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from albumetrics.operators import graph, matching, similarity, vector_blocks
 from albumetrics.operators.vector_blocks import VectorBlocks, nearer_than
-from albumetrics.sources import shared_files
+from albumetrics.sources import shared_files, workspace
 from albumetrics.sources.workspace import Scratch, child_names, work_dir
 from tests.test_vectors import clustered, distances, edges_of, frame
 
@@ -117,3 +117,30 @@ def test_empty_tables_and_nothing_left_behind(spark):
 def test_locations():
     for uri in ("/tmp/x", "file:/tmp/x", "file:///tmp/x"):
         assert shared_files.locate(uri)[1] == "/tmp/x"
+
+
+def test_exact_candidates_are_the_strongest_of_all_blocks(spark):
+    """However many blocks a node meets, no more than its strongest edges are handed over, ties to the smaller id."""
+    matrix = clustered(n=300)
+    matrix = np.vstack([matrix, matrix[:3]])
+    found = similarity.candidate_edges(frame(spark, matrix), 0.9, top_k=3).collect()
+    weight = np.rint((1 - distances(matrix, matrix)) * similarity.WEIGHT_SCALE)
+    near = distances(matrix, matrix) < 0.9
+    np.fill_diagonal(near, False)
+    want = set()
+    for i in range(len(matrix)):
+        others = sorted(np.flatnonzero(near[i]), key=lambda j: (-weight[i, j], j))
+        want |= {(i, int(j)) for j in others[:3]}
+    assert len(found) == len(want) and {(r.src, r.dst) for r in found} == want
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Shuffle files of an intermediate table go when it is written, and its rows can still be computed again."""
+    counted = spark.range(0, 20_000).groupBy((F.col("id") % 997).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with workspace.shuffles_dropped(spark):
+        assert spark.conf.get(name) == "true"
+        written = workspace.materialize(counted, "shuffles")
+    assert spark.conf.get(name) == before
+    assert written.agg(F.sum("n")).first()[0] == counted.agg(F.sum("n")).first()[0] == 20_000
